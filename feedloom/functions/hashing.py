@@ -16,16 +16,36 @@ def utc_day(now: Column) -> Column:
     return F.date_format(now, "yyyy-MM-dd")
 
 
-def exploration_hash(user_id: Column, item_id: Column, day: Column) -> Column:
-    """As a column expression, for candidate rows. Ids are ASCII."""
-    text = F.concat_ws("|", user_id.cast("string"), item_id.cast("string"), day)
-    codes = F.transform(F.split(text, ""), lambda ch: F.ascii(ch).cast("long"))
-    folded = F.aggregate(
+def ascii_codes(text: Column) -> Column:
+    """Character codes of an ASCII string. Non-ASCII ids are not supported."""
+    return F.transform(F.split(text, ""), lambda ch: F.ascii(ch))
+
+
+def fnv_fold(state: Column, codes: Column) -> Column:
+    """Continue a hash state (bigint) over character codes."""
+    return F.aggregate(
         codes,
-        F.lit(FNV_OFFSET).cast("long"),
-        lambda h, c: (h.bitwiseXOR(c) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")),
+        state,
+        lambda h, c: (h.bitwiseXOR(c.cast("long")) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")),
     )
-    return folded / F.lit(FNV_SPACE)
+
+
+def user_state(user_id: Column) -> Column:
+    """Hash state after ``user|``: computed once per user, not once per candidate."""
+    return fnv_fold(F.lit(FNV_OFFSET).cast("long"), ascii_codes(F.concat(user_id.cast("string"), F.lit("|"))))
+
+
+def item_codes(item_id: Column, day: str) -> Column:
+    """Codes of ``item|day``: computed once per item."""
+    return ascii_codes(F.concat(item_id.cast("string"), F.lit(f"|{day}")))
+
+
+def unit_hash(state: Column, codes: Column) -> Column:
+    return fnv_fold(state, codes) / F.lit(FNV_SPACE)
+
+
+def exploration_hash(user_id: Column, item_id: Column, day: str) -> Column:
+    return unit_hash(user_state(user_id), item_codes(item_id, day))
 
 
 def _bytes_by_length(texts: list[str]):

@@ -1,44 +1,42 @@
 """Fixed-length vector arithmetic.
 
-``D`` is known when a plan is built, so dot products and sums are written out term by term: the terms
-compile into one generated method, where a lambda over the array would be interpreted per element.
+Dot products fold over the arrays: written out term by term they would exceed the size up to which the JVM
+compiles a generated method. Aggregations are the opposite case (one ``sum`` per slot), because Spark splits
+aggregate code into small methods and combines partial sums before the shuffle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def at(v: Column, i: int) -> Column:
-    return F.get(v, F.lit(i))
-
-
-def dot(a: Column, b: Column, dim: int) -> Column:
-    return reduce(add, (at(a, i) * at(b, i) for i in range(dim)))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def norm(v: Column, dim: int) -> Column:
-    return F.sqrt(dot(v, v, dim))
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def cosine(a: Column, b: Column, dim: int) -> Column:
+def cosine(a: Column, b: Column) -> Column:
     """0 when either side is the zero vector."""
-    return cosine_from(dot(a, b, dim), norm(a, dim), norm(b, dim))
+    return cosine_from(dot(a, b), norm(a), norm(b))
 
 
 def cosine_from(product: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.when((norm_a == 0) | (norm_b == 0), F.lit(0.0)).otherwise(product / (norm_a * norm_b))
 
 
-def normalize(v: Column, dim: int) -> Column:
-    n = norm(v, dim)
+def normalize(v: Column) -> Column:
+    n = norm(v)
     return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
 
 
+def literal_names(names: list[str]) -> Column:
+    return F.expr("array(" + ", ".join("'" + n.replace("'", "\\'") + "'" for n in names) + ")")
+
+
 def add_scaled(target: Column, source: Column, scale: Column) -> Column:
     return F.zip_with(target, source, lambda t, x: t + x * scale)
 
@@ -61,23 +59,23 @@ def finite_or_zero(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(0.0)).otherwise(x)
 
 
-def weighted_sums(v: Column, weight: Column, dim: int) -> list[Column]:
+def weighted_sums(v: str, weight: str, dim: int) -> list[Column]:
     """One ``sum`` per slot, for use inside ``agg``: partial sums combine before the shuffle."""
-    return [F.sum(at(v, i) * weight).alias(f"_s{i}") for i in range(dim)]
+    return [F.expr(f"sum(get({v}, {i}) * {weight}) AS _s{i}") for i in range(dim)]
 
 
-def gather_sums(dim: int, divisor: Column) -> Column:
-    return F.array(*[F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) / divisor for i in range(dim)])
+def gather_sums(divisor: str, dim: int) -> Column:
+    return F.expr("array(" + ", ".join(f"coalesce(_s{i}, 0D) / {divisor}" for i in range(dim)) + ")")
 
 
 def tag_affinity(v: Column, slot_names: list[str], floor: float = 0.01) -> Column:
-    names = F.array(*[F.lit(n) for n in slot_names])
+    names = literal_names(slot_names)
     return F.map_filter(F.map_from_arrays(names, v), lambda _, x: x > floor)
 
 
 def top_contributions(a: Column, b: Column, slot_names: list[str], n: int) -> Column:
     """The largest positive terms of a dot product, named, strongest first, slot order on ties."""
-    names = F.array(*[F.lit(x) for x in slot_names])
+    names = literal_names(slot_names)
     terms = F.transform(
         F.arrays_zip(names.alias("n"), a.alias("a"), b.alias("b")),
         lambda t, i: F.struct((-(t["a"] * t["b"])).alias("neg"), i.alias("slot"), t["n"].alias("dimension")),

@@ -29,16 +29,17 @@ def personalised(base: DataFrame) -> DataFrame:
     return base.where(~F.col("is_cold_start") & ~V.is_zero(F.col("vector")))
 
 
-def similar_source(base: DataFrame, eligible: DataFrame, seen: DataFrame, s: Settings) -> DataFrame:
+def similar_source(base: DataFrame, eligible: DataFrame, seen: DataFrame, size: pairwise.Sizes, s: Settings) -> DataFrame:
     k = s.source_limits["similar"]
     users = personalised(base).select("user_id", "vector", (F.col("seen_count") + k).alias("need"))
-    scored = pairwise.nearest_items(users, eligible.select("item_id", "vector"), s)
+    scored = pairwise.nearest_items(users, eligible.select("item_id", "vector"), size, s)
     return pairwise.unseen_top(scored, seen, k)
 
 
-def explore_source(base: DataFrame, eligible: DataFrame, seen: DataFrame, s: Settings) -> DataFrame:
+def explore_source(base: DataFrame, eligible: DataFrame, seen: DataFrame, size: pairwise.Sizes, s: Settings) -> DataFrame:
     k = s.source_limits["explore"]
-    return pairwise.top_hashed(base.select("user_id", "seen_count"), eligible.select("item_id"), seen, s.now[:10], k, s)
+    users = base.select("user_id", "seen_count")
+    return pairwise.top_hashed(users, eligible.select("item_id"), seen, s.now[:10], k, size, s)
 
 
 TRENDING_KEY, FRESH_KEY = "trending", "fresh"
@@ -73,6 +74,7 @@ def list_sources(
     tags: DataFrame,
     seen: DataFrame,
     tax: Taxonomy,
+    size: pairwise.Sizes,
     s: Settings,
     which: tuple[str, ...] = ("tag", "trending", "fresh"),
 ) -> DataFrame:
@@ -99,7 +101,7 @@ def list_sources(
     for r, a in zip(rows[1:], asks[1:]):
         lists, requests = lists.unionByName(r), requests.unionByName(a)
     ordered = list_positions(lists, [F.desc("key"), F.col("item_id")])
-    return take_unseen(requests, ordered, seen, tax.dim + 2, {k: s.source_limits[k] for k in which}, s)
+    return take_unseen(requests, ordered, seen, tax.dim + 2, size.items, {k: s.source_limits[k] for k in which}, s)
 
 
 def union_sources(per_source: DataFrame, eligible: DataFrame) -> DataFrame:
@@ -137,12 +139,19 @@ def candidate_counts(base: DataFrame, candidates: DataFrame, eligible: DataFrame
 
 
 def generate(
-    profiles: DataFrame, eligible: DataFrame, engaged: DataFrame, tags: DataFrame, seen: DataFrame, tax: Taxonomy, s: Settings
+    base: DataFrame,
+    profiles: DataFrame,
+    eligible: DataFrame,
+    engaged: DataFrame,
+    tags: DataFrame,
+    seen: DataFrame,
+    tax: Taxonomy,
+    size: pairwise.Sizes,
+    s: Settings,
 ) -> DataFrame:
     """All five sources, unioned with provenance."""
-    base = user_base(profiles, seen)
     cols = ["user_id", "item_id", "source"]
-    listed = list_sources(base, profiles, eligible, engaged, tags, seen, tax, s).select(*cols)
-    similar = similar_source(base, eligible, seen, s).withColumn("source", F.lit("similar")).select(*cols)
-    explore = explore_source(base, eligible, seen, s).withColumn("source", F.lit("explore")).select(*cols)
+    listed = list_sources(base, profiles, eligible, engaged, tags, seen, tax, size, s).select(*cols)
+    similar = similar_source(base, eligible, seen, size, s).withColumn("source", F.lit("similar")).select(*cols)
+    explore = explore_source(base, eligible, seen, size, s).withColumn("source", F.lit("explore")).select(*cols)
     return union_sources(listed.unionByName(similar).unionByName(explore), eligible)

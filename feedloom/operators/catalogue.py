@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.config import Settings
+from feedloom.functions import hashing as X
 from feedloom.functions import signals as G
 from feedloom.functions import vectors as V
 from feedloom.operators.encoding import tag_columns
@@ -27,7 +28,7 @@ def eligible_items(items: DataFrame, vectors: DataFrame, features: DataFrame, ve
     )
 
 
-def ranking_items(eligible: DataFrame, features: DataFrame, tax: Taxonomy, dim: int, s: Settings) -> DataFrame:
+def ranking_items(eligible: DataFrame, features: DataFrame, tax: Taxonomy, s: Settings) -> DataFrame:
     """Per-item terms that do not depend on the user, computed once instead of once per candidate."""
     quality = F.col("quality_raw")
     available = quality.isNotNull() & ~F.isnan(quality)
@@ -38,9 +39,11 @@ def ranking_items(eligible: DataFrame, features: DataFrame, tax: Taxonomy, dim:
         "external_id",
         "created_at",
         "vector",
-        V.norm(F.col("vector"), dim).alias("vector_norm"),
+        V.norm(F.col("vector")).alias("vector_norm"),
         "tag_slots",
         "div_tags",
+        "div_slots",
+        X.item_codes(F.col("item_id"), s.now[:10]).alias("hash_codes"),
         G.freshness(F.col("created_at"), G.now_col(s), s.freshness_halflife_hours).alias("freshness"),
         F.when(available, F.greatest(F.lit(0.0), F.least(F.lit(1.0), quality))).otherwise(F.lit(0.0)).alias("quality"),
         available.alias("quality_available"),

@@ -28,12 +28,8 @@ class _Picker:
         norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
         self.unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
         self.creators = creators
-        names = sorted({t for row in tags for t in row})
-        index = {t: j for j, t in enumerate(names)}
-        self.has_tag = np.zeros((len(base), max(1, len(names))), dtype=bool)
-        for i, row in enumerate(tags):
-            self.has_tag[i, [index[t] for t in row]] = True
-        self.tag_used = np.zeros(self.has_tag.shape[1], dtype=int)
+        self.has_tag = tags
+        self.tag_used = np.zeros(tags.shape[1], dtype=int)
         self.creator_used: Counter = Counter()
         self.creator_full = np.zeros(len(base), dtype=bool)
         self.open = np.ones(len(base), dtype=bool)
@@ -55,10 +51,10 @@ class _Picker:
         if len(self.chosen) < self.s.tag_cap_window:
             self.tag_used += self.has_tag[i]
         creator = self.creators[i]
-        if creator:
+        if creator >= 0:
             self.creator_used[creator] += 1
             if self.creator_used[creator] >= self.s.max_same_creator:
-                self.creator_full |= np.array([c == creator for c in self.creators])
+                self.creator_full |= self.creators == creator
         self.chosen.append((i, float(self.penalty()[i]), relaxed))
         self.open[i] = False
         self.closest = np.maximum(self.closest, self.unit @ self.unit[i])
@@ -78,14 +74,22 @@ class _Picker:
 
 
 def rerank(scored: DataFrame, limit: int, s: Settings) -> DataFrame:
-    """``scored`` needs user_id, item_id, base_score, creator_id, div_tags, vector."""
+    """``scored`` needs user_id, item_id, base_score, creator_id, div_slots, vector."""
 
     def one_user(t: pa.Table) -> pa.Table:
         t = t.sort_by("item_id")
         vec = t["vector"].combine_chunks()
         matrix = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
         base = t["base_score"].to_numpy()
-        chosen = _Picker(base, matrix, t["creator_id"].to_pylist(), t["div_tags"].to_pylist(), s).run(limit)
+        names = t["creator_id"].to_pylist()
+        code = {c: j for j, c in enumerate(sorted({n for n in names if n}))}
+        creators = np.array([code.get(n, -1) for n in names])
+        slots = t["div_slots"].combine_chunks()
+        owner = np.repeat(np.arange(len(slots)), slots.value_lengths().to_numpy(zero_copy_only=False))
+        used = slots.flatten().to_numpy(zero_copy_only=False).astype(int)
+        tags = np.zeros((len(slots), int(used.max(initial=0)) + 1), dtype=bool)
+        tags[owner, used] = True
+        chosen = _Picker(base, matrix, creators, tags, s).run(limit)
         rows = pa.array([c[0] for c in chosen], pa.int64())
         penalty = np.array([c[1] for c in chosen])
         picked = t.select(["user_id", "item_id", "creator_id", "base_score"]).take(rows)
@@ -104,7 +108,7 @@ def rerank(scored: DataFrame, limit: int, s: Settings) -> DataFrame:
         )
 
     return (
-        scored.select("user_id", "item_id", "base_score", "creator_id", "div_tags", "vector")
+        scored.select("user_id", "item_id", "base_score", "creator_id", "div_slots", "vector")
         .groupBy("user_id")
         .applyInArrow(one_user, RESULT)
     )

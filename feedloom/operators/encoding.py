@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions import vectors as V
 from feedloom.taxonomy import NOT_A_PREFERENCE, UNINFORMATIVE, Taxonomy
 
 DEFAULT_CONFIDENCE = 0.5
@@ -38,64 +37,52 @@ def preference_tags(tags: DataFrame) -> DataFrame:
     return tags.where(~F.col("value").isin(*NOT_A_PREFERENCE))
 
 
+def _has(field: str, kind: str, value: str) -> str:
+    return f"({field} <=> '{value}')" if kind == "single" else f"coalesce(array_contains({field}, '{value}'), false)"
+
+
 def encode_features(features: DataFrame, tax: Taxonomy) -> DataFrame:
     """``(item_id, taxonomy_version, vector)``: confidence-weighted multi-hot, unit length.
 
     The vocabulary is closed and known when the plan is built, so every slot is one expression over the
-    row itself: no explode and no shuffle, and the encoder costs one scan of the features table.
+    row itself: no explode, no shuffle, one scan. A field spreads ``weight * confidence / sqrt(n)`` over its n
+    informative values, so it adds exactly ``(weight * confidence)^2`` to the squared norm when n > 0.
     """
-    values = {
-        field: F.array_distinct(F.array(F.col(field)) if kind == "single" else F.col(field)) for field, kind in tax.fields
-    }
-    share = {}
-    for field, weight in {r[0]: r[4] for r in tax.rows}.items():
-        informative = F.filter(values[field], lambda x: x.isNotNull() & ~x.isin(*UNINFORMATIVE))
-        confidence = F.coalesce(F.try_element_at(F.col("confidence"), F.lit(field)), F.lit(DEFAULT_CONFIDENCE))
-        share[field] = F.lit(weight) / F.sqrt(F.greatest(F.size(informative), F.lit(1)).cast("double")) * confidence
-    shares = features.select(
-        "item_id",
-        "taxonomy_version",
-        *[values[f].alias(f"_v_{f}") for f in values],
-        *[share[f].alias(f"_w_{f}") for f in share],
+    rows = sorted(tax.rows, key=lambda r: r[3])
+    informative: dict[str, list[str]] = {}
+    for field, kind, value, *_ in rows:
+        if value not in UNINFORMATIVE:
+            informative.setdefault(field, []).append(f"int({_has(field, kind, value)})")
+    weight = {r[0]: r[4] for r in rows}
+    counted = features.select(
+        "*",
+        *[F.expr(f"{' + '.join(terms)} AS _n_{f}") for f, terms in informative.items()],
+        *[F.expr(f"{weight[f]}D * coalesce(try_element_at(confidence, '{f}'), {DEFAULT_CONFIDENCE}D) AS _c_{f}") for f in informative],
     )
-    slots = [
-        F.lit(0.0)
-        if value in UNINFORMATIVE
-        else F.when(F.array_contains(f"_v_{field}", value), F.col(f"_w_{field}")).otherwise(F.lit(0.0))
-        for field, _, value, *_ in sorted(tax.rows, key=lambda r: r[3])
-    ]
-    raw = shares.select("item_id", "taxonomy_version", F.array(*slots).alias("raw"))
-    return raw.select(
-        "item_id", "taxonomy_version", "raw", V.norm(F.col("raw"), tax.dim).alias("_n")
-    ).select(
-        "item_id",
-        "taxonomy_version",
-        F.when(F.col("_n") == 0, F.col("raw")).otherwise(F.transform("raw", lambda x: x / F.col("_n"))).alias("vector"),
+    square = " + ".join(f"if(_n_{f} > 0, _c_{f} * _c_{f}, 0D)" for f in informative)
+    shared = counted.select(
+        "*",
+        F.expr(f"sqrt({square}) AS _norm"),
+    ).select("*", *[F.expr(f"if(_n_{f} > 0 AND _norm > 0, _c_{f} / sqrt(double(_n_{f})) / _norm, 0D) AS _w_{f}") for f in informative])
+    slots = ", ".join(
+        "0D" if value in UNINFORMATIVE else f"if({_has(field, kind, value)}, _w_{field}, 0D)" for field, kind, value, *_ in rows
     )
+    return shared.select("item_id", "taxonomy_version", F.expr(f"array({slots}) AS vector"))
 
 
 def tag_columns(features: DataFrame, tax: Taxonomy) -> DataFrame:
-    """Per item, without a shuffle: ``tag_slots`` of its preference tags and ``div_tags`` as ``field:value``."""
-
-    def pick(rows):
-        return F.filter(
-            F.array(
-                *[
-                    F.when(
-                        (F.col(field) == value) if kind == "single" else F.array_contains(field, value),
-                        out,
-                    )
-                    for field, kind, value, out in rows
-                ]
-            ),
-            lambda x: x.isNotNull(),
-        )
-
+    """Per item, without a shuffle: slots of its preference tags, its diversity tags and their slots."""
     usable = [r for r in sorted(tax.rows, key=lambda r: r[3]) if r[2] not in NOT_A_PREFERENCE]
+
+    def pick(rows, out) -> str:
+        return "array_compact(array(" + ", ".join(f"if({_has(r[0], r[1], r[2])}, {out(r)}, null)" for r in rows) + "))"
+
+    diverse = [r for r in usable if r[5]]
     return features.select(
         "item_id",
-        pick([(f, k, v, F.lit(slot)) for f, k, v, slot, *_ in usable]).alias("tag_slots"),
-        pick([(f, k, v, F.lit(f"{f}:{v}")) for f, k, v, _, _, div in usable if div]).alias("div_tags"),
+        F.expr(pick(usable, lambda r: r[3]) + " AS tag_slots"),
+        F.expr(pick(diverse, lambda r: f"'{r[0]}:{r[2]}'") + " AS div_tags"),
+        F.expr(pick(diverse, lambda r: r[3]) + " AS div_slots"),
     )
 
 

@@ -89,24 +89,15 @@ def recent_items(events: DataFrame, eligible_ids: DataFrame, s: Settings) -> Dat
     )
 
 
-def recent_repetition(recent: DataFrame, tagged: DataFrame, s: Settings) -> DataFrame:
-    """Per user: how often each creator and each tag occurs in the recent window, as shares of the window.
+def recent_repetition(recent: DataFrame, tagged: DataFrame, dim: int) -> DataFrame:
+    """Per user: how often each creator and each diversity tag occurs in the recent window.
 
-    The maps hold at most one window of items, so they stay small however long the history is.
+    The window holds a fixed number of items, so both results are small however long the history is.
     """
-    joined = recent.join(tagged.select("item_id", "creator_id", "div_tags"), "item_id")
-    size = joined.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    keys = joined.select(
-        "user_id",
-        F.explode(
-            F.concat(
-                F.when(F.length("creator_id") > 0, F.array(F.concat(F.lit("c|"), "creator_id"))).otherwise(F.array()),
-                F.transform("div_tags", lambda t: F.concat(F.lit("t|"), t)),
-            )
-        ).alias("key"),
-    )
-    counts = keys.groupBy("user_id", "key").agg(F.count(F.lit(1)).alias("c"))
-    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "c"))).alias("recent_counts"))
-    return size.join(maps, "user_id", "left").select(
-        "user_id", F.col("n").alias("recent_size"), "recent_counts"
+    joined = recent.join(tagged.select("item_id", "creator_id", "div_slots"), "item_id")
+    in_slot = [F.expr(f"int(count_if(array_contains(div_slots, {i})))") for i in range(dim)]
+    return joined.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("recent_size"),
+        F.array(*in_slot).alias("recent_slots"),
+        F.collect_list(F.when(F.length("creator_id") > 0, F.col("creator_id"))).alias("recent_creators"),
     )

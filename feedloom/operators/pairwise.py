@@ -14,6 +14,7 @@ so neither the pairs nor an unbounded group is ever materialised. Both uses belo
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,20 @@ from feedloom.config import Settings
 from feedloom.functions.hashing import FNV_SPACE, fnv_grid, fnv_states
 from feedloom.session import materialise
 
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Row counts that fix the number of blocks and slices; upper bounds are fine."""
+
+    users: int
+    items: int
+
+    @staticmethod
+    def of(users: DataFrame, items: DataFrame) -> "Sizes":
+        return Sizes(users.count(), items.count())
+
+
 SIM_DIGITS = 10
 _SLACK = 1e-9
 
@@ -129,13 +144,12 @@ def unseen_top(scored: DataFrame, seen: DataFrame, k: int) -> DataFrame:
 # --- cosine -------------------------------------------------------------------------------------------------
 
 
-def nearest_items(users: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
+def nearest_items(users: DataFrame, items: DataFrame, size: Sizes, s: Settings) -> DataFrame:
     """``users`` (user_id, vector, need) x ``items`` (item_id, vector) -> each user's ``need`` nearest items.
 
     ``need`` is K plus the user's seen count, so K unseen rows remain after the anti-join.
     """
-    n_items = items.count()
-    n_slices = max(1, math.ceil(users.count() / s.block_users))
+    n_items, n_slices = size.items, max(1, math.ceil(size.users / s.block_users))
     n_cells = min(s.max_pivots, max(1, math.ceil(n_items / s.block_items)))
     users = users.withColumn("floor", F.lit(-2.0)).withColumn("need", F.col("need").cast("bigint"))
     if n_cells == 1:
@@ -238,10 +252,11 @@ def _probe(users: DataFrame, pivots: np.ndarray, cells: dict[str, np.ndarray], f
 # --- exploration hash ---------------------------------------------------------------------------------------
 
 
-def top_hashed(users: DataFrame, items: DataFrame, seen: DataFrame, day: str, k: int, s: Settings) -> DataFrame:
+def top_hashed(
+    users: DataFrame, items: DataFrame, seen: DataFrame, day: str, k: int, size: Sizes, s: Settings
+) -> DataFrame:
     """``users`` (user_id, seen_count): the K unseen items with the highest hash, ties by item id."""
-    n_items = items.count()
-    n_slices = max(1, math.ceil(users.count() / s.block_users))
+    n_items, n_slices = size.items, max(1, math.ceil(size.users / s.block_users))
     n_blocks = max(1, math.ceil(n_items / s.block_items))
     blocks = items.select(
         "item_id", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(day).alias("day")

@@ -14,7 +14,7 @@ def signal_pairs(events: DataFrame, s: Settings) -> DataFrame:
     """Collapse the log to one row per (user, item) before any vector is joined.
 
     The sums below are linear in the signal, so the wide vector join sees each pair once and a hot user
-    or item costs one row per distinct partner, not one per event.
+    or item costs one row per distinct partner, not one per event. The same rows are the seen set.
     """
     sig = G.signal(F.col("type"), F.col("created_at"), G.now_col(s), s.halflife_days)
     rows = events.select("user_id", "item_id", "type", sig.alias("sig"))
@@ -29,26 +29,26 @@ def signal_pairs(events: DataFrame, s: Settings) -> DataFrame:
     )
 
 
-def history(events: DataFrame, items: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
-    """Signal pairs with creator and (possibly missing) vector."""
-    pairs = signal_pairs(events, s)
+def history(pairs: DataFrame, items: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Signal pairs of known items with the creator and whether a usable vector exists. Still narrow."""
     known = pairs.join(items.select("item_id", "creator_id"), "item_id")
-    return known.join(vectors.select("item_id", "vector"), "item_id", "left")
+    have = vectors.select("item_id", F.lit(True).alias("has_vector"))
+    return known.join(have, "item_id", "left").withColumn("has_vector", F.coalesce("has_vector", F.lit(False)))
 
 
-def build_profiles(hist: DataFrame, slot_names: list[str], version: int, s: Settings) -> DataFrame:
+def build_profiles(hist: DataFrame, vectors: DataFrame, slot_names: list[str], version: int, s: Settings) -> DataFrame:
     """One row per user. ``vector = sum(signal * v) / max(sum(|signal|), epsilon)``."""
     dim = len(slot_names)
-    has = F.col("vector").isNotNull() & (F.size("vector") == dim)
-    flat = hist.select(
+    has = F.col("has_vector")
+    flat = hist.join(vectors.select("item_id", F.col("vector").alias("_v")), "item_id", "left").select(
         "user_id",
         "n_events",
         F.when(has, F.lit(0)).otherwise(F.col("n_meaningful")).alias("skipped"),
         F.when(has, F.col("n_effective")).otherwise(F.lit(0)).alias("effective"),
         F.when(has, F.col("pos")).otherwise(F.lit(0.0)).alias("pos"),
         F.when(has, F.col("neg")).otherwise(F.lit(0.0)).alias("neg"),
-        F.when(has, F.col("sig")).otherwise(F.lit(0.0)).alias("sig"),
-        "vector",
+        F.col("sig"),
+        "_v",
     )
     sums = flat.groupBy("user_id").agg(
         F.sum("n_events").alias("interaction_count"),
@@ -56,12 +56,12 @@ def build_profiles(hist: DataFrame, slot_names: list[str], version: int, s: Sett
         F.sum("skipped").alias("skipped_no_features"),
         F.sum("pos").alias("positive_signal"),
         F.sum("neg").alias("negative_signal"),
-        *V.weighted_sums(F.col("vector"), F.col("sig"), dim),
+        *V.weighted_sums("_v", "sig", dim),
     )
     total = F.greatest(F.col("positive_signal") + F.col("negative_signal"), F.lit(s.signal_epsilon))
     return (
         sums.withColumn("abs_signal", total)
-        .withColumn("vector", V.gather_sums(dim, F.col("abs_signal")))
+        .withColumn("vector", V.gather_sums("abs_signal", dim))
         .select(
             "user_id",
             F.lit(version).alias("taxonomy_version"),
@@ -77,9 +77,9 @@ def build_profiles(hist: DataFrame, slot_names: list[str], version: int, s: Sett
     )
 
 
-def creator_affinity(hist: DataFrame, dim: int, s: Settings) -> DataFrame:
+def creator_affinity(hist: DataFrame, s: Settings) -> DataFrame:
     """Signed share per (user, creator) on the profile's own denominator. Missing creators are skipped."""
-    usable = hist.where(F.col("vector").isNotNull() & (F.size("vector") == dim) & (F.col("n_effective") > 0))
+    usable = hist.where(F.col("has_vector") & (F.col("n_effective") > 0))
     per_creator = usable.groupBy("user_id", "creator_id").agg(
         F.sum("sig").alias("sig"), F.sum("n_effective").alias("n"), F.sum(F.col("pos") + F.col("neg")).alias("mass")
     )
@@ -111,8 +111,8 @@ def preferred_tags(profiles: DataFrame, slot_names: list[str], skip: tuple[str,
 
     Everything needed sits in the profile row, so this is a projection: no join and no window.
     """
-    names = F.array(*[F.lit(x) for x in slot_names])
-    allowed = F.array(*[F.lit(x.split(":", 1)[1] not in skip) for x in slot_names])
+    names = V.literal_names(slot_names)
+    allowed = F.expr("array(" + ", ".join(str(x.split(":", 1)[1] not in skip).lower() for x in slot_names) + ")")
     entries = F.transform(
         F.arrays_zip(F.col("vector").alias("w"), names.alias("tag"), allowed.alias("ok")),
         lambda t, i: F.struct((-F.round(t["w"], 12)).alias("neg"), i.alias("slot"), t["tag"].alias("tag"), t["w"], t["ok"]),
@@ -126,7 +126,7 @@ def preferred_tags(profiles: DataFrame, slot_names: list[str], skip: tuple[str,
 
 def explain_profiles(profiles: DataFrame, slot_names: list[str], n: int) -> DataFrame:
     """Strongest likes and dislikes per user as long rows."""
-    names = F.array(*[F.lit(x) for x in slot_names])
+    names = V.literal_names(slot_names)
 
     def side(label: str, sign: float):
         entries = F.transform(

@@ -19,31 +19,36 @@ _ROW_BITS = 33
 def list_positions(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Number the rows of each ``list_key`` 1, 2, ... in ``order`` (which must be a total order).
 
-    Global sort, then ``monotonically_increasing_id`` (partition, row) plus per-partition offsets. The sorted
-    rows are written once, so offsets and rows come from the same partitions even if an executor is lost.
-    One list may hold any share of the rows: the sort splits inside a key.
+    Global sort, then ``monotonically_increasing_id`` (partition, row) plus one offset per (list, partition).
+    The sorted rows are written once, so offsets and rows come from the same partitions even if an executor is
+    lost. One list may hold any share of the rows: the sort splits inside a list. The offset table has at most
+    one row per list and per sort partition.
     """
     placed = materialise(rows.orderBy("list_key", *order).withColumn("_m", F.monotonically_increasing_id()))
-    part = F.shiftright("_m", _ROW_BITS)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition of the sort
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset"))
-    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(
-        "_g", F.col("_offset") + F.col("_m").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    placed = placed.withColumn("_part", F.shiftright("_m", _ROW_BITS))
+    runs = placed.groupBy("list_key", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    earlier = Window.partitionBy("list_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.select(
+        "list_key",
+        "_part",
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first")).alias("_shift"),
+        F.sum("_n").over(Window.partitionBy("list_key")).alias("list_size"),
     )
-    starts = numbered.groupBy("list_key").agg(F.min("_g").alias("_start"), F.count(F.lit(1)).alias("list_size"))
-    return numbered.join(starts, "list_key").select(
-        "list_key", (F.col("_g") - F.col("_start") + 1).alias("pos"), "item_id", "list_size"
+    return placed.join(F.broadcast(offsets), ["list_key", "_part"]).select(
+        "list_key", (F.col("_m") + F.col("_shift")).alias("pos"), "item_id", "list_size"
     )
 
 
 def take_unseen(
-    requests: DataFrame, lists: DataFrame, seen: DataFrame, n_lists: int, limits: dict[str, int], s: Settings
+    requests: DataFrame, lists: DataFrame, seen: DataFrame, n_lists: int, longest: int, limits: dict[str, int], s: Settings
 ) -> DataFrame:
     """First K unseen items per (user, source).
 
     ``requests``: (user_id, source, list_key, priority, seen_count); a source may name several lists, tried in
-    ``priority`` order. ``n_lists`` bounds the number of lists (vocabulary size plus a constant).
+    ``priority`` order. ``n_lists`` bounds the number of lists (vocabulary size plus a constant) and ``longest``
+    the length of any of them (the item count).
+
+    A list is skipped when an earlier one alone is long enough to fill the user's limit.
 
     The head of every list is at most ``n_lists * list_head`` rows and is broadcast when that bound fits;
     beyond the head only users with long histories remain, and those rows join by shuffle.
@@ -51,25 +56,27 @@ def take_unseen(
     chunk = F.floor((F.col("pos") - 1) / s.list_chunk)
     chunked = lists.withColumn("chunk", chunk)
     head_chunks = s.list_head // s.list_chunk
-    sizes = lists.groupBy("list_key").agg(F.max("list_size").alias("list_size"))
+    sizes = lists.where(F.col("pos") == 1).select("list_key", "list_size")
     limit_of = F.coalesce(*[F.when(F.col("source") == k, F.lit(v)) for k, v in limits.items()])
+    earlier = Window.partitionBy("user_id", "source").orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)
+    full = limit_of + F.col("seen_count")
     wanted = (
         requests.join(F.broadcast(sizes), "list_key")
-        .withColumn("need", F.least(limit_of + F.col("seen_count"), F.col("list_size")))
+        .withColumn("_before", F.max("list_size").over(earlier))
+        .where(F.col("_before").isNull() | (F.col("_before") < full))
+        .withColumn("need", F.least(full, F.col("list_size")))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("need") - 1) / s.list_chunk))))
         .select("user_id", "source", "list_key", "priority", "need", "chunk")
     )
-    head = chunked.where(F.col("chunk") < head_chunks).select("list_key", "chunk", "pos", "item_id")
-    if n_lists * s.list_head <= s.broadcast_rows:
+    rows = chunked.select("list_key", "chunk", "pos", "item_id")
+    head = rows.where(F.col("chunk") < head_chunks)
+    if n_lists * min(longest, s.list_head) <= s.broadcast_rows:
         head = F.broadcast(head)
-    tail = chunked.where(F.col("chunk") >= head_chunks).select("list_key", "chunk", "pos", "item_id")
-    pulled = (
-        wanted.where(F.col("chunk") < head_chunks)
-        .join(head, ["list_key", "chunk"])
-        .unionByName(wanted.where(F.col("chunk") >= head_chunks).join(tail, ["list_key", "chunk"]))
-        .where(F.col("pos") <= F.col("need"))
-        .select("user_id", "source", "item_id", "priority", "pos")
-    )
+    pulled = wanted.where(F.col("chunk") < head_chunks).join(head, ["list_key", "chunk"])
+    if longest > s.list_head:
+        tail = rows.where(F.col("chunk") >= head_chunks)
+        pulled = pulled.unionByName(wanted.where(F.col("chunk") >= head_chunks).join(tail, ["list_key", "chunk"]))
+    pulled = pulled.where(F.col("pos") <= F.col("need")).select("user_id", "source", "item_id", "priority", "pos")
     unseen = pulled.join(seen, ["user_id", "item_id"], "left_anti")
     best = unseen.groupBy("user_id", "item_id", "source").agg(F.min(F.struct("priority", "pos")).alias("o"))
     order = Window.partitionBy("user_id", "source").orderBy("o.priority", "o.pos", "item_id")

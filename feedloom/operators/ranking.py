@@ -28,12 +28,9 @@ def _tag_affinity(profile: Column, slots: Column) -> Column:
 def _fatigue(s: Settings) -> Column:
     """Largest share of the recent window taken by the item's creator or one of its tags, scaled by window fill."""
     n = F.coalesce(F.col("recent_size"), F.lit(0))
-
-    def seen(key: Column) -> Column:
-        return F.coalesce(F.try_element_at("recent_counts", key), F.lit(0))
-
-    creator = F.when(F.length("creator_id") > 0, seen(F.concat(F.lit("c|"), "creator_id"))).otherwise(F.lit(0))
-    tags = F.coalesce(F.array_max(F.transform("div_tags", lambda t: seen(F.concat(F.lit("t|"), t)))), F.lit(0))
+    by_creator = F.size(F.filter("recent_creators", lambda c: c == F.col("creator_id")))
+    creator = F.when(F.length("creator_id") > 0, by_creator).otherwise(F.lit(0))
+    tags = F.coalesce(F.array_max(F.transform("div_slots", lambda i: F.get("recent_slots", i))), F.lit(0))
     most = F.greatest(creator, tags).cast("double")
     fill = F.least(F.lit(1.0), n / F.lit(float(s.fatigue_window_items)))
     return F.when(n > 0, most / n * fill).otherwise(F.lit(0.0))
@@ -46,7 +43,6 @@ def score_candidates(
     affinity: DataFrame,
     repetition: DataFrame,
     popular: DataFrame,
-    dim: int,
     s: Settings,
 ) -> DataFrame:
     """Seven weighted terms per candidate.
@@ -63,7 +59,8 @@ def score_candidates(
     )
     item_side = items.join(popular.select("item_id", "popularity"), "item_id", "left")
     user_side = profiles.select(
-        "user_id", F.col("vector").alias("_p"), V.norm(F.col("vector"), dim).alias("_pn"), "is_cold_start"
+        "user_id", F.col("vector").alias("_p"), V.norm(F.col("vector")).alias("_pn"), "is_cold_start",
+        X.user_state(F.col("user_id")).alias("_hs"),
     ).join(repetition, "user_id", "left")
     joined = narrow.join(item_side, "item_id").join(user_side, "user_id")
     warm = ~F.col("is_cold_start")
@@ -71,16 +68,19 @@ def score_candidates(
     def personal(x: Column) -> Column:
         return F.when(warm, V.finite_or_zero(x)).otherwise(F.lit(0.0))
 
-    similarity = V.cosine_from(V.dot(F.col("_p"), F.col("vector"), dim), F.col("_pn"), F.col("vector_norm"))
-    featured = joined.select(
-        "user_id", "item_id", "sources", "creator_id", "creator_handle", "external_id", "div_tags", "vector",
+    raw = joined.withColumn("_dot", V.dot(F.col("_p"), F.col("vector"))).withColumn(
+        "_ta", _tag_affinity(F.col("_p"), F.col("tag_slots"))
+    )
+    similarity = V.cosine_from(F.col("_dot"), F.col("_pn"), F.col("vector_norm"))
+    featured = raw.select(
+        "user_id", "item_id", "sources", "creator_id", "creator_handle", "external_id", "div_tags", "div_slots", "vector",
         personal(similarity).alias("content_similarity"),
-        personal(_tag_affinity(F.col("_p"), F.col("tag_slots"))).alias("tag_affinity"),
+        personal(F.col("_ta")).alias("tag_affinity"),
         F.when(F.length("creator_id") > 0, personal(F.coalesce("_ca", F.lit(0.0)))).otherwise(F.lit(0.0)).alias("creator_affinity"),
         F.coalesce("popularity", F.lit(0.0)).alias("popularity"),
         "freshness",
         _fatigue(s).alias("fatigue"),
-        X.exploration_hash(F.col("user_id"), F.col("item_id"), F.lit(s.now[:10])).alias("exploration"),
+        X.unit_hash(F.col("_hs"), F.col("hash_codes")).alias("exploration"),
         "quality",
         "quality_available",
     ).withColumn("affinity", (F.col("content_similarity") + F.col("tag_affinity")) / 2)

@@ -16,6 +16,7 @@ from feedloom.operators import encoding as E
 from feedloom.operators import history as H
 from feedloom.operators import profiles as P
 from feedloom.operators import ranking as R
+from feedloom.operators.pairwise import Sizes
 from feedloom.session import materialise
 from feedloom.taxonomy import Taxonomy
 
@@ -42,28 +43,36 @@ class Inputs:
 
     @cached_property
     def ranking_items(self) -> DataFrame:
-        return K.ranking_items(self.eligible, self.features, self.tax, self.dim, self.s)
+        return K.ranking_items(self.eligible, self.features, self.tax, self.s)
 
     @cached_property
     def tags(self) -> DataFrame:
         return E.item_tags(self.features, self.tax)
 
+    @cached_property
+    def usable_vectors(self) -> DataFrame:
+        return K.current_vectors(self.vectors, self.tax.version, self.dim)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """One row per (user, item): profiles, creator affinity and the seen set all start here."""
+        return P.signal_pairs(self.events, self.s)
+
     @cached_property
     def seen(self) -> DataFrame:
-        return H.seen_pairs(self.events)
+        return self.pairs.select("user_id", "item_id")
 
     @cached_property
     def history(self) -> DataFrame:
-        current = K.current_vectors(self.vectors, self.tax.version, self.dim)
-        return P.history(self.events, self.items, current, self.s)
+        return P.history(self.pairs, self.items, self.usable_vectors)
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return P.build_profiles(self.history, self.slot_names, self.tax.version, self.s)
+        return P.build_profiles(self.history, self.usable_vectors, self.slot_names, self.tax.version, self.s)
 
     @cached_property
     def creator_affinity(self) -> DataFrame:
-        return P.creator_affinity(self.history, self.dim, self.s)
+        return P.creator_affinity(self.history, self.s)
 
     @cached_property
     def engagement(self) -> DataFrame:
@@ -88,16 +97,18 @@ def recommend(inputs: Inputs, limit: int, users: DataFrame | None = None) -> Rec
     Profiles and the item table feed several branches, so each is written once to the shared folder.
     """
     s = inputs.s
+    inputs.pairs = materialise(inputs.pairs)
     profiles, seen, affinity, recent = inputs.profiles, inputs.seen, inputs.creator_affinity, inputs.recent
     if users is not None:
         ids = users.select("user_id").distinct()
         profiles, seen, affinity, recent = (d.join(ids, "user_id", "left_semi") for d in (profiles, seen, affinity, recent))
     profiles = materialise(profiles)
     items = materialise(inputs.ranking_items)
+    size = Sizes.of(profiles, items)
     base = C.user_base(profiles, seen)
-    cand = materialise(C.generate(profiles, items, inputs.engagement, inputs.tags, seen, inputs.tax, s))
+    cand = materialise(C.generate(base, profiles, items, inputs.engagement, inputs.tags, seen, inputs.tax, size, s))
     scored = R.score_candidates(
-        cand, items, profiles, affinity, H.recent_repetition(recent, items, s), H.popularity(inputs.engagement), inputs.dim, s
+        cand, items, profiles, affinity, H.recent_repetition(recent, items, inputs.tax.dim), H.popularity(inputs.engagement), s
     )
     return Recommendation(base, cand, scored, Y.rerank(scored, limit, s))
 
