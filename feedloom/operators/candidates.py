@@ -57,21 +57,17 @@ def fresh_rows(eligible: DataFrame) -> DataFrame:
     )
 
 
-def tag_rows(eligible: DataFrame, tags: DataFrame) -> DataFrame:
-    """One posting per (tag, item); inside a tag the order is the item id."""
-    return (
-        tags.where(~F.col("value").isin(*NOT_A_PREFERENCE))
-        .join(eligible.select("item_id"), "item_id", "left_semi")
-        .select(F.concat_ws(":", "field", "value").alias("list_key"), F.lit(0.0).alias("key"), "item_id")
+def tag_rows(eligible: DataFrame) -> DataFrame:
+    """One posting per (preference tag, item), keyed by the tag's slot; inside a tag the order is the item id."""
+    return eligible.select(F.explode("tag_slots").alias("slot"), "item_id").select(
+        F.concat(F.lit("slot-"), F.col("slot").cast("string")).alias("list_key"), F.lit(0.0).alias("key"), "item_id"
     )
 
 
 def list_sources(
     base: DataFrame,
-    profiles: DataFrame,
     eligible: DataFrame,
     engaged: DataFrame,
-    tags: DataFrame,
     seen: DataFrame,
     tax: Taxonomy,
     size: pairwise.Sizes,
@@ -80,27 +76,29 @@ def list_sources(
 ) -> DataFrame:
     """Tag, trending and fresh sources: one sort builds all lists, one pass takes from them.
 
-    Tag source order: the user's strongest matching tag first, then item id.
+    ``eligible`` carries ``created_at`` and ``tag_slots``. Tag source order: the user's strongest matching tag
+    first, then item id.
     """
     rows, asks = [], []
+
+    def ask(users: DataFrame, source: str, list_key, priority) -> None:
+        asks.append(users.select("user_id", F.lit(source).alias("source"), list_key.alias("list_key"), priority.alias("priority"), "seen_count"))
+
     if "trending" in which:
         rows.append(trending_rows(engaged, eligible))
-        asks.append(base.select("user_id", F.lit("trending").alias("source"), F.lit(TRENDING_KEY).alias("list_key"), F.lit(0).alias("priority"), "seen_count"))
+        ask(base, "trending", F.lit(TRENDING_KEY), F.lit(0))
     if "fresh" in which:
         rows.append(fresh_rows(eligible))
-        asks.append(base.select("user_id", F.lit("fresh").alias("source"), F.lit(FRESH_KEY).alias("list_key"), F.lit(0).alias("priority"), "seen_count"))
+        ask(base, "fresh", F.lit(FRESH_KEY), F.lit(0))
     if "tag" in which:
-        rows.append(tag_rows(eligible, tags))
-        wanted = preferred_tags(profiles.where(~F.col("is_cold_start")), tax.slot_names, NOT_A_PREFERENCE, s.preferred_tags)
-        asks.append(
-            wanted.join(base.select("user_id", "seen_count"), "user_id").select(
-                "user_id", F.lit("tag").alias("source"), F.col("tag").alias("list_key"), F.col("tag_rank").alias("priority"), "seen_count"
-            )
-        )
+        rows.append(tag_rows(eligible))
+        warm = base.where(~F.col("is_cold_start"))
+        wanted = preferred_tags(warm, tax.slot_names, NOT_A_PREFERENCE, s.preferred_tags, ("seen_count",))
+        ask(wanted, "tag", F.concat(F.lit("slot-"), F.col("slot").cast("string")), F.col("tag_rank"))
     lists, requests = rows[0], asks[0]
     for r, a in zip(rows[1:], asks[1:]):
         lists, requests = lists.unionByName(r), requests.unionByName(a)
-    ordered = list_positions(lists, [F.desc("key"), F.col("item_id")])
+    ordered = list_positions(lists, [F.desc("key"), F.col("item_id")], size.items, s.list_head)
     return take_unseen(requests, ordered, seen, tax.dim + 2, size.items, {k: s.source_limits[k] for k in which}, s)
 
 
@@ -139,19 +137,11 @@ def candidate_counts(base: DataFrame, candidates: DataFrame, eligible: DataFrame
 
 
 def generate(
-    base: DataFrame,
-    profiles: DataFrame,
-    eligible: DataFrame,
-    engaged: DataFrame,
-    tags: DataFrame,
-    seen: DataFrame,
-    tax: Taxonomy,
-    size: pairwise.Sizes,
-    s: Settings,
+    base: DataFrame, eligible: DataFrame, engaged: DataFrame, seen: DataFrame, tax: Taxonomy, size: pairwise.Sizes, s: Settings
 ) -> DataFrame:
     """All five sources, unioned with provenance."""
     cols = ["user_id", "item_id", "source"]
-    listed = list_sources(base, profiles, eligible, engaged, tags, seen, tax, size, s).select(*cols)
+    listed = list_sources(base, eligible, engaged, seen, tax, size, s).select(*cols)
     similar = similar_source(base, eligible, seen, size, s).withColumn("source", F.lit("similar")).select(*cols)
     explore = explore_source(base, eligible, seen, size, s).withColumn("source", F.lit("explore")).select(*cols)
     return union_sources(listed.unionByName(similar).unionByName(explore), eligible)

@@ -106,7 +106,7 @@ def profile_slots(profiles: DataFrame, slots: DataFrame) -> DataFrame:
     return exploded.join(F.broadcast(slots.select("slot", "field", "value")), "slot")
 
 
-def preferred_tags(profiles: DataFrame, slot_names: list[str], skip: tuple[str, ...], n: int) -> DataFrame:
+def preferred_tags(profiles: DataFrame, slot_names: list[str], skip: tuple[str, ...], n: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """The strongest positive preferences per user, ranked; ties go to the lower slot.
 
     Everything needed sits in the profile row, so this is a projection: no join and no window.
@@ -118,8 +118,8 @@ def preferred_tags(profiles: DataFrame, slot_names: list[str], skip: tuple[str,
         lambda t, i: F.struct((-F.round(t["w"], 12)).alias("neg"), i.alias("slot"), t["tag"].alias("tag"), t["w"], t["ok"]),
     )
     best = F.slice(F.array_sort(F.filter(entries, lambda t: (t["w"] > 0) & t["ok"])), 1, n)
-    return profiles.select("user_id", F.posexplode(best).alias("p", "t")).select(
-        "user_id", (F.col("p") + 1).alias("tag_rank"), F.col("t.slot").alias("slot"), F.col("t.tag").alias("tag"),
+    return profiles.select("user_id", *carry, F.posexplode(best).alias("p", "t")).select(
+        "user_id", *carry, (F.col("p") + 1).alias("tag_rank"), F.col("t.slot").alias("slot"), F.col("t.tag").alias("tag"),
         F.col("t.w").alias("weight"),
     )
 

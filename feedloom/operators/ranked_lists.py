@@ -16,14 +16,21 @@ from feedloom.session import materialise
 _ROW_BITS = 33
 
 
-def list_positions(rows: DataFrame, order: list[Column]) -> DataFrame:
+def list_positions(rows: DataFrame, order: list[Column], longest: int | None = None, bound: int = 0) -> DataFrame:
     """Number the rows of each ``list_key`` 1, 2, ... in ``order`` (which must be a total order).
 
     Global sort, then ``monotonically_increasing_id`` (partition, row) plus one offset per (list, partition).
     The sorted rows are written once, so offsets and rows come from the same partitions even if an executor is
     lost. One list may hold any share of the rows: the sort splits inside a list. The offset table has at most
-    one row per list and per sort partition.
+    one row per list and per sort partition. When ``longest`` (no list is longer) is within ``bound``, a window per
+    list is safe and saves the write.
     """
+    if longest is not None and longest <= bound:
+        whole = Window.partitionBy("list_key")
+        return rows.select(
+            "list_key", F.row_number().over(whole.orderBy(*order)).cast("bigint").alias("pos"), "item_id",
+            F.count(F.lit(1)).over(whole).alias("list_size"),
+        )
     placed = materialise(rows.orderBy("list_key", *order).withColumn("_m", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_m", _ROW_BITS))
     runs = placed.groupBy("list_key", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))

@@ -44,7 +44,7 @@ def _base(i: Inputs):
     """Shared by the single-source queries: profiles and eligible items written once, sizes counted once."""
     i.pairs = materialise(i.pairs)
     profiles = materialise(i.profiles)
-    items = materialise(i.eligible.select("item_id", "creator_id", "created_at", "vector"))
+    items = materialise(i.eligible.join(E.tag_columns(i.features, i.tax), "item_id").select("item_id", "creator_id", "created_at", "vector", "tag_slots"))
     return C.user_base(profiles, i.seen), profiles, items, W.Sizes.of(profiles, items)
 
 
@@ -257,8 +257,8 @@ def explore_source(spark, d):
 
 def _listed(spark, d, which: str) -> DataFrame:
     i = tag_inputs(spark, d)
-    base, profiles, items, size = _base(i)
-    return C.list_sources(base, profiles, items, i.engagement, i.tags, i.seen, i.tax, size, S, (which,)).select("user_id", "item_id", "rank")
+    base, _, items, size = _base(i)
+    return C.list_sources(base, items, i.engagement, i.seen, i.tax, size, S, (which,)).select("user_id", "item_id", "rank")
 
 
 @query("SELECT user_id, item_id, rank FROM src_tag", keys="user_id, item_id", ints="rank")
@@ -285,8 +285,8 @@ def exploration_hash(spark, d):
 
 
 def _candidates(i: Inputs):
-    base, profiles, items, size = _base(i)
-    return base, items, C.generate(base, profiles, items, i.engagement, i.tags, i.seen, i.tax, size, i.s)
+    base, _, items, size = _base(i)
+    return base, items, C.generate(base, items, i.engagement, i.seen, i.tax, size, i.s)
 
 
 @query("SELECT user_id, item_id, sources FROM cand")

@@ -106,7 +106,7 @@ def recommend(inputs: Inputs, limit: int, users: DataFrame | None = None) -> Rec
     items = materialise(inputs.ranking_items)
     size = Sizes.of(profiles, items)
     base = C.user_base(profiles, seen)
-    cand = materialise(C.generate(base, profiles, items, inputs.engagement, inputs.tags, seen, inputs.tax, size, s))
+    cand = materialise(C.generate(base, items, inputs.engagement, seen, inputs.tax, size, s))
     scored = R.score_candidates(
         cand, items, profiles, affinity, H.recent_repetition(recent, items, inputs.tax.dim), H.popularity(inputs.engagement), s
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +47,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back, so later reads neither recompute nor drift."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the shared folder once and read it back.
+
+    Later reads neither recompute nor drift, survive lost executors, read only the columns they need, and carry
+    a known size, which is what lets the planner decide on a broadcast.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def pin_utc(spark: SparkSession) -> None:

@@ -12,7 +12,10 @@ from feedloom.functions import signals as G
 from feedloom.functions import vectors as V
 
 S = Settings()
-TS = F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+
+def at(text):
+    return F.lit(text).cast("timestamp")
 
 
 def one(spark, *cols):
@@ -31,8 +34,8 @@ def test_weights_and_decay(spark):
         spark,
         *[G.event_weight(F.lit(t)).alias(t) for t in ("impression", "view", "watch", "complete", "like", "skip", "dislike", "other")],
         G.decay(F.lit(7.0), 7.0).alias("half"), G.decay(F.lit(3.0), 0.0).alias("off"),
-        G.age_days(F.lit("2024-02-05").cast("timestamp"), TS).alias("future"),
-        G.signal(F.lit("skip"), F.lit("2024-01-24").cast("timestamp"), TS, 7.0).alias("skip_week"),
+        G.age_days(at("2024-02-05"), at(S.now)).alias("future"),
+        G.signal(F.lit("skip"), at("2024-01-24"), at(S.now), 7.0).alias("skip_week"),
         G.is_meaningful(F.lit("impression")).alias("seen_only"),
     )
     assert list(row)[:8] == [0.0, 0.25, 0.25, 0.6, 1.0, -0.5, -1.0, 0.0]
@@ -41,10 +44,11 @@ def test_weights_and_decay(spark):
 
 
 def test_freshness_and_recency(spark):
-    at = F.lit("2024-01-24 00:00:00").cast("timestamp")
-    later = F.lit("2024-02-24 00:00:00").cast("timestamp")
-    edge = F.lit("2024-01-28 00:00:00").cast("timestamp")
-    row = one(spark, G.freshness(at, TS, 168.0).alias("a"), G.freshness(later, TS, 168.0).alias("b"), G.window_recency(edge, TS, 72).alias("c"), G.window_recency(later, TS, 72).alias("d"))
+    week, later, edge, now = at("2024-01-24"), at("2024-02-24"), at("2024-01-28"), at(S.now)
+    row = one(
+        spark, G.freshness(week, now, 168.0).alias("a"), G.freshness(later, now, 168.0).alias("b"),
+        G.window_recency(edge, now, 72).alias("c"), G.window_recency(later, now, 72).alias("d"),
+    )
     assert list(row) == [0.5, 1.0, 0.0, 1.0]
 
 
