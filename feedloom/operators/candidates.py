@@ -105,9 +105,10 @@ def list_sources(
 def union_sources(per_source: DataFrame, eligible: DataFrame) -> DataFrame:
     """One row per (user, item) with every source that produced it, in fixed order; ineligible items drop out."""
     kept = per_source.join(eligible.select("item_id"), "item_id", "left_semi")
-    order = F.array(*[F.lit(x) for x in SOURCE_ORDER])
-    found = kept.groupBy("user_id", "item_id").agg(F.collect_set("source").alias("found"))
-    return found.select("user_id", "item_id", F.filter(order, lambda x: F.array_contains("found", x)).alias("sources"))
+    bit = F.coalesce(*[F.when(F.col("source") == x, F.lit(1 << i)) for i, x in enumerate(SOURCE_ORDER)])
+    found = kept.groupBy("user_id", "item_id").agg(F.bit_or(bit).alias("bits"))
+    names = [F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(x)) for i, x in enumerate(SOURCE_ORDER)]
+    return found.select("user_id", "item_id", F.array_compact(F.array(*names)).alias("sources"))
 
 
 def candidate_counts(base: DataFrame, candidates: DataFrame, eligible: DataFrame, seen: DataFrame, limit: int) -> DataFrame:

@@ -14,6 +14,7 @@ from feedloom.config import Settings
 from feedloom.session import materialise
 
 _ROW_BITS = 33
+_POS_BITS = 48  # list positions stay below 2^48, priorities above
 
 
 def list_positions(rows: DataFrame, order: list[Column], longest: int | None = None, bound: int = 0) -> DataFrame:
@@ -85,10 +86,11 @@ def take_unseen(
         pulled = pulled.unionByName(wanted.where(F.col("chunk") >= head_chunks).join(tail, ["list_key", "chunk"]))
     pulled = pulled.where(F.col("pos") <= F.col("need")).select("user_id", "source", "item_id", "priority", "pos")
     unseen = pulled.join(seen, ["user_id", "item_id"], "left_anti")
-    best = unseen.groupBy("user_id", "item_id", "source").agg(F.min(F.struct("priority", "pos")).alias("o"))
-    order = Window.partitionBy("user_id", "source").orderBy("o.priority", "o.pos", "item_id")
+    place = F.shiftleft(F.col("priority").cast("bigint"), _POS_BITS) + F.col("pos")
+    best = unseen.groupBy("user_id", "item_id", "source").agg(F.min(place).alias("place"))
+    order = Window.partitionBy("user_id", "source").orderBy("place", "item_id")
     return (
         best.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= limit_of)
+        .where((F.col("rank") <= max(limits.values())) & (F.col("rank") <= limit_of))
         .select("user_id", "item_id", "source", "rank")
     )

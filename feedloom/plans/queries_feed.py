@@ -87,13 +87,13 @@ def diversity_tags(spark, d):
 
 @query("SELECT item_id, slot, w FROM enc WHERE w <> 0", keys="item_id", ints="slot", nums="w")
 def encoded_vectors(spark, d):
-    v = E.encode_features(T.item_features(spark, d), T.vocabulary())
+    v = materialise(E.encode_features(T.item_features(spark, d), T.vocabulary()))
     return v.select("item_id", F.posexplode("vector").alias("slot", "w")).where(F.col("w") != 0)
 
 
 @query("SELECT item_id, slot, w FROM enc WHERE w <> 0 AND item_id % 23 <> 0", keys="item_id", ints="slot", nums="w")
 def reencoded_vectors(spark, d):
-    v = E.reencode(T.item_features(spark, d), T.vocabulary())
+    v = materialise(E.reencode(T.item_features(spark, d), T.vocabulary()))
     return v.select("item_id", F.posexplode("vector").alias("slot", "w")).where(F.col("w") != 0)
 
 

@@ -17,7 +17,7 @@ from feedloom.operators import history as H
 from feedloom.operators import profiles as P
 from feedloom.operators import ranking as R
 from feedloom.operators.pairwise import Sizes
-from feedloom.session import materialise
+from feedloom.session import materialise, materialise_all
 from feedloom.taxonomy import Taxonomy
 
 
@@ -97,19 +97,24 @@ def recommend(inputs: Inputs, limit: int, users: DataFrame | None = None) -> Rec
     Profiles and the item table feed several branches, so each is written once to the shared folder.
     """
     s = inputs.s
-    inputs.pairs = materialise(inputs.pairs)
-    profiles, seen, affinity, recent = inputs.profiles, inputs.seen, inputs.creator_affinity, inputs.recent
-    if users is not None:
-        ids = users.select("user_id").distinct()
-        profiles, seen, affinity, recent = (d.join(ids, "user_id", "left_semi") for d in (profiles, seen, affinity, recent))
-    profiles = materialise(profiles)
-    items = materialise(inputs.ranking_items)
+    ids = None if users is None else users.select("user_id").distinct()
+
+    def of_users(df: DataFrame) -> DataFrame:
+        return df if ids is None else df.join(ids, "user_id", "left_semi")
+
+    inputs.pairs, items, popular = materialise_all(
+        inputs.pairs, inputs.ranking_items, H.popularity(inputs.engagement)
+    )
+    seen = of_users(inputs.seen)
+    profiles, affinity, repetition = materialise_all(
+        of_users(inputs.profiles),
+        of_users(inputs.creator_affinity),
+        H.recent_repetition(H.recent_items(of_users(inputs.events), items, s), items, inputs.tax.dim),
+    )
     size = Sizes.of(profiles, items)
     base = C.user_base(profiles, seen)
-    cand = materialise(C.generate(base, items, inputs.engagement, seen, inputs.tax, size, s))
-    scored = R.score_candidates(
-        cand, items, profiles, affinity, H.recent_repetition(recent, items, inputs.tax.dim), H.popularity(inputs.engagement), s
-    )
+    cand = materialise(C.generate(base, items, popular, seen, inputs.tax, size, s))
+    scored = R.score_candidates(cand, items, profiles, affinity, repetition, popular, s)
     return Recommendation(base, cand, scored, Y.rerank(scored, limit, s))
 
 

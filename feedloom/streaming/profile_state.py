@@ -1,8 +1,8 @@
 """Incremental profiles: decayed running sums that add up to the batch formula.
 
 With ``s = w * 2^(-(t_ref - t) / h)`` at a fixed reference time, moving the reference multiplies every sum by the
-same power of two, so events may arrive in any order and late ones add exactly. Only events dated after the
-reading time need care: the batch formula gives them full weight, so they wait in ``held`` until due.
+same power of two, so events may arrive in any order and late ones add exactly. Rows dated after the reference
+count in full (micro-batch sums) or move the reference forward (keyed state).
 """
 
 from __future__ import annotations
@@ -25,14 +25,13 @@ def decayed_sums(rows: DataFrame, reference: str, dim: int, s: Settings) -> Data
     """One micro-batch as partial sums per user at a fixed reference time.
 
     Decay is a factor per row, so partial sums of any split of the log add up: map-side combine works and a hot
-    user costs one row per task. Rows dated after ``reference`` are held back.
+    user costs one row per task. Rows dated after ``reference`` have age 0, as in the batch formula.
     """
     at = F.lit(reference).cast("timestamp")
-    due = rows.where(F.col("created_at") <= at)
     weight = G.event_weight(F.col("type"))
     has = F.col("vector").isNotNull() & (F.size("vector") == dim)
     sig = weight * G.decay(G.age_days(F.col("created_at"), at), s.halflife_days)
-    flat = due.select(
+    flat = rows.select(
         "user_id", "vector", F.when(has, sig).otherwise(F.lit(0.0)).alias("sig"),
         (has & (sig != 0)).alias("eff"), (~has & (weight != 0)).alias("skip"),
     )
