@@ -45,8 +45,9 @@ def explore_source(base: DataFrame, eligible: DataFrame, seen: DataFrame, size:
 TRENDING_KEY, FRESH_KEY = "trending", "fresh"
 
 
-def trending_rows(engaged: DataFrame, eligible: DataFrame) -> DataFrame:
-    return engaged.where(F.round("engagement", 10) > 0).join(eligible.select("item_id"), "item_id", "left_semi").select(
+def trending_rows(eligible: DataFrame) -> DataFrame:
+    """Positive engagement only; items without events in the window have none."""
+    return eligible.where(F.round("engagement", 10) > 0).select(
         F.lit(TRENDING_KEY).alias("list_key"), F.round("engagement", 10).alias("key"), "item_id"
     )
 
@@ -67,7 +68,6 @@ def tag_rows(eligible: DataFrame) -> DataFrame:
 def list_sources(
     base: DataFrame,
     eligible: DataFrame,
-    engaged: DataFrame,
     seen: DataFrame,
     tax: Taxonomy,
     size: pairwise.Sizes,
@@ -76,7 +76,7 @@ def list_sources(
 ) -> DataFrame:
     """Tag, trending and fresh sources: one sort builds all lists, one pass takes from them.
 
-    ``eligible`` carries ``created_at`` and ``tag_slots``. Tag source order: the user's strongest matching tag
+    ``eligible`` carries ``created_at``, ``engagement`` and ``tag_slots``. Tag source order: the user's strongest matching tag
     first, then item id.
     """
     rows, asks = [], []
@@ -85,7 +85,7 @@ def list_sources(
         asks.append(users.select("user_id", F.lit(source).alias("source"), list_key.alias("list_key"), priority.alias("priority"), "seen_count"))
 
     if "trending" in which:
-        rows.append(trending_rows(engaged, eligible))
+        rows.append(trending_rows(eligible))
         ask(base, "trending", F.lit(TRENDING_KEY), F.lit(0))
     if "fresh" in which:
         rows.append(fresh_rows(eligible))
@@ -137,12 +137,11 @@ def candidate_counts(base: DataFrame, candidates: DataFrame, eligible: DataFrame
     )
 
 
-def generate(
-    base: DataFrame, eligible: DataFrame, engaged: DataFrame, seen: DataFrame, tax: Taxonomy, size: pairwise.Sizes, s: Settings
-) -> DataFrame:
-    """All five sources, unioned with provenance."""
+def generate(base: DataFrame, eligible: DataFrame, seen: DataFrame, tax: Taxonomy, size: pairwise.Sizes, s: Settings) -> dict[str, DataFrame]:
+    """All five sources as independent frames; callers write them side by side and union them."""
     cols = ["user_id", "item_id", "source"]
-    listed = list_sources(base, eligible, engaged, seen, tax, size, s).select(*cols)
-    similar = similar_source(base, eligible, seen, size, s).withColumn("source", F.lit("similar")).select(*cols)
-    explore = explore_source(base, eligible, seen, size, s).withColumn("source", F.lit("explore")).select(*cols)
-    return union_sources(listed.unionByName(similar).unionByName(explore), eligible)
+    return {
+        "listed": list_sources(base, eligible, seen, tax, size, s).select(*cols),
+        "similar": similar_source(base, eligible, seen, size, s).withColumn("source", F.lit("similar")).select(*cols),
+        "explore": explore_source(base, eligible, seen, size, s).withColumn("source", F.lit("explore")).select(*cols),
+    }

@@ -28,11 +28,16 @@ def eligible_items(items: DataFrame, vectors: DataFrame, features: DataFrame, ve
     )
 
 
-def ranking_items(eligible: DataFrame, features: DataFrame, tax: Taxonomy, s: Settings) -> DataFrame:
-    """Per-item terms that do not depend on the user, computed once instead of once per candidate."""
+def ranking_items(
+    eligible: DataFrame, features: DataFrame, popular: DataFrame, tax: Taxonomy, s: Settings
+) -> DataFrame:
+    """Per-item terms that do not depend on the user, computed once instead of once per candidate.
+
+    ``popular``: item_id, engagement, popularity of the trending window.
+    """
     quality = F.col("quality_raw")
     available = quality.isNotNull() & ~F.isnan(quality)
-    return eligible.join(tag_columns(features, tax), "item_id").select(
+    return eligible.join(tag_columns(features, tax), "item_id").join(popular, "item_id", "left").select(
         "item_id",
         "creator_id",
         "creator_handle",
@@ -47,6 +52,8 @@ def ranking_items(eligible: DataFrame, features: DataFrame, tax: Taxonomy, s: Se
         G.freshness(F.col("created_at"), G.now_col(s), s.freshness_halflife_hours).alias("freshness"),
         F.when(available, F.greatest(F.lit(0.0), F.least(F.lit(1.0), quality))).otherwise(F.lit(0.0)).alias("quality"),
         available.alias("quality_available"),
+        "engagement",
+        F.coalesce("popularity", F.lit(0.0)).alias("popularity"),
     )
 
 

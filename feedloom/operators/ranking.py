@@ -42,7 +42,6 @@ def score_candidates(
     profiles: DataFrame,
     affinity: DataFrame,
     repetition: DataFrame,
-    popular: DataFrame,
     s: Settings,
 ) -> DataFrame:
     """Seven weighted terms per candidate.
@@ -57,12 +56,11 @@ def score_candidates(
         .join(affinity.select("user_id", "creator_id", F.col("score").alias("_ca")), ["user_id", "creator_id"], "left")
         .drop("creator_id")
     )
-    item_side = items.join(popular.select("item_id", "popularity"), "item_id", "left")
     user_side = profiles.select(
         "user_id", F.col("vector").alias("_p"), V.norm(F.col("vector")).alias("_pn"), "is_cold_start",
         X.user_state(F.col("user_id")).alias("_hs"),
     ).join(repetition, "user_id", "left")
-    joined = narrow.join(item_side, "item_id").join(user_side, "user_id")
+    joined = narrow.join(items, "item_id").join(user_side, "user_id")
     warm = ~F.col("is_cold_start")
 
     def personal(x: Column) -> Column:
@@ -77,7 +75,7 @@ def score_candidates(
         personal(similarity).alias("content_similarity"),
         personal(F.col("_ta")).alias("tag_affinity"),
         F.when(F.length("creator_id") > 0, personal(F.coalesce("_ca", F.lit(0.0)))).otherwise(F.lit(0.0)).alias("creator_affinity"),
-        F.coalesce("popularity", F.lit(0.0)).alias("popularity"),
+        "popularity",
         "freshness",
         _fatigue(s).alias("fatigue"),
         X.unit_hash(F.col("_hs"), F.col("hash_codes")).alias("exploration"),

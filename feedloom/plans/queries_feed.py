@@ -20,7 +20,7 @@ from feedloom.operators import ranking as R
 from feedloom.plans import oracles as O
 from feedloom.plans.recommend import Inputs, diagnostics, recommend
 from feedloom.plans.registry import query
-from feedloom.session import materialise
+from feedloom.session import materialise, materialise_all
 from feedloom.sources import tables as T
 from feedloom.taxonomy import NOT_A_PREFERENCE
 
@@ -42,9 +42,8 @@ def dense_inputs(spark, d, s: Settings = S) -> Inputs:
 
 def _base(i: Inputs):
     """Shared by the single-source queries: profiles and eligible items written once, sizes counted once."""
-    i.pairs = materialise(i.pairs)
+    i.pairs, items = materialise_all(i.pairs, i.ranking_items)
     profiles = materialise(i.profiles)
-    items = materialise(i.eligible.join(E.tag_columns(i.features, i.tax), "item_id").select("item_id", "creator_id", "created_at", "vector", "tag_slots"))
     return C.user_base(profiles, i.seen), profiles, items, W.Sizes.of(profiles, items)
 
 
@@ -258,7 +257,7 @@ def explore_source(spark, d):
 def _listed(spark, d, which: str) -> DataFrame:
     i = tag_inputs(spark, d)
     base, _, items, size = _base(i)
-    return C.list_sources(base, items, i.engagement, i.seen, i.tax, size, S, (which,)).select("user_id", "item_id", "rank")
+    return C.list_sources(base, items, i.seen, i.tax, size, S, (which,)).select("user_id", "item_id", "rank")
 
 
 @query("SELECT user_id, item_id, rank FROM src_tag", keys="user_id, item_id", ints="rank")
@@ -286,7 +285,8 @@ def exploration_hash(spark, d):
 
 def _candidates(i: Inputs):
     base, _, items, size = _base(i)
-    return base, items, C.generate(base, items, i.engagement, i.seen, i.tax, size, i.s)
+    listed, similar, explore = materialise_all(*C.generate(base, items, i.seen, i.tax, size, i.s).values())
+    return base, items, C.union_sources(listed.unionByName(similar).unionByName(explore), items)
 
 
 @query("SELECT user_id, item_id, sources FROM cand")
@@ -366,8 +366,7 @@ def recommended_dense(spark, d):
     i = dense_inputs(spark, d)
     base, _, items, size = _base(i)
     near = C.similar_source(base, items, i.seen, size, S)
-    tags = E.tag_columns(i.features, i.tax)
-    scored = near.join(items, "item_id").join(tags, "item_id").withColumn("base_score", F.round("score", R.SCORE_DIGITS))
+    scored = near.join(items, "item_id").withColumn("base_score", F.round("score", R.SCORE_DIGITS))
     return Y.rerank(scored, 20, S)
 
 

@@ -456,7 +456,7 @@ def learned_ranker(spark, d):
     shown = i.pairs.where(F.col("n_effective") > 0).select("user_id", "item_id", (F.col("sig") > 0).cast("double").alias("label"))
     cand = shown.join(items.select("item_id"), "item_id", "left_semi").withColumn("sources", F.array(F.lit("logged")))
     rep = H.recent_repetition(i.recent, items, i.tax.dim)
-    scored = R.score_candidates(cand.drop("label"), items, profiles, i.creator_affinity, rep, H.popularity(i.engagement), S)
+    scored = R.score_candidates(cand.drop("label"), items, profiles, i.creator_affinity, rep, S)
     names = ["content_similarity", "tag_affinity", "creator_affinity", "popularity", "freshness", "fatigue", "exploration", "quality"]
     rows = VectorAssembler(inputCols=names, outputCol="x").transform(scored.select("user_id", "item_id", *names).join(shown, ["user_id", "item_id"]))
     model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=20, regParam=0.01).fit(materialise(rows.select("x", "label")))

@@ -43,7 +43,7 @@ class Inputs:
 
     @cached_property
     def ranking_items(self) -> DataFrame:
-        return K.ranking_items(self.eligible, self.features, self.tax, self.s)
+        return K.ranking_items(self.eligible, self.features, H.popularity(self.engagement), self.tax, self.s)
 
     @cached_property
     def tags(self) -> DataFrame:
@@ -102,19 +102,19 @@ def recommend(inputs: Inputs, limit: int, users: DataFrame | None = None) -> Rec
     def of_users(df: DataFrame) -> DataFrame:
         return df if ids is None else df.join(ids, "user_id", "left_semi")
 
-    inputs.pairs, items, popular = materialise_all(
-        inputs.pairs, inputs.ranking_items, H.popularity(inputs.engagement)
-    )
+    inputs.pairs, items = materialise_all(inputs.pairs, inputs.ranking_items)
     seen = of_users(inputs.seen)
-    profiles, affinity, repetition = materialise_all(
-        of_users(inputs.profiles),
+    profiles = materialise(of_users(inputs.profiles))
+    size = Sizes.of(profiles, items)
+    base = C.user_base(profiles, seen)
+    sources = C.generate(base, items, seen, inputs.tax, size, s)
+    listed, similar, explore, affinity, repetition = materialise_all(
+        *sources.values(),
         of_users(inputs.creator_affinity),
         H.recent_repetition(H.recent_items(of_users(inputs.events), items, s), items, inputs.tax.dim),
     )
-    size = Sizes.of(profiles, items)
-    base = C.user_base(profiles, seen)
-    cand = materialise(C.generate(base, items, popular, seen, inputs.tax, size, s))
-    scored = R.score_candidates(cand, items, profiles, affinity, repetition, popular, s)
+    cand = materialise(C.union_sources(listed.unionByName(similar).unionByName(explore), items))
+    scored = R.score_candidates(cand, items, profiles, affinity, repetition, s)
     return Recommendation(base, cand, scored, Y.rerank(scored, limit, s))
 
 
