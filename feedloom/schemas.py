@@ -18,15 +18,6 @@ INTERACTION = _struct(
     ("watch_ratio", D), ("watch_ms", L), ("occurred_at", TS),
 )
 EVENT = _struct(("event_id", L), ("user_id", L), ("item_id", L), ("type", S), ("created_at", TS))
-MANIFEST = _struct(("file", S), ("creatorId", S), ("creatorHandle", S), ("_corrupt", S))
-GOLD = _struct(
-    ("taxonomyVersion", I), ("reviewedBy", S), ("reviewedAt", S),
-    ("items", T.ArrayType(_struct(("videoId", S), ("note", S), ("labels", T.MapType(S, S))))),
-)
-PREDICTIONS = _struct(
-    ("model", S), ("modelVersion", S), ("taxonomyVersion", I), ("promptVersion", I), ("generatedAt", S),
-    ("items", T.ArrayType(_struct(("videoId", S), ("features", T.MapType(S, S))))),
-)
 FEED_ITEM = _struct(("item_id", L), ("rank", I), ("creator_id", S))
 FEED_GENERATION = _struct(
     ("feed_id", S), ("user_id", L), ("epoch", L), ("published_seq", L), ("generated_at", TS), ("expires_at", TS),
