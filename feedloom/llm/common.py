@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, as single bytes.
-SPACES = b" \t\n\r\x0b\x0c"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,33 +27,10 @@ def text_key(text: Column | str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def text_blocks(texts: list[bytes], limit: int = 1 << 20):
-    """Cut texts at white space into blocks of about ``limit`` bytes: yields (indices, pieces).
-
-    A piece never splits a word, so sums over words may be added up per index.
-    """
-    index: list[int] = []
-    pieces: list[bytes] = []
-    size = 0
-    for i, text in enumerate(texts):
-        start = 0
-        while True:
-            end = len(text)
-            if end - start > limit:
-                end = start + limit
-                while end < len(text) and text[end] not in SPACES:
-                    end += 1
-            index.append(i)
-            pieces.append(text[start:end])
-            size += end - start
-            if size >= limit:
-                yield index, pieces
-                index, pieces, size = [], [], 0
-            start = end
-            if start >= len(text):
-                break
-    if pieces:
-        yield index, pieces
+def share(spark: SparkSession, value):
+    """Broadcast a value of bounded size; returns a function that gives it in a task. Classes of this package travel along."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)
 
 
 def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
