@@ -21,15 +21,15 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Settings:
-    #: Hash buckets of the embedding table (a power of two) and its width.
+    #: Hash buckets of the embedding table, as a power of two, and its width.
     bucket_bits: int = 17
     width: int = 16
     grams: tuple[int, ...] = (3, 4, 5)
     #: The bound on what training sees: labelled rows, and different buckets of one row.
     train_rows: int = 4096
     train_buckets: int = 8192
-    epochs: int = 8
-    rate: float = 4.0
+    epochs: int = 4
+    rate: float = 0.1
     seed: int = 11
 
 
@@ -41,7 +41,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hasher:
-    """Buckets of the words and of the character n-grams inside words, word ends included, of many pieces of text at once."""
+    """Buckets of words, of pairs of neighbouring words and of character n-grams inside words, word ends included, for many pieces of text at once."""
 
     def __init__(self, bucket_bits: int, grams: tuple[int, ...]):
         self.shift, self.grams = np.uint64(64 - bucket_bits), grams
@@ -61,7 +61,11 @@ class Hasher:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(wide * self.down[:n], out=sums[1:])
         words = (sums[stops] - sums[starts]) * self.up[stops]
-        yield np.searchsorted(ends, starts, side="right") if len(pieces) > 1 else np.zeros(len(starts), np.int64), (words * _MIX) >> self.shift
+        owner = np.searchsorted(ends, starts, side="right")
+        yield owner, (words * _MIX) >> self.shift
+        near = np.flatnonzero(owner[1:] == owner[:-1])  # pairs of neighbours; all pairs of one word with itself share a bucket
+        pairs = np.where(words[near] == words[near + 1], np.uint64(1), words[near] * np.uint64(_BASE) + words[near + 1])
+        yield owner[near], (pairs * _MIX) >> self.shift
         where = np.repeat(np.arange(len(pieces)), np.diff(np.r_[0, ends]))  # position i belongs to the piece that ends after it
         inner = np.r_[0, np.cumsum(gap)]
         for k in self.grams:
@@ -120,7 +124,9 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings)
     rng = np.random.default_rng(settings.seed)
     table = rng.uniform(-1 / settings.width, 1 / settings.width, (size, settings.width)).astype(np.float32)
     layer = rng.normal(0, 0.1, (settings.width, 2)).astype(np.float32)
-    bias = np.array([0, prior], np.float32)
+    bias = np.zeros(2, np.float32)
+    # Both labels weigh the same in total, so that a probability of one half is the middle between them.
+    weigh = np.array([n / (2 * (n - n1)), n / (2 * n1)], np.float32)
     shares = [(counts / counts.sum()).astype(np.float32) if len(counts) else counts.astype(np.float32) for _, _, counts in examples]
     steps, step = settings.epochs * n, 0
     for _ in range(settings.epochs):
@@ -133,9 +139,10 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings)
             p = np.exp(odds - odds.max())
             p /= p.sum()
             p[label] -= 1
+            p *= weigh[label]
             back = layer @ p
-            layer -= rate * 0.1 * np.outer(mean, p)
-            bias -= rate * 0.01 * p
+            layer -= rate * np.outer(mean, p)
+            bias -= rate * np.float32(0.1) * p
             table[ids] -= rate * shares[i][:, None] * back
     weights = table @ (layer[:, 1] - layer[:, 0])
     return np.round(np.clip(weights, -60, 60) * FIXED).astype(np.int32), round(float(bias[1] - bias[0]) * FIXED)

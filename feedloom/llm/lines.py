@@ -44,7 +44,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, _key, first, last): maximal stretches of lines to delete, counted from 0, of documents (doc_id, _key, text).
 
     A run is deleted where the same lines occur earlier: in a smaller doc_id (nulls last, then by text key) or further up in the same document.
-    Blank lines are passed over in comparing runs and are not deleted.
+    Lines without words are passed over in comparing runs; those inside a deleted stretch go with it.
     """
     lines = _lines(docs.dropDuplicates(_DOC))
     repeats = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
@@ -125,7 +125,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
 
     ``count_col`` names a column that is set to the new text's length. The earliest copy stays: smallest doc_id, null ids last. Rows
     that repeat id and text are one document and get the same text. A text may become empty; null texts stay null. Lines without words
-    are kept. A run must be the same lines, whole and byte for byte; runs of under ``min_words`` words are left alone.
+    go only where they lie inside a deleted stretch. A run must be the same lines, whole and byte for byte; runs of under ``min_words`` words are left alone.
     """
     keyed = docs.withColumn("_llm_key", text_key(f"`{text_col}`"))
     plain = keyed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("_llm_key").alias("_key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import id_text, merge_labels
+from feedloom.llm.common import id_text, merge_labels, text_key
 from feedloom.llm.components import components
 from feedloom.session import materialise
 
@@ -243,3 +243,16 @@ def similarity_radius(lanes: int, similarity: float) -> int:
     """Differing bits to expect of two texts of equal length whose shingle sets have this Jaccard similarity."""
     cosine = 2 * similarity / (1 + similarity)
     return round(64 * lanes * math.acos(cosine) / math.pi)
+
+
+def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 8, blocks: int = 39, block_bits: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each near-duplicate group: the one whose id is the smallest the group's links reach. Columns stay as they are.
+
+    Documents link where so many bits of ``64 * lanes`` differ as a shingle similarity of ``similarity`` makes expect, or fewer. A pair at just
+    0.8 shares one of 39 blocks of 13 bits with probability 0.99, a closer one almost surely, and groups hold together by their other links.
+    Rows that repeat id and text leave one; rows without id stay where no row with an id is in their group. Texts without words are one group.
+    """
+    found = simhash_components(docs, words, similarity_radius(lanes, similarity), lanes, blocks, block_bits, id_col, text_col)
+    kept = found.select(F.col("component_id").alias("_llm_kept")).distinct()
+    staying = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_llm_kept")), "left_semi").withColumn("_llm_key", text_key(f"`{text_col}`"))
+    return staying.dropDuplicates([id_col, "_llm_key"]).select(*[f"`{c}`" for c in docs.columns])
