@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, classifier, decontamination, lines, simhash
+from feedloom.llm import bpe, classifier, decontamination, lines, secret_scan, simhash
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,21 @@ FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after line dedup."""
     return lines.drop_repeated_lines(table(spark, sf_dir, "documents"), count_col="n_chars")
+
+
+def n_spans(kind: str):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def span_text(spans, *keep):
+    """kind:start:end, comma-joined, of the spans that ``keep`` lets through."""
+    chosen = F.filter(spans, keep[0]) if keep else F.col(spans) if isinstance(spans, str) else spans
+    return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    counts = [n_spans(r.kind) for r in secret_scan.BASE]
+    base = span_text("spans", lambda s: s["rule"] < len(secret_scan.BASE))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
