@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, classifier, decontamination, lines, secret_scan, simhash
+from feedloom.llm import bpe, classifier, decontamination, lines, secret_scan, simhash, token_files
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [n_spans(r.kind) for r in secret_scan.BASE]
     base = span_text("spans", lambda s: s["rule"] < len(secret_scan.BASE))
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
