@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, classifier, decontamination, lines, secret_scan, simhash, token_files
+from feedloom.llm import bpe, classifier, decontamination, lines, pii, secret_scan, simhash, token_files
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.train(docs))
+    base = span_text("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *[n_spans(k) for k in pii.BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
