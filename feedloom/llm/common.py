@@ -27,6 +27,15 @@ def text_key(text: Column | str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of constants, made by the plan itself."""
+    if not rows:
+        return spark.sql("select 1 as one").select(F.explode(F.array().cast(f"array<struct<{schema.replace(' ', ':').replace(',:', ', ')}>>")).alias("r")).select("r.*")
+    types = [c.strip().split(" ") for c in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, types)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def share(spark: SparkSession, value):
     """Broadcast a value of bounded size; returns a function that gives it in a task. Classes of this package travel along."""
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))

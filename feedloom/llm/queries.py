@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, classifier, decontamination, lines, pii, secret_scan, simhash, token_files
+from feedloom.llm import bpe, classifier, decontamination, embedding_dedup, licence_scan, lines, pii, secret_scan, simhash, token_files
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,40 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(docs, pii.train(docs))
     base = span_text("spans", lambda s: s["kind"].isin(*pii.BASE))
     return found.select("doc_id", *[n_spans(k) for k in pii.BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+@query
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op3_embeddings"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+reach AS (SELECT a AS vec_id, a AS r FROM link UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.r),
+low AS (SELECT vec_id, min(r) AS c FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, coalesce(low.c, v.vec_id) AS component_id, coalesce(low.c, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)
+"""
+
+
+def document_paths(docs: DataFrame) -> DataFrame:
+    """The documents as files of a tree with directories for source, language and hundred of ids.
+
+    Ids that end in 00 lie in the source's directory itself and others that end in 0 in the language's, so that every level has files.
+    """
+    ends = F.col("doc_id") % 100
+    hundred = F.when(ends % 10 != 0, F.lpad(F.floor(F.col("doc_id") / 100).cast("string"), 12, "0"))
+    name = F.concat(F.lpad(F.col("doc_id").cast("string"), 14, "0"), F.lit(".txt"))
+    return docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.when(ends != 0, F.coalesce("lang", F.lit("-"))), hundred, name).alias("path"), "text")
+
+
+@query
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document: its own line, or that of the nearest directory above with one."""
+    found = licence_scan.scan_licences(document_paths(table(spark, sf_dir, "documents")))
+    doc_id = F.substring_index(F.substring_index("path", "/", -1), ".", 1).cast("bigint")
+    return found.select(doc_id.alias("doc_id"), "license", F.round("score", 6).alias("score"), "origin", "source")

@@ -17,7 +17,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import id_text, text_key
+from feedloom.llm.common import id_text, literal_table, text_key
 from feedloom.session import materialise
 
 
@@ -140,7 +140,7 @@ def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(doc_id, _key, kinds): documents that satisfy the query of at least one rule, and which."""
     asked = [(r.kind, n, t, len(s)) for r in rules for n, s in enumerate(trigram_query(r.pattern)) for t in sorted(s)]
-    terms = index.sparkSession.createDataFrame(asked, "kind string, choice int, _trigram string, needed int")
+    terms = literal_table(index.sparkSession, asked, "kind string, choice int, _trigram string, needed int")
     hits = index.distinct().join(F.broadcast(terms), index.trigram == terms["_trigram"])  # as many rows as the rules have trigrams
     met = hits.groupBy("doc_id", "_key", "kind", "choice").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed")).where("n = needed")
     return met.groupBy("doc_id", "_key").agg(F.collect_set("kind").alias("kinds"))  # at most one per rule
