@@ -28,7 +28,8 @@ class Settings:
     #: The bound on what training sees: labelled rows, and different buckets of one row.
     train_rows: int = 4096
     train_buckets: int = 8192
-    epochs: int = 4
+    #: Steps of gradient descent, however few the rows are.
+    steps: int = 12_000
     rate: float = 0.1
     seed: int = 11
 
@@ -128,11 +129,11 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings)
     # Both labels weigh the same in total, so that a probability of one half is the middle between them.
     weigh = np.array([n / (2 * (n - n1)), n / (2 * n1)], np.float32)
     shares = [(counts / counts.sum()).astype(np.float32) if len(counts) else counts.astype(np.float32) for _, _, counts in examples]
-    steps, step = settings.epochs * n, 0
-    for _ in range(settings.epochs):
-        for i in rng.permutation(n):
+    step = 0
+    while step < settings.steps:
+        for i in rng.permutation(n)[: settings.steps - step]:
             label, ids, _ = examples[i]
-            rate = np.float32(settings.rate * (1 - step / steps))
+            rate = np.float32(settings.rate * (1 - step / settings.steps))
             step += 1
             mean = shares[i] @ table[ids] if len(ids) else np.zeros(settings.width, np.float32)
             odds = mean @ layer + bias
