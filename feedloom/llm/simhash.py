@@ -58,16 +58,16 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp binary), one row per input row. A text without words, or null, has all bits zero."""
-    source = id_text(docs, id_col, text_col)
+    """(doc_id, _key, fp binary), one row per input row. A text without words, or null, has all bits zero."""
+    source = id_text(docs, id_col, text_col).withColumn("_key", text_key("text"))
     kind = source.schema["doc_id"].dataType
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(shingle_hashes(t, words), lanes) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+            fps = [fingerprint(shingle_hashes(t, words), lanes) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), pa.array(fps, pa.binary())], ["doc_id", "_key", "fp"])
 
-    return source.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind.simpleString()}, fp binary")
+    return source.select("doc_id", "_key", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, _key bigint, fp binary")
 
 
 # ---- BK-trees, many at a time ----
@@ -219,7 +219,7 @@ def simhash_components(
     text_col: str = "text",
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """(doc_id, fp binary, component_id), one row per input row, in any order.
+    """(doc_id, _key, fp binary, component_id), one row per input row, in any order; ``_key`` is a hash of the text.
 
     ``component_id`` is the smallest doc_id among all rows that links reach, the row's own included; it is null only where
     no reachable row has an id. Texts that are null, empty or without words share the fingerprint zero and are linked like any others.
@@ -236,7 +236,7 @@ def simhash_components(
     rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.join(lowest, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(by_fp, marked.fp == by_fp["_fp"]).select("doc_id", "fp", "component_id")
+    return marked.join(by_fp, marked.fp == by_fp["_fp"]).select("doc_id", "_key", "fp", "component_id")
 
 
 def similarity_radius(lanes: int, similarity: float) -> int:
@@ -253,6 +253,7 @@ def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, l
     Rows that repeat id and text leave one; rows without id stay where no row with an id is in their group. Texts without words are one group.
     """
     found = simhash_components(docs, words, similarity_radius(lanes, similarity), lanes, blocks, block_bits, id_col, text_col)
-    kept = found.select(F.col("component_id").alias("_llm_kept")).distinct()
-    staying = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_llm_kept")), "left_semi").withColumn("_llm_key", text_key(f"`{text_col}`"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_llm_id"), F.col("_key").alias("_llm_k")).distinct()
+    keyed = docs.withColumn("_llm_key", text_key(f"`{text_col}`"))
+    staying = keyed.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_key") == F.col("_llm_k")), "left_semi")
     return staying.dropDuplicates([id_col, "_llm_key"]).select(*[f"`{c}`" for c in docs.columns])
