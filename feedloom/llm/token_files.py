@@ -202,7 +202,7 @@ def write_token_files(
         if counts:
             yield flush()
 
-    return dealt.select("doc_id", "text").mapInArrow(write, "part int, sequence int, file string, n_ids bigint, n_docs bigint")
+    return materialise(dealt.select("doc_id", "text").mapInArrow(write, "part int, sequence int, file string, n_ids bigint, n_docs bigint"))
 
 
 def read_token_files(spark: SparkSession, folder: str, files: DataFrame, id_type: T.DataType, keep_ids: bool = False) -> DataFrame:
@@ -242,7 +242,7 @@ def token_files(docs: DataFrame, tokenizer_file: str, pattern: str, folder: str
     """Write the files, by default to a new folder beside the checkpoints, and read them back."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    files = materialise(write_token_files(docs, tokenizer_file, pattern, folder, id_col=id_col, **options))
+    files = write_token_files(docs, tokenizer_file, pattern, folder, id_col=id_col, **options)
     kind = docs.schema[id_col].dataType
     if files.isEmpty():
         return spark.createDataFrame([], T.StructType([T.StructField("doc_id", kind), *[T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32")]]))
