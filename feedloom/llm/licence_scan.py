@@ -105,8 +105,8 @@ def score_lines(lines: DataFrame, templates, vectors: list[dict[str, float]], id
 
 
 def directory(path: Column) -> Column:
-    """The directory of a path; the top has the empty name."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+    """The directory of a path; the top has the empty name, and a null path none."""
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
 
 
 def ancestors(folder: Column) -> Column:
