@@ -16,7 +16,7 @@ from feedloom.taxonomy import NOT_A_PREFERENCE, Taxonomy
 
 
 def user_base(profiles: DataFrame, seen: DataFrame) -> DataFrame:
-    """(user_id, vector, is_cold_start, seen_count) for every profiled user."""
+    """(user_id, vector, is_cold_start, seen_count) for every user with a profile, a default one included."""
     return (
         profiles.select("user_id", "vector", "is_cold_start")
         .join(H.seen_counts(seen), "user_id", "left")
@@ -102,11 +102,13 @@ def list_sources(
     return take_unseen(requests, ordered, seen, tax.dim + 2, size.items, {k: s.source_limits[k] for k in which}, s)
 
 
-def union_sources(per_source: DataFrame, eligible: DataFrame) -> DataFrame:
-    """One row per (user, item) with every source that produced it, in fixed order; ineligible items drop out."""
-    kept = per_source.join(eligible.select("item_id"), "item_id", "left_semi")
+def union_sources(per_source: DataFrame) -> DataFrame:
+    """One row per (user, item) with every source that produced it, in fixed order.
+
+    Every source draws from eligible items alone, so nothing is joined here: the rows combine before their one exchange, on (user, item).
+    """
     bit = F.coalesce(*[F.when(F.col("source") == x, F.lit(1 << i)) for i, x in enumerate(SOURCE_ORDER)])
-    found = kept.groupBy("user_id", "item_id").agg(F.bit_or(bit).alias("bits"))
+    found = per_source.groupBy("user_id", "item_id").agg(F.bit_or(bit).alias("bits"))
     names = [F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(x)) for i, x in enumerate(SOURCE_ORDER)]
     return found.select("user_id", "item_id", F.array_compact(F.array(*names)).alias("sources"))
 

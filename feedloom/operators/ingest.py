@@ -28,28 +28,35 @@ def ingest_outcomes(files: DataFrame, existing: DataFrame, s: Settings) -> DataF
     ``files``: file_name, checksum, duration_s, width, height, creator_id, creator_handle.
     ``existing``: item_id, checksum, creator_id, creator_handle (unique checksum).
 
-    In discovery (file name) order the first valid file of a checksum is ingested and later ones are
-    duplicates; an item without attribution takes the first one offered and later different ones conflict.
-    Both facts per checksum are plain minima, so copies are combined before the shuffle and a checksum that
+    A file without checksum could not be read. In discovery (file name) order the first valid file of a checksum is ingested and all
+    later ones are duplicates, as are files whose content is known already: they are not probed. Files before it that are too long, too
+    short or give no positive duration are rejected. An item without attribution takes the first one offered and later different ones conflict.
+    These facts per checksum are plain minima, so copies are combined before the shuffle and a checksum that
     holds a third of all files costs one row, not one task.
     """
     offered = F.col("creator_id").isNotNull() | F.col("creator_handle").isNotNull()
-    firsts = files.groupBy("checksum").agg(
-        F.min("file_name").alias("_first_file"),
-        F.min(F.when(offered, F.struct("file_name", "creator_id", "creator_handle"))).alias("_offer"),
+    probed = F.coalesce((F.col("duration_s") > 0) & ~F.isnan("duration_s"), F.lit(False))
+    reason = (
+        F.when(F.col("checksum").isNull(), "unreadable")
+        .when(~probed, "probe_failed")
+        .when(F.col("duration_s") > s.max_duration_s, "too_long")
+        .when(F.col("duration_s") < s.min_duration_s, "too_short")
+    )
+    valid = reason.isNull()
+    offer = F.struct("file_name", "creator_id", "creator_handle")
+    firsts = files.where("checksum is not null").groupBy("checksum").agg(
+        F.min(F.when(valid, F.col("file_name"))).alias("_first_file"),
+        F.min(F.when(offered, offer)).alias("_any_offer"),
+        F.min(F.when(offered & valid, offer)).alias("_valid_offer"),
     )
     known = existing.select(
         "checksum", F.col("item_id").alias("existing_item"), F.col("creator_id").alias("_ec"), F.col("creator_handle").alias("_eh")
     )
-    rows = files.join(firsts.join(known, "checksum", "left"), "checksum")
+    rows = files.join(firsts.join(known, "checksum", "left"), "checksum", "left")
     exists = F.col("existing_item").isNotNull()
-    reason = F.when(F.col("duration_s") > s.max_duration_s, "too_long").when(F.col("duration_s") < s.min_duration_s, "too_short")
-    status = (
-        F.when(exists, "duplicate")
-        .when(reason.isNotNull(), "rejected")
-        .when(F.col("file_name") == F.col("_first_file"), "ingested")
-        .otherwise("duplicate")
-    )
+    rows = rows.withColumn("_offer", F.when(exists, F.col("_any_offer")).otherwise(F.col("_valid_offer")))
+    later = F.coalesce(F.col("_first_file") < F.col("file_name"), F.lit(False))
+    status = F.when(exists | later, "duplicate").when(reason.isNotNull(), "rejected").otherwise("ingested")
     had = F.col("_ec").isNotNull() | F.col("_eh").isNotNull()
     earlier = F.col("_offer.file_name") < F.col("file_name")
     owner_c = F.when(had, F.col("_ec")).when(earlier, F.col("_offer.creator_id"))

@@ -77,6 +77,18 @@ def build_profiles(hist: DataFrame, vectors: DataFrame, slot_names: list[str], v
     )
 
 
+def with_cold_users(profiles: DataFrame, users: DataFrame, slot_names: list[str], version: int) -> DataFrame:
+    """A profile for every user of ``users`` (user_id): those without one get the zero vector and are cold."""
+    known = profiles.withColumn("_known", F.lit(True))
+    zero = F.array_repeat(F.lit(0.0), len(slot_names))
+    defaults = {
+        "taxonomy_version": F.lit(version), "vector": zero, "tag_affinity": V.tag_affinity(zero, slot_names), "interaction_count": F.lit(0), "effective": F.lit(0),
+        "positive_signal": F.lit(0.0), "negative_signal": F.lit(0.0), "skipped_no_features": F.lit(0), "is_cold_start": F.lit(True),
+    }
+    kept = [F.when(F.col("_known"), F.col(c)).otherwise(defaults[c].cast(profiles.schema[c].dataType)).alias(c) for c in profiles.columns if c != "user_id"]
+    return users.select("user_id").distinct().join(known, "user_id", "left").select("user_id", *kept)
+
+
 def creator_affinity(hist: DataFrame, s: Settings) -> DataFrame:
     """Signed share per (user, creator) on the profile's own denominator. Missing creators are skipped."""
     usable = hist.where(F.col("has_vector") & (F.col("n_effective") > 0))

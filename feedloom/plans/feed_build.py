@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.operators import feeds
+from feedloom.operators.diversity import rerank
 from feedloom.plans.recommend import Inputs, diagnostics, recommend
 from feedloom.session import materialise
 
@@ -30,8 +31,11 @@ def build_feeds(
     verdicts = materialise(feeds.guard_jobs(jobs, current(), live()))
     todo = verdicts.where(F.col("verdict") == "build").drop("verdict")
     run = recommend(inputs, s.feed_size, todo.select("user_id"))
+    if with_sidecar:  # ranking and explanations read the same scores, so they are computed once
+        run.scored = materialise(run.scored)
+        run.selected = rerank(run.scored, s.feed_size, s)
     run.selected = materialise(run.selected)
-    info = diagnostics(run, inputs, s.feed_size)
+    info = diagnostics(run, s.feed_size)
     late = materialise(feeds.guard_jobs(todo, current(), live()))
     final = late.where(F.col("verdict") == "build")
     generations = feeds.assemble(run.selected, info, final, seq, s.now, s)

@@ -222,11 +222,12 @@ def scene_cuts(spark, d):
 
 @query()
 def scene_snapped_frames(spark, d):
-    """Frame plan of each order's duration moved to its cuts. Checked against a loop in the tests."""
-    durations = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), F.lit(60.0).alias("duration_s"))
+    """Frame plan of each order moved to its cuts; without cuts the plan stays. Checked against a loop in the tests."""
+    durations = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), (F.col("o_orderkey") % 60 + 1.0).alias("duration_s"))
     plan = R.frame_plan(durations, S)
     cuts = _cut_logs(spark, d).select(F.col("l_orderkey").alias("item_id"), R.parse_cuts(F.col("log")).alias("cuts"))
-    return plan.join(cuts, "item_id").select("item_id", F.explode(R.snap_to_scenes(F.col("timestamps"), F.col("cuts"), S)).alias("ts"))
+    known = F.coalesce("cuts", F.array().cast("array<double>"))
+    return plan.join(cuts, "item_id", "left").select("item_id", F.explode(R.snap_to_scenes(F.col("timestamps"), known, S)).alias("ts"))
 
 
 def _sign_bits(v):
@@ -309,19 +310,20 @@ def probe_records(spark, d):
 # --- ingest ---
 
 _INGEST = {
-    "files": """SELECT 'doc_' || lpad(d.doc_id::VARCHAR, 8, '0') || '.mp4' AS file_name, sha256(text) AS checksum, n_chars / 60.0::DOUBLE AS duration_s,
-        CASE WHEN lang = 'en' THEN 464 ELSE 848 END AS width, CASE WHEN lang = 'en' THEN 848 ELSE 464 END AS height,
+    "files": """SELECT 'doc_' || lpad(d.doc_id::VARCHAR, 8, '0') || '.mp4' AS file_name, CASE WHEN d.doc_id % 53 <> 0 THEN sha256(text) END AS checksum,
+        CASE WHEN d.doc_id % 41 <> 0 THEN n_chars / 60.0::DOUBLE END AS duration_s, CASE WHEN lang = 'en' THEN 464 ELSE 848 END AS width, CASE WHEN lang = 'en' THEN 848 ELSE 464 END AS height,
         'creator_' || l.quality AS creator_id, 'handle_' || l.toxic AS creator_handle FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "stock": """SELECT min(doc_id) AS item_id, sha256(text) AS checksum, CASE WHEN min(lang) <> 'en' THEN 'creator_1' END AS creator_id,
         CASE WHEN min(lang) <> 'en' THEN 'handle_0' END AS creator_handle FROM documents WHERE source IN ('src0', 'src1') GROUP BY text""",
-    "byfile": """SELECT f.*, s.item_id AS existing_item, s.creator_id AS ec, s.creator_handle AS eh, min(f.file_name) OVER (PARTITION BY f.checksum) AS first_file,
-        first_value(CASE WHEN f.creator_id IS NOT NULL THEN {'c': f.creator_id, 'h': f.creator_handle} END IGNORE NULLS) OVER
+    "byfile": """SELECT f.*, s.item_id AS existing_item, s.creator_id AS ec, s.creator_handle AS eh, min(CASE WHEN f.duration_s BETWEEN 1 AND 300 THEN f.file_name END) OVER (PARTITION BY f.checksum) AS first_file,
+        first_value(CASE WHEN f.creator_id IS NOT NULL AND (s.item_id IS NOT NULL OR f.duration_s BETWEEN 1 AND 300) THEN {'c': f.creator_id, 'h': f.creator_handle} END IGNORE NULLS) OVER
             (PARTITION BY f.checksum ORDER BY f.file_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS offer FROM files f LEFT JOIN stock s USING (checksum)""",
     "outc": """SELECT *, status = 'duplicate' AND creator_id IS NOT NULL AND own.c IS NULL AS creator_enriched,
         concat_ws(',', CASE WHEN status = 'ingested' AND height <= width THEN 'not_vertical' END,
             CASE WHEN status = 'duplicate' AND creator_id IS NOT NULL AND own.c IS NOT NULL AND (own.c <> creator_id OR own.h <> creator_handle) THEN 'creator_conflict' END) AS warnings
         FROM (SELECT *, CASE WHEN ec IS NOT NULL THEN {'c': ec, 'h': eh} ELSE offer END AS own,
-        CASE WHEN existing_item IS NOT NULL THEN 'duplicate' WHEN duration_s > 300 OR duration_s < 1 THEN 'rejected' WHEN file_name = first_file THEN 'ingested' ELSE 'duplicate' END AS status FROM byfile)""",
+        CASE WHEN checksum IS NULL THEN 'unreadable' WHEN existing_item IS NOT NULL OR first_file < file_name THEN NULL WHEN duration_s IS NULL THEN 'probe_failed' WHEN duration_s > 300 THEN 'too_long' WHEN duration_s < 1 THEN 'too_short' END AS why,
+        CASE WHEN checksum IS NULL THEN 'rejected' WHEN existing_item IS NOT NULL OR first_file < file_name THEN 'duplicate' WHEN duration_s IS NULL OR duration_s > 300 OR duration_s < 1 THEN 'rejected' ELSE 'ingested' END AS status FROM byfile)""",
 }
 
 
@@ -340,11 +342,12 @@ def _manifest(spark, d):
 
 
 def _files(spark, d):
+    """Documents as media files; some of them cannot be read and some cannot be probed."""
     en = F.col("lang") == "en"
     files = T.table(spark, d, "documents").select(
         F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".mp4")).alias("file_name"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("checksum"),
-        (F.col("n_chars") / 60.0).alias("duration_s"),
+        F.when(F.col("doc_id") % 53 != 0, F.sha2(F.col("text").cast("binary"), 256)).alias("checksum"),
+        F.when(F.col("doc_id") % 41 != 0, F.col("n_chars") / 60.0).alias("duration_s"),
         F.when(en, 464).otherwise(848).alias("width"),
         F.when(en, 848).otherwise(464).alias("height"),
     )
@@ -360,7 +363,7 @@ def _stock(spark, d):
 
 
 @query(
-    """SELECT file_name, status, CASE WHEN status = 'rejected' THEN CASE WHEN duration_s > 300 THEN 'too_long' ELSE 'too_short' END END AS reason, warnings,
+    """SELECT file_name, status, why AS reason, warnings,
         creator_enriched, existing_item::VARCHAR AS existing_item FROM outc""",
     _INGEST,
 )
@@ -370,7 +373,7 @@ def ingest_outcomes(spark, d):
 
 
 @query(
-    """SELECT status, CASE WHEN status = 'rejected' THEN CASE WHEN duration_s > 300 THEN 'too_long' ELSE 'too_short' END ELSE '-' END AS reason, count(*) AS n,
+    """SELECT status, coalesce(why, '-') AS reason, count(*) AS n,
         count(*) FILTER (warnings LIKE '%not_vertical%') AS not_vertical, count(*) FILTER (warnings LIKE '%conflict%') AS creator_conflict,
         count(*) FILTER (creator_enriched) AS enriched FROM outc GROUP BY 1, 2""",
     _INGEST,

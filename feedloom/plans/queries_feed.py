@@ -286,7 +286,7 @@ def exploration_hash(spark, d):
 def _candidates(i: Inputs):
     base, _, items, size = _base(i)
     listed, similar, explore = materialise_all(*C.generate(base, items, i.seen, i.tax, size, i.s).values())
-    return base, items, C.union_sources(listed.unionByName(similar).unionByName(explore), items)
+    return base, items, C.union_sources(listed.unionByName(similar).unionByName(explore))
 
 
 @query("SELECT user_id, item_id, sources FROM cand")
@@ -355,6 +355,33 @@ def top_reasons(spark, d):
     return scored.select("user_id", "item_id", F.transform(reasons, lambda x: x["term"]).alias("reasons")).where(F.size("reasons") > 0)
 
 
+def _with_newcomers(spark, d):
+    """All customers and all users of the log: most of them have no event at all."""
+    i = tag_inputs(spark, d)
+    customers = T.users(spark, d).select("user_id")
+    i.users = materialise(customers.union(i.events.select("user_id")).distinct())
+    return i
+
+
+_NEWCOMERS = {
+    "known": O._profile("hist", O.TAX.dim),
+    "prof": f"""SELECT * FROM known UNION ALL BY NAME SELECT c_custkey AS user_id, 0 AS interaction_count, 0 AS effective, 0 AS skipped_no_features,
+        0.0::DOUBLE AS positive_signal, 0.0::DOUBLE AS negative_signal, true AS is_cold_start, list_transform(range({O.TAX.dim}), lambda x: 0.0::DOUBLE) AS v
+        FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM known)""",
+}
+
+
+@query("SELECT user_id, item_id, sources FROM cand", _NEWCOMERS)
+def cold_start_candidates(spark, d):
+    return _candidates(_with_newcomers(spark, d))[2]
+
+
+@query("SELECT * FROM scored", _NEWCOMERS, keys=_SCORE_KEYS, nums=_SCORE_NUMS)
+def cold_start_ranked(spark, d):
+    scored = _score(_with_newcomers(spark, d))
+    return scored.select(*_SCORE_KEYS.split(", "), *_SCORE_NUMS.split(", "))
+
+
 @query()
 def recommended(spark, d):
     """End to end: the diversified list of every user. Checked against a plain re-implementation in the tests."""
@@ -375,4 +402,4 @@ def recommendation_diagnostics(spark, d):
     i = tag_inputs(spark, d)
     run = recommend(i, S.feed_size)
     run.selected = materialise(run.selected)
-    return diagnostics(run, i, S.feed_size)
+    return diagnostics(run, S.feed_size)

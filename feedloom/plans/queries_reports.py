@@ -20,6 +20,7 @@ from feedloom.plans.recommend import recommend
 from feedloom.plans.registry import query
 from feedloom.session import materialise, shared_folder
 from feedloom.sources import tables as T
+from feedloom.sources.sinks import append_events
 from feedloom.streaming import intake, profile_state, trending
 
 S = Settings()
@@ -486,6 +487,17 @@ def _replay(spark, d, resend: bool = False):
 _LOG = "event_id bigint, user_id bigint, item_id bigint, type string, created_at timestamp"
 
 
+def _chunked_replay(spark, d, resend: bool = False, chunks: int = 10):
+    """The log dealt over ``chunks`` files by a hash of its keys, one file per micro-batch: every batch has early and late rows."""
+    out = f"{_scratch(spark)}/chunks"
+    rows = T.events(spark, d).select("event_id", "user_id", "item_id", "type", "created_at")
+    times = F.when(F.col("event_id") % 20 == 0, 2).otherwise(1) if resend else F.lit(1)
+    copies = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), times)))
+    dealt = copies.withColumn("chunk", F.pmod(F.xxhash64("event_id", "_n"), F.lit(chunks)).cast("int")).drop("_n")
+    dealt.repartition(chunks, "chunk").write.partitionBy("chunk").parquet(out)
+    return intake.read_events(spark, f"{out}/*", dealt.drop("chunk").schema, fmt="parquet")
+
+
 def _finish(spark, stream, schema, mode="append"):
     out = _scratch(spark)
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}/ck").trigger(availableNow=True).start(f"{out}/data")
@@ -495,10 +507,11 @@ def _finish(spark, stream, schema, mode="append"):
 
 @query("SELECT type, count(*) AS n, count(DISTINCT event_id) AS keys FROM ev GROUP BY 1")
 def stream_intake(spark, d):
-    """Exactly-once intake: resent rows do not appear twice, and a second replay adds nothing."""
+    """Exactly-once intake in ten micro-batches: resent rows do not appear twice, and appending the whole log again adds nothing."""
     out = _scratch(spark)
-    for run in ("first", "again"):
-        intake.exact_intake(_replay(spark, d, True), f"{out}/log", _LOG, f"{out}/ck-{run}").awaitTermination()
+    replay = _chunked_replay(spark, d, True)
+    intake.exact_intake(replay, f"{out}/log", _LOG, f"{out}/ck").awaitTermination()
+    append_events(spark, f"{out}/log", T.events(spark, d).select("event_id", "user_id", "item_id", "type", "created_at"), _LOG)
     log = spark.read.schema(_LOG).parquet(f"{out}/log")
     return log.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("keys"))
 
@@ -511,7 +524,7 @@ def stream_epochs(spark, d):
     def steps(recorded, batch_id):
         intake.epoch_steps(recorded).write.mode("overwrite").parquet(f"{out}/steps/batch={batch_id}")
 
-    intake.exact_intake(_replay(spark, d, True), f"{out}/log", _LOG, f"{out}/ck", on_batch=steps).awaitTermination()
+    intake.exact_intake(_chunked_replay(spark, d, True), f"{out}/log", _LOG, f"{out}/ck", on_batch=steps).awaitTermination()
     read = spark.read.schema("user_id bigint, steps bigint").parquet(f"{out}/steps")
     return read.groupBy("user_id").agg(F.sum("steps").alias("epoch"))
 
@@ -524,18 +537,10 @@ def stream_within_watermark(spark, d):
 
 @query("SELECT item_id, engagement FROM eng", keys="item_id", nums="engagement")
 def stream_trending(spark, d):
-    """Hourly counters kept by a stream, read at ``now``: equal to the batch aggregate over raw events."""
+    """Hourly counters kept per micro-batch, newest files first, read at ``now``: equal to the batch aggregate over raw events."""
     out = _scratch(spark)
-
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/counters/batch={batch_id}")
-
-    counters = trending.hourly_counters(_replay(spark, d), "1 hour")
-    q = counters.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
-    rows = spark.read.schema("item_id bigint, hour timestamp, mass double, moment double, batch int").parquet(f"{out}/counters")
-    latest = rows.groupBy("item_id", "hour").agg(F.max_by(F.struct("mass", "moment"), "batch").alias("v")).select("item_id", "hour", "v.*")
-    return trending.engagement_from_counters(latest, S)
+    trending.keep_counters(_chunked_replay(spark, d), f"{out}/counters", f"{out}/ck").awaitTermination()
+    return trending.engagement_from_counters(trending.read_counters(spark, f"{out}/counters"), S)
 
 
 _PROFILE_SLOTS = "SELECT user_id, unnest(range(0, 30)) AS slot, unnest(v) AS weight FROM prof"
@@ -552,7 +557,7 @@ def stream_profiles(spark, d):
         sums = profile_state.decayed_sums(batch.join(known, "item_id"), S.now, i.dim, S)
         sums.write.mode("overwrite").parquet(f"{out}/sums/batch={batch_id}")
 
-    q = _replay(spark, d).writeStream.foreachBatch(add).option("checkpointLocation", f"{out}/ck").trigger(availableNow=True).start()
+    q = _chunked_replay(spark, d).writeStream.foreachBatch(add).option("checkpointLocation", f"{out}/ck").trigger(availableNow=True).start()
     q.awaitTermination()
     schema = "user_id bigint, total bigint, effective bigint, skipped bigint, pos double, neg double, sums array<double>"
     parts = spark.read.schema(schema).parquet(f"{out}/sums")

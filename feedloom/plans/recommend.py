@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -23,7 +23,10 @@ from feedloom.taxonomy import Taxonomy
 
 @dataclass
 class Inputs:
-    """The tables a run reads. ``vectors`` may live in any space; ``slot_names`` names its dimensions."""
+    """The tables a run reads. ``vectors`` may live in any space; ``slot_names`` names its dimensions.
+
+    ``users`` (user_id) says whom a run serves, users without any history included; by default all users of the log.
+    """
 
     events: DataFrame
     items: DataFrame
@@ -32,6 +35,7 @@ class Inputs:
     tax: Taxonomy
     slot_names: list[str]
     s: Settings
+    users: DataFrame | None = None
 
     @property
     def dim(self) -> int:
@@ -56,7 +60,12 @@ class Inputs:
     @cached_property
     def pairs(self) -> DataFrame:
         """One row per (user, item): profiles, creator affinity and the seen set all start here."""
-        return P.signal_pairs(self.events, self.s)
+        return P.signal_pairs(self.user_events, self.s)
+
+    @cached_property
+    def user_events(self) -> DataFrame:
+        """The log of the users served. What is known about items comes from the whole log."""
+        return self.events if self.users is None else self.events.join(self.users.select("user_id").distinct(), "user_id", "left_semi")
 
     @cached_property
     def seen(self) -> DataFrame:
@@ -68,7 +77,8 @@ class Inputs:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return P.build_profiles(self.history, self.usable_vectors, self.slot_names, self.tax.version, self.s)
+        known = P.build_profiles(self.history, self.usable_vectors, self.slot_names, self.tax.version, self.s)
+        return known if self.users is None else P.with_cold_users(known, self.users, self.slot_names, self.tax.version)
 
     @cached_property
     def creator_affinity(self) -> DataFrame:
@@ -80,7 +90,7 @@ class Inputs:
 
     @cached_property
     def recent(self) -> DataFrame:
-        return H.recent_items(self.events, self.eligible, self.s)
+        return H.recent_items(self.user_events, self.eligible, self.s)
 
 
 @dataclass
@@ -89,37 +99,36 @@ class Recommendation:
     candidates: DataFrame
     scored: DataFrame
     selected: DataFrame
+    items: DataFrame
+    seen: DataFrame
 
 
 def recommend(inputs: Inputs, limit: int, users: DataFrame | None = None) -> Recommendation:
-    """Candidates, scores and the diversified list. ``users`` (user_id) restricts the run before any wide work.
+    """Candidates, scores and the diversified list. ``users`` (user_id) overrides the users of ``inputs``.
 
-    Profiles and the item table feed several branches, so each is written once to the shared folder.
+    The log is cut to these users before profiles, affinities and seen sets are built; users without history are cold and get
+    the global sources. Profiles and the item table feed several branches, so each is written once to the shared folder.
     """
+    if users is not None:
+        inputs = replace(inputs, users=materialise(users.select("user_id").distinct()))
     s = inputs.s
-    ids = None if users is None else users.select("user_id").distinct()
-
-    def of_users(df: DataFrame) -> DataFrame:
-        return df if ids is None else df.join(ids, "user_id", "left_semi")
-
     inputs.pairs, items = materialise_all(inputs.pairs, inputs.ranking_items)
-    seen = of_users(inputs.seen)
-    profiles = materialise(of_users(inputs.profiles))
+    profiles = materialise(inputs.profiles)
     size = Sizes.of(profiles, items)
-    base = C.user_base(profiles, seen)
-    sources = C.generate(base, items, seen, inputs.tax, size, s)
+    base = C.user_base(profiles, inputs.seen)
+    sources = C.generate(base, items, inputs.seen, inputs.tax, size, s)
     listed, similar, explore, affinity, repetition = materialise_all(
         *sources.values(),
-        of_users(inputs.creator_affinity),
-        H.recent_repetition(H.recent_items(of_users(inputs.events), items, s), items, inputs.tax.dim),
+        inputs.creator_affinity,
+        H.recent_repetition(H.recent_items(inputs.user_events, items, s), items, inputs.tax.dim),
     )
-    cand = materialise(C.union_sources(listed.unionByName(similar).unionByName(explore), items))
+    cand = materialise(C.union_sources(listed.unionByName(similar).unionByName(explore)))
     scored = R.score_candidates(cand, items, profiles, affinity, repetition, s)
-    return Recommendation(base, cand, scored, Y.rerank(scored, limit, s))
+    return Recommendation(base, cand, scored, Y.rerank(scored, limit, s), items, inputs.seen)
 
 
-def diagnostics(run: Recommendation, inputs: Inputs, limit: int) -> DataFrame:
-    counts = C.candidate_counts(run.base, run.candidates, inputs.eligible, inputs.seen, limit)
+def diagnostics(run: Recommendation, limit: int) -> DataFrame:
+    counts = C.candidate_counts(run.base, run.candidates, run.items, run.seen, limit)
     cold = run.base.select("user_id", F.col("is_cold_start").alias("cold_start"))
     return (
         counts.join(cold, "user_id")

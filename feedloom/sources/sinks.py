@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +35,18 @@ def new_events(log: DataFrame, incoming: DataFrame) -> DataFrame:
     return fresh.unionByName(incoming.where(F.col("event_id").isNull()))
 
 
-def append_events(spark: SparkSession, path: str, incoming: DataFrame, schema: str) -> DataFrame:
-    """Append what is new, partitioned by day, and return it. Running the same batch again appends nothing."""
-    fresh = materialise(new_events(read_or_empty(spark, path, schema), incoming))
-    fresh.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+def append_events(spark: SparkSession, path: str, incoming: DataFrame, schema: str, batch: str | None = None) -> DataFrame:
+    """Append what is new and return it. The log is partitioned by batch and day.
+
+    A named ``batch`` is a partition of its own: a retry compares with the other batches alone, writes the same
+    partition again and returns the same rows, so whatever follows the append can be retried as well. Without, the batch gets a
+    name of its own and running it again appends nothing.
+    """
+    name = f"b-{batch}" if batch is not None else f"u-{uuid.uuid4().hex}"
+    log = read_or_empty(spark, path, f"{schema}, batch string").where(F.col("batch") != name)
+    fresh = materialise(new_events(log, incoming))
+    tagged = fresh.withColumn("batch", F.lit(name)).withColumn("day", F.to_date("created_at"))
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(path)
     return fresh
 
 
@@ -92,7 +101,11 @@ def write_mapping(mapping: DataFrame, path: str) -> None:
 
 
 def publish(generations: DataFrame, path: str, sidecar: DataFrame | None = None, sidecar_path: str | None = None) -> None:
-    """Append sidecar rows first, then the generations: a feed that can be read always has its explanation."""
-    if sidecar is not None and sidecar_path is not None:
-        sidecar.write.mode("append").parquet(sidecar_path)
-    generations.write.mode("append").parquet(path)
+    """Append sidecar rows first, then the generations: a feed that can be read always has its explanation.
+
+    A ``feed_id`` that is there already is left as it is, so a retry adds nothing.
+    """
+    for rows, folder in ((sidecar, sidecar_path), (generations, path)):
+        if rows is not None and folder is not None:
+            there = read_or_empty(rows.sparkSession, folder, f"feed_id {rows.schema['feed_id'].dataType.simpleString()}")
+            materialise(rows.join(there.distinct(), "feed_id", "left_anti")).write.mode("append").parquet(folder)

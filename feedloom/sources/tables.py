@@ -37,6 +37,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("label"))
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue attributes for every part, before the join that decides which parts are items."""
     k = F.col("p_partkey")

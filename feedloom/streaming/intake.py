@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,11 +40,14 @@ def exact_intake(
 ) -> StreamingQuery:
     """Append each key once for ever: every micro-batch is anti-joined with the log before it is written.
 
-    A watermark forgets; the log does not. ``on_batch(recorded, batch_id)`` sees only rows that were recorded.
+    A watermark forgets; the log does not. ``on_batch(recorded, batch_id)`` sees only rows that were recorded, and sees the
+    same rows again if the batch is retried. Checkpoint and batch number name the batch's partition of the log.
     """
 
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        recorded = append_events(batch.sparkSession, log_path, batch, schema)
+        recorded = append_events(batch.sparkSession, log_path, batch, schema, f"{source}-{batch_id}")
         if on_batch is not None:
             on_batch(recorded, batch_id)
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.config import Settings
 from feedloom.functions import signals as G
@@ -30,6 +31,26 @@ def hourly_counters(events: DataFrame, delay: str | None = None) -> DataFrame:
     )
 
 
+COUNTERS = "item_id bigint, hour timestamp, mass double, moment double"
+
+
+def keep_counters(stream: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Hourly counters of every micro-batch, each in a partition of its own that a retry overwrites.
+
+    The counters add up, so no event is too late: there is no state and no watermark that could drop one.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        hourly_counters(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_counters(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.schema(COUNTERS).parquet(folder)
+    return rows.groupBy("item_id", "hour").agg(F.sum("mass").alias("mass"), F.sum("moment").alias("moment"))
+
+
 def engagement_from_counters(counters: DataFrame, s: Settings) -> DataFrame:
     """Engagement at ``s.now``. Exact when ``now`` is on an hour boundary and no event is dated after it."""
     now = G.now_col(s)

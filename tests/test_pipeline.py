@@ -271,3 +271,35 @@ def test_frame_budget(spark, duration, n):
     row = R.frame_plan(df, S).first()
     assert row["n_frames"] == n
     assert row["timestamps"] == sorted(set(row["timestamps"])) and all(0 <= t < (duration or 1) for t in row["timestamps"])
+
+
+# --- users without history ---
+
+
+def test_users_without_history_get_the_global_sources(spark):
+    from feedloom.plans.feed_build import build_feeds
+    from feedloom.plans.queries_feed import tag_inputs
+
+    inputs = tag_inputs(spark, "/root/testdata/sf0.001")
+    newcomer, old = 10**9, inputs.events.first()["user_id"]
+    jobs = spark.createDataFrame([(newcomer, 0, "prewarm"), (old, 0, "miss")], "user_id bigint, epoch bigint, reason string")
+    current = spark.createDataFrame([], "user_id bigint, epoch bigint")
+    made = {r["user_id"]: r for r in build_feeds(jobs, inputs, lambda: current, lambda: current, seq=1, with_sidecar=True).generations.collect()}
+    assert set(made) == {newcomer, old}
+    assert made[newcomer]["cold_start"] and not made[newcomer]["candidate_shortage"] and len(made[newcomer]["items"]) == S.feed_size
+    assert not made[old]["cold_start"]
+
+
+def test_profiles_of_newcomers(spark):
+    known = P.build_profiles(
+        P.history(
+            P.signal_pairs(spark.createDataFrame([(1, 7, 10, "like", "2024-01-30")], "event_id bigint, user_id bigint, item_id bigint, type string, at string").withColumn("created_at", F.col("at").cast("timestamp")), S),
+            spark.createDataFrame([(10, "a")], "item_id bigint, creator_id string"),
+            spark.createDataFrame([(10, [1.0, 0.0])], f"item_id bigint, vector {VEC}"),
+        ),
+        spark.createDataFrame([(10, [1.0, 0.0])], f"item_id bigint, vector {VEC}"), ["f:x", "f:y"], 1, S,
+    )
+    users = spark.createDataFrame([(7,), (8,), (8,)], "user_id bigint")
+    got = {r["user_id"]: r for r in P.with_cold_users(known, users, ["f:x", "f:y"], 1).collect()}
+    assert set(got) == {7, 8} and P.with_cold_users(known, users, ["f:x", "f:y"], 1).columns == known.columns
+    assert got[8]["vector"] == [0.0, 0.0] and got[8]["is_cold_start"] and got[8]["interaction_count"] == 0 and got[7]["interaction_count"] == 1

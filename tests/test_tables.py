@@ -176,6 +176,61 @@ def test_stream_intake_is_exactly_once(spark, tmp_path):
     assert spark.read.parquet(log).count() == 7
 
 
+def test_a_failed_callback_sees_its_rows_again(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for n in range(3):
+        (src / f"{n}.json").write_text("\n".join(json.dumps({"event_id": f"e{n}{i}", "user_id": i, "item_id": 1, "type": "like", "created_at": f"2024-01-0{n + 1}T00:00:00Z"}) for i in range(4)))
+    seen, failed = [], []
+
+    def steps(recorded, batch_id):
+        rows = [(r["user_id"], r["steps"]) for r in intake.epoch_steps(recorded).collect()]
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("once")
+        seen.extend(rows)
+
+    log, check = str(tmp_path / "log"), str(tmp_path / "ck")
+    with pytest.raises(Exception):
+        intake.exact_intake(intake.read_events(spark, str(src), LOG), log, LOG, check, on_batch=steps).awaitTermination()
+    intake.exact_intake(intake.read_events(spark, str(src), LOG), log, LOG, check, on_batch=steps).awaitTermination()
+    assert failed == [1] and sorted(seen) == sorted([(i, 1) for i in range(4)] * 3)
+    assert spark.read.parquet(log).count() == 12
+
+
+def test_publishing_again_adds_nothing(spark, tmp_path):
+    feeds = spark.createDataFrame([("f1", 1), ("f2", 2)], "feed_id string, user_id bigint")
+    notes = spark.createDataFrame([("f1", 7), ("f1", 8), ("f2", 7)], "feed_id string, item_id bigint")
+    path, side = str(tmp_path / "feeds"), str(tmp_path / "notes")
+    for _ in range(2):
+        sinks.publish(feeds, path, notes, side)
+    sinks.publish(feeds.union(spark.createDataFrame([("f3", 3)], feeds.schema)), path)
+    assert spark.read.parquet(path).count() == 3 and spark.read.parquet(side).count() == 3
+
+
+def test_late_events_count_in_running_counters(spark, tmp_path):
+    from feedloom.operators import history as H
+    from feedloom.streaming import trending
+
+    src = tmp_path / "in"
+    src.mkdir()
+    for n, day in enumerate(("30", "29", "28")):  # newest first
+        (src / f"{n}.json").write_text("\n".join(json.dumps({"event_id": f"{n}{i}", "user_id": i, "item_id": i % 3, "type": "like", "created_at": f"2024-01-{day}T0{i}:30:00Z"}) for i in range(5)))
+    stream = intake.read_events(spark, str(src), LOG)
+    trending.keep_counters(stream, str(tmp_path / "c"), str(tmp_path / "ck")).awaitTermination()
+    got = trending.engagement_from_counters(trending.read_counters(spark, str(tmp_path / "c")), S)
+    want = H.engagement(spark.read.schema(LOG).json(str(src)), S)
+    assert {r["item_id"]: round(r["engagement"], 9) for r in got.collect()} == {r["item_id"]: round(r["engagement"], 9) for r in want.collect()}
+
+
+def test_failed_ingest_outcomes(spark):
+    cols = "file_name string, checksum string, duration_s double, width int, height int, creator_id string, creator_handle string"
+    rows = [("a", None, 5.0, 4, 8, None, None), ("b", "x", None, 4, 8, "c0", None), ("c", "x", 5.0, 4, 8, None, None), ("d", "x", None, 4, 8, "c1", None), ("e", "y", 0.0, 4, 8, None, None)]
+    none = spark.createDataFrame([], "item_id bigint, checksum string, creator_id string, creator_handle string")
+    got = {r["file_name"]: r for r in N.ingest_outcomes(spark.createDataFrame(rows, cols), none, S).collect()}
+    assert [(got[k]["status"], got[k]["reason"]) for k in "abcde"] == [("rejected", "unreadable"), ("rejected", "probe_failed"), ("ingested", None), ("duplicate", None), ("rejected", "probe_failed")]
+
+
 def test_running_profiles_equal_batch(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
