@@ -140,3 +140,71 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licence_scan.scan_licences(document_paths(table(spark, sf_dir, "documents")))
     doc_id = F.substring_index(F.substring_index("path", "/", -1), ".", 1).cast("bigint")
     return found.select(doc_id.alias("doc_id"), "license", F.round("score", 6).alias("score"), "origin", "source")
+
+
+# ---- SQL of the operators whose results SQL can state ----
+
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+SQL["op7_lines"] = rf"""
+WITH d AS (SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents),
+ln AS (SELECT doc_id, p, l[p] AS s, len({_WORDS.format("l[p]")}) AS w FROM (SELECT *, unnest(range(1, len(l) + 1)) AS p FROM d)),
+sq AS (SELECT doc_id, p, s, w, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY p) AS a FROM ln WHERE w > 0),
+ar AS (SELECT doc_id, list(s ORDER BY i) AS ss FROM sq GROUP BY 1),
+fw AS (SELECT x.doc_id, x.i AS b, min(y.i) AS e FROM sq x JOIN sq y ON y.doc_id = x.doc_id AND y.i >= x.i AND y.a >= x.a - x.w + {lines.MIN_WORDS} GROUP BY 1, 2),
+bw AS (SELECT y.doc_id, max(x.i) AS b, y.i AS e FROM sq y JOIN sq x ON x.doc_id = y.doc_id AND x.i <= y.i AND y.a >= x.a - x.w + {lines.MIN_WORDS} GROUP BY y.doc_id, y.i),
+run AS (SELECT doc_id, b, e, ss[b:e] AS run FROM (SELECT doc_id, b, e FROM fw UNION SELECT doc_id, b, e FROM bw) JOIN ar USING (doc_id)),
+later AS (SELECT doc_id, b, e FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, b) AS r FROM run) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(b, e + 1)) AS i FROM later),
+fl AS (SELECT ln.doc_id, ln.p, ln.s, sq.i, gone.i IS NOT NULL AS cut FROM ln LEFT JOIN sq USING (doc_id, p) LEFT JOIN gone ON gone.doc_id = ln.doc_id AND gone.i = sq.i),
+nb AS (SELECT *, last_value(CASE WHEN i IS NOT NULL THEN cut END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pc,
+  first_value(CASE WHEN i IS NOT NULL THEN cut END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nc FROM fl),
+kept AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY p) AS t FROM nb WHERE NOT (CASE WHEN i IS NOT NULL THEN cut ELSE coalesce(pc, false) AND coalesce(nc, false) END) GROUP BY 1)
+SELECT d.doc_id, coalesce(t, '') AS text, lang, source, CAST(length(coalesce(t, '')) AS BIGINT) AS n_chars FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_RULES = " UNION ALL ".join(
+    f"SELECT doc_id, {n} AS k, {_text(r.kind)} AS kind, string_split_regex(text, {_text(r.pattern)}) AS s, regexp_extract_all(text, {_text(r.pattern)}) AS m, "
+    f"regexp_extract_all(text, {_text(r.pattern)}, {r.group}) AS g, {r.least} AS least FROM documents WHERE regexp_matches(text, {_text(r.pattern)})"
+    for n, r in enumerate(secret_scan.BASE + secret_scan.MORE)
+)
+SQL["op5_secrets"] = f"""
+WITH found AS ({_RULES}),
+each AS (SELECT doc_id, k, kind, least, m[i] AS m, g[i] AS g, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS b
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found)),
+span AS (SELECT doc_id, k, kind, CAST(b AS BIGINT) AS b, kind || ':' || CAST(b AS BIGINT) || ':' || CAST(b + length(m) AS BIGINT) AS t FROM each WHERE length(g) >= least),
+per AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {n}) AS n_{r.kind}" for n, r in enumerate(secret_scan.BASE))},
+  string_agg(t, ',' ORDER BY b, k) FILTER (k < {len(secret_scan.BASE)}) AS base, string_agg(t, ',' ORDER BY b, k) AS spans FROM span GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN per USING (doc_id)
+"""
+
+_TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
+SQL["op10_licences"] = f"""
+WITH tpl AS (SELECT * FROM (VALUES {", ".join(f"({n}, {_text(k)}, {_text(t)})" for n, (k, t) in enumerate(licence_scan.TEMPLATES))}) v(t, license, body)),
+tw AS (SELECT t, license, w, count(*) AS n FROM (SELECT t, license, unnest({_TOKENS.format("body")}) AS w FROM tpl) GROUP BY ALL),
+voc AS (SELECT DISTINCT w FROM tw),
+df AS (SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest({_TOKENS.format("text")}) AS w FROM documents) SEMI JOIN voc USING (w) GROUP BY 1),
+big AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT w, ln((1 + big.n) / (1 + coalesce(df.n, 0))) + 1 AS v FROM voc CROSS JOIN big LEFT JOIN df USING (w)),
+tv AS (SELECT t, license, w, n * v / sqrt(sum(n * v * n * v) OVER (PARTITION BY t)) AS v FROM tw JOIN idf USING (w)),
+file AS (SELECT doc_id, text, concat_ws('/', source, CASE WHEN doc_id % 100 <> 0 THEN lang END, CASE WHEN doc_id % 10 <> 0 THEN lpad(CAST(doc_id // 100 AS VARCHAR), 12, '0') END) AS folder FROM documents),
+ln AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) WHERE len(list_intersect({_TOKENS.format("s")}, (SELECT list(w) FROM voc))) > 0),
+lw AS (SELECT s, w, count(*) AS n FROM (SELECT s, unnest({_TOKENS.format("s")}) AS w FROM (SELECT DISTINCT s FROM ln)) GROUP BY ALL),
+lv AS (SELECT s, w, n * coalesce(v, (SELECT ln(1 + n) + 1 FROM big)) AS v FROM lw LEFT JOIN idf USING (w)),
+norm AS (SELECT s, sqrt(sum(v * v)) AS v FROM lv GROUP BY 1),
+dot AS (SELECT s, t, license, sum(lv.v * tv.v) AS v FROM lv JOIN tv USING (w) GROUP BY ALL),
+best AS (SELECT s, license, round(dot.v / norm.v, 9) AS score FROM dot JOIN norm USING (s) WHERE round(dot.v / norm.v, 9) >= {licence_scan.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY s ORDER BY round(dot.v / norm.v, 9) DESC, license) = 1),
+own AS (SELECT doc_id, license, score FROM ln JOIN best USING (s) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+path AS (SELECT doc_id, folder, folder || '/' || lpad(CAST(doc_id AS VARCHAR), 14, '0') || '.txt' AS path FROM file),
+held AS (SELECT folder, license, score, path FROM own JOIN path USING (doc_id) QUALIFY row_number() OVER (PARTITION BY folder ORDER BY path) = 1),
+near AS (SELECT a.folder, h.license, h.score, h.path FROM (SELECT DISTINCT folder FROM path) a JOIN held h ON a.folder = h.folder OR starts_with(a.folder, h.folder || '/') QUALIFY row_number() OVER (PARTITION BY a.folder ORDER BY length(h.folder) DESC) = 1)
+SELECT p.doc_id, coalesce(o.license, n.license) AS license, round(coalesce(o.score, n.score), 6) AS score, CASE WHEN o.license IS NOT NULL THEN 'own' WHEN n.license IS NOT NULL THEN 'inherited' END AS origin,
+  CASE WHEN o.license IS NOT NULL THEN p.path WHEN n.license IS NOT NULL THEN n.path END AS source
+FROM path p LEFT JOIN own o USING (doc_id) LEFT JOIN near n ON n.folder = p.folder
+"""
