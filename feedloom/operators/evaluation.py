@@ -151,9 +151,10 @@ def error_patterns(compared: DataFrame, limit: int = 5, n_examples: int = 3) ->
     return top.join(examples, key)
 
 
-def worst_fields(compared: DataFrame, n: int = 3) -> DataFrame:
-    """Per item the first imperfect fields in vocabulary order are what a reviewer reads; lowest score first."""
-    w = Window.partitionBy("model", "item_id").orderBy("score", "field")
+def worst_fields(compared: DataFrame, fields: tuple[str, ...] | list[str], n: int = 3) -> DataFrame:
+    """Per item the first ``n`` imperfect fields in vocabulary order (``fields``): what a reviewer reads first."""
+    place = F.coalesce(*[F.when(F.col("field") == name, F.lit(k)) for k, name in enumerate(fields)], F.lit(len(fields)))
+    w = Window.partitionBy("model", "item_id").orderBy(place, "field")
     return compared.where(F.col("score") < 1).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(
         "model", "item_id", "rank", "field", "score"
     )

@@ -23,7 +23,7 @@ def list_positions(rows: DataFrame, order: list[Column], longest: int | None = N
     Global sort, then ``monotonically_increasing_id`` (partition, row) plus one offset per (list, partition).
     The sorted rows are written once, so offsets and rows come from the same partitions even if an executor is
     lost. One list may hold any share of the rows: the sort splits inside a list. The offset table has at most
-    one row per list and per sort partition. When ``longest`` (no list is longer) is within ``bound``, a window per
+    one row per list and per sort partition; its measured size decides how it is joined. When ``longest`` (no list is longer) is within ``bound``, a window per
     list is safe and saves the write.
     """
     if longest is not None and longest <= bound:
@@ -42,7 +42,7 @@ def list_positions(rows: DataFrame, order: list[Column], longest: int | None = N
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first")).alias("_shift"),
         F.sum("_n").over(Window.partitionBy("list_key")).alias("list_size"),
     )
-    return placed.join(F.broadcast(offsets), ["list_key", "_part"]).select(
+    return placed.join(offsets, ["list_key", "_part"]).select(
         "list_key", (F.col("_m") + F.col("_shift")).alias("pos"), "item_id", "list_size"
     )
 

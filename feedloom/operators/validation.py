@@ -163,6 +163,14 @@ def dimension_report(vectors: DataFrame, dim: int) -> DataFrame:
     )
 
 
+def require_dimension(vectors: DataFrame, dim: int) -> DataFrame:
+    """The vectors as they are; fails at once on an empty table or on any vector of another length or null."""
+    report = dimension_report(vectors, dim).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("expected"), F.col("n"))).alias("good")).first()
+    if not report.n or report.n != report.good:
+        raise ValueError(f"expected vectors of length {dim}: {report.good or 0} of {report.n or 0} rows have it")
+    return vectors
+
+
 def require_one_version(rows: DataFrame, expected: int) -> DataFrame:
     """Fails the job on the first row of another taxonomy version."""
     ok = F.col("taxonomy_version") == expected

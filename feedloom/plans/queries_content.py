@@ -162,7 +162,7 @@ def unclassified_fields(spark, d):
 
 @query("SELECT len(embedding)::BIGINT AS dimension, count(*) AS n, len(embedding) = 64 AS expected FROM embeddings GROUP BY 1, 3")
 def dimension_report(spark, d):
-    return L.dimension_report(T.dense_vectors(spark, d), 64)
+    return L.dimension_report(L.require_dimension(T.dense_vectors(spark, d), 64), 64)
 
 
 @query("SELECT taxonomy_version::BIGINT AS taxonomy_version, count(*) AS n FROM vecs WHERE taxonomy_version = 1 GROUP BY 1")

@@ -254,6 +254,38 @@ def explore_source(spark, d):
     return C.explore_source(base, items, i.seen, size, S).select("user_id", "item_id", "rank", "score")
 
 
+#: Sizes so small that the test tables go through the plans of large catalogues: pivots, probed cells, hash thresholds, list tails.
+SMALL_BLOCKS = S.but(block_items=64, block_users=40, list_chunk=8, list_head=32)
+
+
+@query(
+    "SELECT user_id, item_id, rank, sim FROM near10", {"near10": O._similar("prof_d", "elig_d", 10)}, keys="user_id, item_id", ints="rank", nums="sim"
+)
+def nearest_unseen_blocked(spark, d):
+    i = dense_inputs(spark, d, SMALL_BLOCKS.but(source_limits={**S.source_limits, "similar": 10}))
+    i.vectors = i.vectors.withColumn("taxonomy_version", F.lit(i.tax.version))
+    base, _, items, size = _base(i)
+    return C.similar_source(base, items, i.seen, size, i.s).select("user_id", "item_id", "rank", F.col("score").alias("sim"))
+
+
+@query("SELECT user_id, item_id, rank, h AS score FROM src_explore", keys="user_id, item_id", ints="rank", nums="score")
+def explore_source_blocked(spark, d):
+    i = tag_inputs(spark, d)
+    base, _, items, size = _base(i)
+    return C.explore_source(base, items, i.seen, size, SMALL_BLOCKS).select("user_id", "item_id", "rank", "score")
+
+
+@query(
+    "SELECT 'tag' AS source, user_id, item_id, rank FROM src_tag UNION ALL SELECT 'trending', user_id, item_id, rank FROM src_trending UNION ALL SELECT 'fresh', user_id, item_id, rank FROM src_fresh",
+    keys="source, user_id, item_id", ints="rank",
+)
+def list_sources_tail(spark, d):
+    """The three list sources with heads of 32 rows, so that most rows come from list tails."""
+    i = tag_inputs(spark, d)
+    base, _, items, size = _base(i)
+    return C.list_sources(base, items, i.seen, i.tax, size, SMALL_BLOCKS).select("source", "user_id", "item_id", "rank")
+
+
 def _listed(spark, d, which: str) -> DataFrame:
     i = tag_inputs(spark, d)
     base, _, items, size = _base(i)

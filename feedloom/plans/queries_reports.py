@@ -123,11 +123,11 @@ def error_patterns(spark, d):
 
 
 @query(
-    "SELECT * FROM (SELECT model, item_id, field, score, row_number() OVER (PARTITION BY model, item_id ORDER BY score, field) AS rank FROM cmp WHERE score < 1) WHERE rank <= 3",
+    "SELECT * FROM (SELECT model, item_id, field, score, row_number() OVER (PARTITION BY model, item_id ORDER BY place, field) AS rank FROM cmp JOIN (SELECT field, min(slot) AS place FROM tax GROUP BY 1) USING (field) WHERE score < 1) WHERE rank <= 3",
     _EVAL, keys="model, item_id, field", ints="rank", nums="score",
 )
 def worst_fields(spark, d):
-    return Q.worst_fields(_compared(spark, d))
+    return Q.worst_fields(_compared(spark, d), [f for f, _ in T.vocabulary().fields])
 
 
 @query(

@@ -259,3 +259,11 @@ def test_running_profiles_equal_batch(spark, tmp_path):
         for other in (got[r["user_id"]], merged[r["user_id"]]):
             assert other["vector"] == pytest.approx(r["vector"]) and other["positive_signal"] == pytest.approx(r["positive_signal"])
             assert (other["effective"], other["skipped_no_features"], other["interaction_count"]) == (r["effective"], r["skipped_no_features"], r["interaction_count"])
+
+
+def test_missing_or_wrong_vectors_fail(spark):
+    good = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "item_id bigint, vector array<double>")
+    assert L.require_dimension(good, 2).count() == 2
+    for bad in (good.limit(0), good.union(spark.createDataFrame([(3, [1.0])], good.schema)), good.union(spark.createDataFrame([(4, None)], good.schema))):
+        with pytest.raises(ValueError, match="expected vectors of length 2"):
+            L.require_dimension(bad, 2)
