@@ -17,17 +17,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import text_key
-from feedloom.session import materialise, materialise_all
+from feedloom.session import materialise
 
 MIN_WORDS = 50
 _DOC = ("doc_id", "_key")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, _key, line, h1, h2, words) for every line with words; documents that repeat id and text count once."""
+    """(doc_id, _key, line, h1, h2, words) for every line with words, written once; documents that repeat id and text count once.
+
+    From here on lines are hashes: the texts themselves are neither shuffled nor read again before the final cut.
+    """
     split = docs.select(*_DOC, F.posexplode(F.split("text", "\n")).alias("line", "content"))
     words = F.size(F.regexp_extract_all("content", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    return split.select(*_DOC, "line", F.xxhash64("content").alias("h1"), F.xxhash64(F.concat("content", F.lit("\n"))).alias("h2"), words.alias("words")).where("words > 0")
+    hashed = split.select(*_DOC, "line", F.xxhash64("content").alias("h1"), F.xxhash64(F.concat("content", F.lit("\n"))).alias("h2"), words.alias("words")).where("words > 0")
+    return materialise(hashed.dropDuplicates([*_DOC, "line"]))
 
 
 def _names(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -46,7 +50,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A run is deleted where the same lines occur earlier: in a smaller doc_id (nulls last, then by text key) or further up in the same document.
     Lines without words are passed over in comparing runs; those inside a deleted stretch go with it.
     """
-    lines = _lines(docs.dropDuplicates(_DOC))
+    lines = _lines(docs)
     repeats = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     ids = _names(repeats, "h1", "h2")
     by_doc = Window.partitionBy(*_DOC).orderBy("line")
