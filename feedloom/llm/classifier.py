@@ -81,7 +81,10 @@ class Hasher:
 
 
 def _pieces(texts: list[str], limit: int = 1 << 18):
-    """Blocks of about ``limit`` characters; a longer text is cut at white space, which no word or n-gram crosses."""
+    """Blocks of about ``limit`` characters.
+
+    A longer text is cut at white space, which no word or n-gram crosses; the pair of words at a cut is not counted. Cuts depend on the text alone.
+    """
     index, pieces, size = [], [], 0
     for i, text in enumerate(texts):
         start = 0
