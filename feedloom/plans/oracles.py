@@ -161,6 +161,24 @@ def _scored(prof: str) -> str:
 
 
 CTE["scored"] = _scored("prof")
+CTE["listed"] = """SELECT s.user_id, list({'i': s.item_id, 'b': s.base_score, 'c': e.creator_id, 's': coalesce(d.slots, []::BIGINT[]), 'm': 0.0::DOUBLE,
+        'v': list_transform(e.v, lambda x: CASE WHEN list_dot_product(e.v, e.v) > 0 THEN x / sqrt(list_dot_product(e.v, e.v)) ELSE 0.0 END)} ORDER BY s.item_id) AS cs
+    FROM scored s JOIN elig e ON e.item_id = s.item_id
+    LEFT JOIN (SELECT t.item_id, list(x.slot::BIGINT) AS slots FROM tags t JOIN tax x USING (field, value) WHERE x.diversity AND t.value NOT IN ('none', 'unknown') GROUP BY 1) d ON d.item_id = s.item_id
+    GROUP BY 1"""
+# One step per rank. Open candidates carry their largest similarity to what was chosen; when none is allowed the rest follows by score.
+CTE["picked"] = f"""SELECT user_id, 0 AS rank, false AS relaxed, NULL::BIGINT AS item_id, NULL::VARCHAR AS creator_id, NULL::DOUBLE AS base_score, NULL::DOUBLE AS diversity_penalty,
+        cs, []::VARCHAR[] AS creators, []::BIGINT[] AS slots FROM listed
+    UNION ALL SELECT user_id, rank + 1, now_relaxed, p.i, p.c, p.b, {S.diversity_lambda} * p.m,
+        list_transform(list_filter(cs, lambda c: c.i <> p.i), lambda c: {{'i': c.i, 'b': c.b, 'c': c.c, 's': c.s, 'm': greatest(c.m, list_dot_product(c.v, p.v)), 'v': c.v}}),
+        list_append(creators, p.c), CASE WHEN rank < {S.tag_cap_window} THEN list_concat(slots, p.s) ELSE slots END
+    FROM (SELECT *, list_filter(cs, lambda c: c.i = list_sort(list_transform(CASE WHEN now_relaxed THEN cs ELSE free END,
+            lambda c: {{'o': CASE WHEN now_relaxed THEN -c.b ELSE {S.diversity_lambda} * c.m - c.b END, 'i': c.i}}))[1].i)[1] AS p
+        FROM (SELECT *, relaxed OR len(free) = 0 AS now_relaxed
+            FROM (SELECT *, list_filter(cs, lambda c: (c.c IS NULL OR len(list_filter(creators, lambda u: u = c.c)) < {S.max_same_creator})
+                AND (rank >= {S.tag_cap_window} OR len(list_filter(c.s, lambda t: len(list_filter(slots, lambda u: u = t)) >= {S.max_same_tag})) = 0)) AS free
+                FROM picked WHERE rank < {S.feed_size} AND len(cs) > 0)))"""
+CTE["reranked"] = "SELECT user_id, item_id, rank, creator_id, base_score, diversity_penalty, base_score - diversity_penalty AS final_score, relaxed FROM picked WHERE rank > 0"
 
 
 def with_tables(body: str, extra: dict[str, str] | None = None) -> str:

@@ -220,9 +220,20 @@ def scene_cuts(spark, d):
     return cuts.groupBy("item_id", "cut").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_SNAP = {
+    "clip": _PLAN["plan"].replace("FROM parts", "FROM (SELECT o_orderkey AS item_id, (o_orderkey % 60 + 1)::DOUBLE AS duration_s FROM orders)"),
+    "spots": f"SELECT l_orderkey AS item_id, list(round(l_quantity::DOUBLE + {S.scene_offset}, 3)) AS cs FROM lineitem GROUP BY 1",
+}
+
+
+@query(
+    f"""SELECT item_id, unnest(CASE WHEN cs IS NULL THEN ts ELSE list_distinct(list_reduce(list_transform(list_sort(ts), lambda t: [t]),
+        lambda used, t: list_concat(used, [coalesce(list_sort(list_transform(list_filter(cs, lambda c: abs(c - t[1]) <= {S.scene_snap_window} AND len(list_filter(used, lambda u: u = c)) = 0),
+            lambda c: {{'d': abs(c - t[1]), 'c': c}}))[1].c, t[1])]), []::DOUBLE[])) END) AS ts FROM clip LEFT JOIN spots USING (item_id)""",
+    _SNAP, keys="item_id", nums="ts",
+)
 def scene_snapped_frames(spark, d):
-    """Frame plan of each order moved to its cuts; without cuts the plan stays. Checked against a loop in the tests."""
+    """Frame plan of each order moved to its cuts; without cuts the plan stays."""
     durations = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), (F.col("o_orderkey") % 60 + 1.0).alias("duration_s"))
     plan = R.frame_plan(durations, S)
     cuts = _cut_logs(spark, d).select(F.col("l_orderkey").alias("item_id"), R.parse_cuts(F.col("log")).alias("cuts"))

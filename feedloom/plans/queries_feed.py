@@ -326,16 +326,20 @@ def candidates(spark, d):
     return _candidates(tag_inputs(spark, d))[2]
 
 
-@query(
-    """SELECT p.user_id, coalesce(n_similar, 0) AS n_similar, coalesce(n_tag, 0) AS n_tag, coalesce(n_trending, 0) AS n_trending, coalesce(n_fresh, 0) AS n_fresh,
+def _counts_sql(limit: int) -> str:
+    return f"""SELECT p.user_id, coalesce(n_similar, 0) AS n_similar, coalesce(n_tag, 0) AS n_tag, coalesce(n_trending, 0) AS n_trending, coalesce(n_fresh, 0) AS n_fresh,
         coalesce(n_explore, 0) AS n_explore, coalesce(unique_candidates, 0) AS unique_candidates, (SELECT count(*) FROM elig) AS eligible_items,
         (SELECT count(*) FROM seen s WHERE s.user_id = p.user_id) AS seen_count,
-        (SELECT count(*) FROM elig) - (SELECT count(*) FROM seen s JOIN elig e USING (item_id) WHERE s.user_id = p.user_id) < 420 AS candidate_shortage
+        (SELECT count(*) FROM elig) - (SELECT count(*) FROM seen s JOIN elig e USING (item_id) WHERE s.user_id = p.user_id) < {limit} AS candidate_shortage
        FROM prof p LEFT JOIN (SELECT user_id, count(*) FILTER (source = 'similar') AS n_similar, count(*) FILTER (source = 'tag') AS n_tag,
         count(*) FILTER (source = 'trending') AS n_trending, count(*) FILTER (source = 'fresh') AS n_fresh, count(*) FILTER (source = 'explore') AS n_explore,
-        count(DISTINCT item_id) AS unique_candidates FROM cand0 GROUP BY 1) c USING (user_id)""",
-    keys="user_id, candidate_shortage", ints="n_similar, n_tag, n_trending, n_fresh, n_explore, unique_candidates, eligible_items, seen_count",
-)
+        count(DISTINCT item_id) AS unique_candidates FROM cand0 GROUP BY 1) c USING (user_id)"""
+
+
+_COUNTS = "n_similar, n_tag, n_trending, n_fresh, n_explore, unique_candidates, eligible_items, seen_count"
+
+
+@query(_counts_sql(420), keys="user_id, candidate_shortage", ints=_COUNTS)
 def candidate_counts(spark, d):
     i = tag_inputs(spark, d)
     base, items, cand = _candidates(i)
@@ -414,9 +418,9 @@ def cold_start_ranked(spark, d):
     return scored.select(*_SCORE_KEYS.split(", "), *_SCORE_NUMS.split(", "))
 
 
-@query()
+@query("SELECT * FROM reranked", keys="user_id, item_id, creator_id, relaxed", ints="rank", nums="base_score, diversity_penalty, final_score")
 def recommended(spark, d):
-    """End to end: the diversified list of every user. Checked against a plain re-implementation in the tests."""
+    """End to end: the diversified list of every user."""
     return recommend(tag_inputs(spark, d), S.feed_size).selected
 
 
@@ -429,7 +433,12 @@ def recommended_dense(spark, d):
     return Y.rerank(scored, 20, S)
 
 
-@query()
+@query(
+    f"""SELECT c.*, p.is_cold_start AS cold_start, coalesce(returned, 0) AS returned, coalesce(relaxed_count, 0) AS relaxed_count, coalesce(diversity_relaxed, false) AS diversity_relaxed,
+        {S.feed_size} AS requested_limit FROM ({_counts_sql(S.feed_size)}) c JOIN prof p USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS returned,
+        count(*) FILTER (relaxed) AS relaxed_count, bool_or(relaxed) AS diversity_relaxed FROM reranked GROUP BY 1) r USING (user_id)""",
+    keys="user_id, candidate_shortage, cold_start, diversity_relaxed", ints=f"{_COUNTS}, returned, relaxed_count, requested_limit",
+)
 def recommendation_diagnostics(spark, d):
     i = tag_inputs(spark, d)
     run = recommend(i, S.feed_size)
