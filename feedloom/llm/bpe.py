@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import id_text
 
-#: Entries of a worker's tables of encoded chunks and pre-tokens; a full table starts anew. Longer chunks are not kept.
-TABLE_ENTRIES, TABLE_CHARS = 500_000, 64
+#: Entries in a generation of a worker's table of pre-tokens, half as many of chunks; longer ones are not kept.
+TABLE_ENTRIES, TABLE_CHARS = 400_000, 64
 #: Spaces between two characters that are no white space: a pre-token always begins there.
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -41,79 +41,93 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
-class RankQueue:
-    """Positions by rank; pops the lowest rank first and, within it, the leftmost position."""
-
-    __slots__ = ("buckets", "top", "words")
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.words: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word = rank >> 8
-            self.words[word] = self.words.get(word, 0) | 1 << (rank & 255)
-            self.top |= 1 << word
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        low = bits & -bits
-        rank = word << 8 | low.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] = bits = bits ^ low
-            if not bits:
-                self.top ^= 1 << word
-        return rank, position
-
-
 def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
-    """Ids of one pre-token: the pair of lowest rank, the leftmost of equals, is merged until none is left."""
+    """Ids of one pre-token: the pair of lowest rank, the leftmost of equals, is merged until none is left.
+
+    ``buckets`` has the positions of each rank as a small heap. Bit r of the lower bitmap, kept in words of 256 bits, says that rank r has a
+    bucket; bit w of ``top`` says that word w is not zero.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n, get = len(piece), ranks.get
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank_at: list[int | None] = [None] * n
-    queue = RankQueue()
-
-    def look(i: int) -> None:
-        j = after[i]
-        rank = None
-        if j < n and after[j] - i <= longest:
-            rank = get(piece[i : after[j]])
-            if rank is not None:
-                queue.push(rank, i)
-        rank_at[i] = rank
-
+    token: list[int | None] = [ranks[piece[i : i + 1]] for i in range(n)]
+    pair: list[int | None] = [None] * n  # rank of the pair that begins here
+    buckets: dict[int, list[int]] = {}
+    words: dict[int, int] = {}
+    top = 0
     for i in range(n - 1):
-        look(i)
-    while queue.top:
-        rank, i = queue.pop()
-        if rank_at[i] != rank:
+        rank = get(piece[i : i + 2])
+        if rank is not None:
+            pair[i] = rank
+            if rank in buckets:
+                buckets[rank].append(i)  # positions ascend: still a heap
+            else:
+                buckets[rank] = [i]
+                word = rank >> 8
+                words[word] = words.get(word, 0) | 1 << (rank & 255)
+                top |= 1 << word
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = words[word]
+        low = bits & -bits
+        lowest = word << 8 | low.bit_length() - 1
+        bucket = buckets[lowest]
+        i = heappop(bucket)
+        if not bucket:
+            del buckets[lowest]
+            words[word] = bits = bits ^ low
+            if not bits:
+                top ^= 1 << word
+        if pair[i] != lowest:
             continue  # the pair has changed since
         j = after[i]
         after[i] = k = after[j]
-        rank_at[j] = None
+        token[i], token[j], pair[j] = lowest, None, None
         if k < n:
             before[k] = i
-        look(i)
-        if before[i] >= 0:
-            look(before[i])
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return ids
+        for at in (i, before[i]):
+            if at < 0:
+                continue
+            middle = after[at]
+            rank = None
+            if middle < n:
+                end = after[middle]
+                if end - at <= longest:
+                    rank = get(piece[at:end])
+            pair[at] = rank
+            if rank is not None:
+                if rank in buckets:
+                    heappush(buckets[rank], at)
+                else:
+                    buckets[rank] = [at]
+                    word = rank >> 8
+                    words[word] = words.get(word, 0) | 1 << (rank & 255)
+                    top |= 1 << word
+    return [t for t in token if t is not None]
+
+
+class Recent:
+    """A table of what was used last: when one generation is full, it becomes the old one and the one before goes."""
+
+    __slots__ = ("limit", "old", "young")
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 class ChunkEncoder:
@@ -121,8 +135,7 @@ class ChunkEncoder:
 
     def __init__(self, pattern: str, pretoken, dtype: str = "<u4"):
         self.find, self.pretoken, self.dtype = regex.compile(pattern).findall, pretoken, dtype
-        self.chunks: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self.chunks, self.pretokens = Recent(TABLE_ENTRIES // 2), Recent(TABLE_ENTRIES)
 
     def _plain(self, text: str) -> bytes:
         out = []
@@ -131,9 +144,7 @@ class ChunkEncoder:
             if got is None:
                 got = np.array(self.pretoken(piece), self.dtype).tobytes()
                 if len(piece) <= TABLE_CHARS:
-                    if len(self.pretokens) >= TABLE_ENTRIES:
-                        self.pretokens.clear()
-                    self.pretokens[piece] = got
+                    self.pretokens.put(piece, got)
             out.append(got)
         return b"".join(out)
 
@@ -142,14 +153,12 @@ class ChunkEncoder:
         if got is None:
             got = self._plain(" " + chunk)
             if len(chunk) <= TABLE_CHARS and chunk and not chunk[0].isspace() and not chunk[-1].isspace():
-                if len(self.chunks) >= TABLE_ENTRIES:
-                    self.chunks.clear()
-                self.chunks[chunk] = got
+                self.chunks.put(chunk, got)
         return got
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        got = list(map(self.chunks.get, rest))
+        got = list(map(self.chunks.young.get, rest))
         if None in got:
             missing = {c for c, g in zip(rest, got) if g is None}
             if any(not c or c[0].isspace() or c[-1].isspace() for c in missing) or first[-1:].isspace():

@@ -47,12 +47,24 @@ def hard_texts(n):
     return ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(n)] + ["it's we'll  I'd\n\n x", " <|endoftext|> ", "a" * 3000, "ab" * 2000]
 
 
-def test_rank_queue_order():
-    rng, queue = random.Random(1), bpe.RankQueue()
-    pushed = [(rng.randrange(50_000), rng.randrange(100)) for _ in range(500)]
-    for rank, position in pushed:
-        queue.push(rank, position)
-    assert [queue.pop() for _ in pushed] == sorted(pushed) and not queue.top
+def merge_by_hand(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while not (len(parts) == 1 or piece in ranks):
+        best = min(((ranks.get(parts[i] + parts[i + 1], 10**9), i) for i in range(len(parts) - 1)), default=(10**9, 0))
+        if best[0] == 10**9:
+            break
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    return [ranks[piece]] if piece in ranks else [ranks[p] for p in parts]
+
+
+def test_merge_of_any_ranks():
+    """Also ranks that no training would give: later merges may rank before earlier ones, and tokens may be reached in several ways."""
+    rng = random.Random(1)
+    for _ in range(300):
+        tokens = {bytes([b]) for b in b"abc"} | {bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 6))) for _ in range(25)}
+        ranks = dict(zip(rng.sample(sorted(tokens), len(tokens)), rng.sample(range(50_000), len(tokens))))
+        piece = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 40)))
+        assert bpe.merge(piece, ranks, 6) == merge_by_hand(piece, ranks)
 
 
 def test_encoder_equals_reference(encoder, reference):
