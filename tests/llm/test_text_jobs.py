@@ -196,6 +196,6 @@ def test_registered():
     assert numbers == list(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", ["op6_decontamination", "op7_lines"])  # the smallest scale has few passages and runs
 def test_query_equals_sql_at_the_larger_scale(spark, name):
     assert differences(QUERIES[name](spark, LARGER), connect(LARGER), SQL[name]) is None
