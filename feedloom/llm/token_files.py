@@ -13,6 +13,7 @@ a temporary name and renamed, so a repeated task attempt replaces it whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -20,6 +21,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -135,13 +137,62 @@ def _byte_letters() -> dict[int, str]:
 
 
 def library_encoder(tokenizer_json: str, pattern: str) -> ChunkEncoder:
-    """The tokenizers library's model on each pre-token; repeated chunks come from a table."""
+    """The tokenizers library's model on each pre-token; repeated chunks come from a table. Added tokens are ordinary text here."""
     from tokenizers import Tokenizer
 
     model, letters = Tokenizer.from_str(tokenizer_json).model, _byte_letters()
     return ChunkEncoder(pattern, lambda piece: [t.id for t in model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))])
 
 
+class AddedTokens:
+    """``encode(add_special_tokens=False)`` of the library's whole tokenizer: the file's added tokens first, ``plain`` on the text between them.
+
+    As in the library the leftmost and then longest token is taken, those that are not normalized before the others; ``single_word`` tokens
+    need no word character beside them, ``lstrip`` and ``rstrip`` tokens take the white space beside them along.
+    """
+
+    WORD, SPACE, SPACES = regex.compile(r"\w"), regex.compile(r"\s"), regex.compile(r"\s*")
+
+    def __init__(self, tokenizer_json: str, plain: ChunkEncoder):
+        self.plain, self.passes = plain, []
+        added = [t for t in json.loads(tokenizer_json).get("added_tokens") or [] if t["content"]]
+        for normalized in (False, True):
+            tokens = {t["content"]: t for t in added if bool(t.get("normalized")) == normalized}
+            if tokens:
+                self.passes.append((regex.compile("|".join(map(regex.escape, sorted(tokens, key=len, reverse=True)))), tokens))
+
+    def _cut(self, text: str, find, tokens: dict[str, dict]):
+        """Text between tokens as str, tokens as their ids in bytes."""
+        at = 0
+        for match in find.finditer(text):
+            token, (start, stop) = tokens[match.group()], match.span()
+            if token.get("single_word") and (start and self.WORD.match(text[start - 1]) or self.WORD.match(text[stop : stop + 1])):
+                continue
+            while token.get("lstrip") and start > at and self.SPACE.match(text[start - 1]):
+                start -= 1
+            if token.get("rstrip"):
+                stop = self.SPACES.match(text, stop).end()
+            if at < start:
+                yield text[at:start]
+            yield struct.pack("<I", token["id"])
+            at = stop
+        if at < len(text):
+            yield text[at:]
+
+    def encode(self, text: str) -> bytes:
+        found = [(find, tokens) for find, tokens in self.passes if any(t in text for t in tokens)]
+        if not found:
+            return self.plain.encode(text)
+        pieces = [text]
+        for find, tokens in found:
+            pieces = [x for p in pieces for x in ([p] if isinstance(p, bytes) else self._cut(p, find, tokens))]
+        return b"".join(p if isinstance(p, bytes) else self.plain.encode(p) for p in pieces)
+
+
+def file_encoder(tokenizer_json: str, pattern: str) -> AddedTokens:
+    return AddedTokens(tokenizer_json, library_encoder(tokenizer_json, pattern))
+
+
 # ---- the jobs ----
 
 
@@ -152,8 +203,8 @@ def write_token_files(
     """Encode every whole text, append ``end_id`` to each, and write shard files in ascending order of doc_id.
 
     Returns (part, sequence, file, n_ids, n_docs) per file. Rows with the same doc_id follow each other in the order of a hash of their text,
-    null ids come first. A null text counts as empty and has the end id alone; an empty table writes nothing. Special tokens are
-    ordinary text. Other columns are not read. ``folder`` is a URI or path that executors share.
+    null ids come first. A null text counts as empty and has the end id alone; an empty table writes nothing. Added tokens of the
+    tokenizer file are recognised in the text, as the library does by default. Other columns are not read. ``folder`` is a URI or path that executors share.
     """
     source = id_text(docs, id_col, text_col)
     with open(tokenizer_file, encoding="utf-8") as file:  # read by the driver
@@ -164,7 +215,7 @@ def write_token_files(
     dealt = source.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
 
     def write(batches):
-        encoder = once_per_process(name, lambda: library_encoder(shared(), pattern))
+        encoder = once_per_process(name, lambda: file_encoder(shared(), pattern))
         filesystem, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
         part, end = TaskContext.get().partitionId(), struct.pack("<I", end_id)
         held: list[bytes] = []

@@ -165,3 +165,41 @@ def test_ids_can_be_kept(spark, tmp_path, library):
     files = token_files.write_token_files(docs, JSON, public_tokenizers.PATTERN, folder, bits=True)
     got = token_files.read_token_files(spark, folder, files, docs.schema["doc_id"].dataType, keep_ids=True)
     assert {r.doc_id: r.ids for r in got.collect()} == {1: [*library.encode("one two").ids, 0], 2: [0]}
+
+
+# ---- added tokens: the library with its defaults ----
+
+
+def with_added_tokens():
+    """The tokenizer file with more added tokens, of every kind of flag."""
+    import json
+
+    with open(JSON, encoding="utf-8") as file:
+        whole = json.load(file)
+    plain = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
+    more = [("<|end", {}), ("WORD", {"single_word": True}), ("<L>", {"lstrip": True}), ("<R>", {"rstrip": True, "special": True}), ("<LR>", {"lstrip": True, "rstrip": True}), ("<n>", {"normalized": True}), ("<n><n>", {"normalized": True})]
+    whole["added_tokens"] += [{"id": 50257 + i, "content": c, **plain, **flags} for i, (c, flags) in enumerate(more)]
+    return json.dumps(whole)
+
+
+@pytest.mark.parametrize("more", [False, True])
+def test_added_tokens_equal_library_defaults(more):
+    from tokenizers import Tokenizer
+
+    with open(JSON, encoding="utf-8") as file:
+        raw = with_added_tokens() if more else file.read()
+    library, encoder = Tokenizer.from_str(raw), token_files.file_encoder(raw, public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    stock = ["<|endoftext|>", "<|endoftext", "|>", "<|end", "WORD", "<L>", "<R>", "<LR>", "<n>", " ", "  ", "\n", "a", "b c", "é", "漢", ".", "_", "1", "\u3000"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", *hard_texts(200)] + ["".join(rng.choice(stock) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_token_files_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "a <|endoftext|> b"), (2, "after"), (3, "<|endoftext|>"), (4, None), (5, "x<|endoftext|>\n\n<|endoftext|> y")]
+    got = token_files.token_files(spark.createDataFrame(rows, "doc_id long, text string"), JSON, public_tokenizers.PATTERN)
+    assert sorted(map(tuple, got.collect())) == expected_rows(rows, Tokenizer.from_file(JSON))
+    assert got.where("doc_id = 1").first().n_tokens == 5
