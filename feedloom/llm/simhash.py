@@ -24,6 +24,10 @@ from feedloom.session import materialise
 
 #: Distinct fingerprints of one bucket that share a tree.
 SHARD_ROWS = 8192
+#: Texts and shingles of one candidate group that are compared in one task; larger groups are cut.
+GROUP_ROWS, GROUP_SHINGLES = 4096, 1 << 22
+#: Sets up to this size also meet by equal shingles: with so few, the spread of the estimate is wider.
+SMALL_SET = 40
 #: Query-node pairs that a search holds at a time.
 FRONTIER = 1 << 21
 
@@ -245,15 +249,142 @@ def similarity_radius(lanes: int, similarity: float) -> int:
     return round(64 * lanes * math.acos(cosine) / math.pi)
 
 
-def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 8, blocks: int = 39, block_bits: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def least_overlap(n: int, similarity: float) -> int:
+    """Shingles that a set of ``n`` has in common with any other at ``similarity`` or more, at least."""
+    return max(math.ceil(n * similarity - 1e-9), 1)
+
+
+def set_fingerprints(source: DataFrame, words: int, lanes: int, similarity: float) -> DataFrame:
+    """(doc_id, _key, fp, small): fingerprints over different shingles, and of small sets the lowest shingles, one of which every similar set has among its own."""
+
+    def run(batches):
+        for batch in batches:
+            fps, small = [], []
+            for text in batch.column("text").to_pylist():
+                found = np.unique(shingle_hashes(text, words))
+                fps.append(fingerprint(found, lanes))
+                prefix = found[: len(found) - least_overlap(len(found), similarity) + 1] if 0 < len(found) <= SMALL_SET / similarity else found[:0]
+                small.append(prefix.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), pa.array(fps, pa.binary()), pa.array(small, pa.list_(pa.int64()))], ["doc_id", "_key", "fp", "small"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.select("doc_id", "_key", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, _key bigint, fp binary, small array<bigint>")
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set of sorted shingles the first set that links of Jaccard ``similarity`` or more reach; empty sets are alike."""
+    sizes, labels = np.array([len(x) for x in sets]), np.arange(len(sets))
+
+    def alike(x, y):
+        low, high = sorted((sizes[x], sizes[y]))
+        if low < least_overlap(high, similarity) and high:
+            return False
+        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        return both >= similarity * (low + high - both) - 1e-9
+
+    def join(x, y):
+        low, high = sorted((labels[x], labels[y]))
+        labels[labels == high] = low
+
+    leaders: list[int] = []  # most of a group is settled by its first few texts
+    for x in range(len(sets)):
+        hit = next((y for y in leaders if alike(x, y)), None)
+        if hit is not None:
+            join(x, hit)
+        elif len(leaders) < 8:
+            leaders.append(x)
+    # What is left: pairs of different labels, of which one at least is outside the largest. They share one of their rarest shingles.
+    most = np.bincount(labels).argmax()
+    outside = np.flatnonzero(labels != most)
+    if not len(outside):
+        return labels
+    _, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    postings: dict[int, list[int]] = {}
+    prefixes = []
+    for x, ids in enumerate(np.split(back, np.cumsum(sizes)[:-1])):
+        rare = ids[np.lexsort((ids, count[ids]))][: sizes[x] - least_overlap(sizes[x], similarity) + 1]
+        prefixes.append(rare.tolist())
+        for i in prefixes[-1]:
+            postings.setdefault(i, []).append(x)
+    for x in outside:
+        near = np.unique(np.fromiter((y for i in prefixes[x] for y in postings[i]), np.int64))
+        for y in near[labels[near] != labels[x]]:
+            if labels[x] != labels[y] and alike(x, y):
+                join(x, y)
+    return labels
+
+
+def similar_texts(groups: DataFrame, similarity: float, words: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(a, b): links between the nodes of ``groups`` (root, node, text) that join the same nodes as all pairs of a root at Jaccard ``similarity`` or more."""
+
+    def shingle(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
+            columns = [batch.column("root"), batch.column("node"), pa.array([x.tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["root", "node", "shingles"])
+
+    sets = groups.select("root", "node", F.col("text").cast("binary").alias("text")).mapInArrow(shingle, "root binary, node binary, shingles binary")
+    sets = materialise(sets.dropDuplicates(["node"]))
+    cuts = F.ceil(F.greatest(F.count(F.lit(1)) / group_rows, F.sum(F.length("shingles")) / (8 * GROUP_SHINGLES))).cast("int")
+    shards = sets.groupBy("root").agg(F.greatest(cuts, F.lit(1)).alias("n"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("root").alias("_r"), "n")
+    own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    met = sets.join(shards, sets.root == shards["_r"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("n = 1 or own != other")
+    met = met.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "shingles")
+    met = met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "node")
+
+    def link(batches):
+        def work(nodes, sets):
+            labels = similar_sets(sets, similarity)
+            rows = np.flatnonzero(labels != np.arange(len(nodes)))
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in rows], pa.binary()), pa.array([nodes[labels[i]] for i in rows], pa.binary())], ["a", "b"])
+
+        group, nodes, sets = None, [], []
+        for batch in batches:
+            for *key, node, content in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != group and nodes:
+                    yield work(nodes, sets)
+                    nodes, sets = [], []
+                group = key
+                nodes.append(node)
+                sets.append(np.frombuffer(content, np.uint64))
+        if nodes:
+            yield work(nodes, sets)
+
+    return met.mapInArrow(link, "a binary, b binary")
+
+
+def keep_one_of_each(
+    docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 8, blocks: int = 39, block_bits: int = 13,
+    id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS,
+) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one whose id is the smallest the group's links reach. Columns stay as they are.
 
-    Documents link where so many bits of ``64 * lanes`` differ as a shingle similarity of ``similarity`` makes expect, or fewer. A pair at just
-    0.8 shares one of 39 blocks of 13 bits with probability 0.99, a closer one almost surely, and groups hold together by their other links.
+    A link is a pair of texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. Fingerprints only
+    propose groups: they join where no more bits differ than that similarity makes expect plus three spreads, small sets also by
+    common shingles, and every group is then compared on the shingles themselves. A pair at just 0.8 shares one of 39
+    blocks of 13 bits with probability 0.984, a closer one almost surely; small sets miss none.
     Rows that repeat id and text leave one; rows without id stay where no row with an id is in their group. Texts without words are one group.
     """
-    found = simhash_components(docs, words, similarity_radius(lanes, similarity), lanes, blocks, block_bits, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_llm_id"), F.col("_key").alias("_llm_k")).distinct()
     keyed = docs.withColumn("_llm_key", text_key(f"`{text_col}`"))
+    source = id_text(docs, id_col, text_col).withColumn("_key", text_key("text"))
+    marked = materialise(set_fingerprints(source, words, lanes, similarity))
+    classes = materialise(marked.groupBy("fp", "_key").agg(F.min("doc_id").alias("first_id"), F.first("small").alias("small")))
+    bits, expected = 64 * lanes, similarity_radius(lanes, similarity)
+    radius = expected + math.ceil(3 * math.sqrt(expected * (1 - expected / bits)))
+    shared = classes.select("fp", F.explode("small").alias("h")).distinct()
+    lowest = shared.groupBy("h").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("_h"), "b")
+    small = shared.join(lowest, shared.h == lowest["_h"]).where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
+    proposed = components(links(classes.select("fp").distinct(), radius, block_bounds(bits, blocks, block_bits)).union(small))
+    node = F.concat("fp", F.unhex(F.lpad(F.hex("_key"), 16, "0")))
+    rooted = classes.join(proposed, classes.fp == proposed.node, "left").select(node.alias("node"), "_key", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(rooted)
+    crowded = rooted.groupBy("root").count().where("count > 1").select(F.col("root").alias("_r"))
+    asked = rooted.join(crowded, rooted.root == crowded["_r"], "left_semi").select("root", "node", "first_id", F.col("_key").alias("_k"))
+    texts = source.join(asked, source.doc_id.eqNullSafe(asked.first_id) & (source["_key"] == asked["_k"])).select("root", "node", "text")
+    found = components(similar_texts(texts, similarity, words, group_rows)).select(F.col("node").alias("_n"), F.col("root").alias("_to"))
+    grouped = rooted.join(found, rooted.node == found["_n"], "left").select("_key", "first_id", F.coalesce("_to", "node").alias("head"))
+    kept = grouped.groupBy("head").agg(F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id")).alias("low")).select(F.col("head").alias("_t"), "low.first_id")
+    kept = grouped.join(kept.withColumnRenamed("first_id", "component_id"), grouped["head"] == kept["_t"]).where(F.col("first_id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.col("first_id").alias("_llm_id"), F.col("_key").alias("_llm_k")).distinct()
     staying = keyed.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_key") == F.col("_llm_k")), "left_semi")
     return staying.dropDuplicates([id_col, "_llm_key"]).select(*[f"`{c}`" for c in docs.columns])

@@ -97,6 +97,42 @@ def test_near_copies_leave_one(spark):
     assert kept == {5 * g for g in range(12)} | set(range(1000, 1040))
 
 
+def shingles_by_hand(text, words=5):
+    found = text.lower().split()
+    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+@pytest.mark.parametrize("group_rows", [simhash.GROUP_ROWS, 9])
+def test_near_dedup_equals_brute_force_jaccard(spark, group_rows):
+    """Short and long texts around the similarity of 0.8, on both sides, chains, and one text that repeats a passage."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for n, edits in [(400, 9), (400, 11), (150, 4), (12, 1), (9, 1), (60, 2)] * 4:
+        text = [word() for _ in range(n)]
+        rows.append((len(rows), " ".join(text)))
+        for _ in range(5):
+            copy = list(text)
+            for _ in range(rng.randrange(1, edits + 1)):
+                copy[rng.randrange(n)] = word()
+            rows.append((len(rows), " ".join(copy)))
+        for k in range(3):
+            rows.append((len(rows), " ".join([*text, *[word() for _ in range(n * (18 + 3 * k) // 100)]])))
+            text = text[n * (9 + 2 * k) // 100 :] + [word() for _ in range(n * (9 + 2 * k) // 100)]
+            rows.append((len(rows), " ".join(text)))
+    base = [word() for _ in range(300)]
+    rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base, *base[:8] * 60]))]
+    sets = [shingles_by_hand(t) for _, t in rows]
+    classes = Classes(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                classes.join(i, j)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one_of_each(df, group_rows=group_rows).collect()}
+    assert kept == {classes.find(i) for i in range(len(rows))}
+
+
 # ---- embeddings ----
 
 
