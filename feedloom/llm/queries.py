@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, classifier, decontamination, embedding_dedup, licence_scan, lines, pii, secret_scan, simhash, token_files
+from feedloom.llm import bpe, classifier, decontamination, embedding_dedup, licence_scan, lines, periodic, pii, secret_scan, simhash, token_files
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +142,21 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(doc_id.alias("doc_id"), "license", F.round("score", 6).alias("score"), "origin", "source")
 
 
+@query
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which get a repeated tail first."""
+    found = periodic.find_runs(periodic.repeat_tails(table(spark, sf_dir, "documents")))
+    longest = F.reduce(
+        F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))),
+        F.get("runs", F.lit(0)),  # runs come by start, then period: only a longer one replaces an earlier one
+        lambda best, run: F.when(run["length"] > best["length"], run).otherwise(best),
+    )
+    lines_of = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("r"), F.sha2(lines_of.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    milli = F.floor(1000 * F.col("r.length") / F.col("r.period")).alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "r.start", "r.length", "r.period", milli, "runs_sha256", "collapsed_sha256")
+
+
 # ---- SQL of the operators whose results SQL can state ----
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -208,3 +223,26 @@ SELECT p.doc_id, coalesce(o.license, n.license) AS license, round(coalesce(o.sco
   CASE WHEN o.license IS NOT NULL THEN p.path WHEN n.license IS NOT NULL THEN n.path END AS source
 FROM path p LEFT JOIN own o USING (doc_id) LEFT JOIN near n ON n.folder = p.folder
 """
+
+# Neighbours of a run agree one period later at least five words in a row, so runs are found from equal groups of five words.
+SQL["op13_periodic"] = rf"""
+WITH RECURSIVE bits AS (SELECT doc_id, coalesce(text, '') AS text, encode(CAST(doc_id AS VARCHAR)) AS b FROM documents),
+crc AS (SELECT doc_id, text, b, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM bits UNION ALL
+  SELECT doc_id, text, b, i + 1, list_reduce(list_prepend(xor(c, CAST(ascii(substr(decode(b), i + 1, 1)) AS BIGINT)), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) FROM crc WHERE i < octet_length(b)),
+h AS (SELECT doc_id, text, xor(c, 4294967295) AS h FROM crc WHERE i = octet_length(b)),
+w0 AS (SELECT doc_id, h, h // 10 AS g, {_WORDS.format("text")} AS w FROM h),
+w1 AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS mend, CASE WHEN len(w) > 0 THEN g % len(w) END AS a, g FROM w0),
+w2 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM w1),
+d AS (SELECT doc_id, n, CASE WHEN mend THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i + 1 ELSE a + (i - a) % p + 1 END]) ELSE w END AS w FROM w2),
+five AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 5], ' ') AS f FROM (SELECT *, unnest(range(n - 4)) AS i FROM d WHERE n >= 6)),
+pair AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM five x JOIN five y ON x.doc_id = y.doc_id AND x.f = y.f AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+isle AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pair),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + 4 + q AS l FROM isle GROUP BY doc_id, q, k HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+run AS (SELECT * FROM stretch a WHERE NOT EXISTS (SELECT 1 FROM stretch b WHERE a.doc_id = b.doc_id AND b.q < a.q AND b.s <= a.s AND b.s + b.l >= a.s + a.l)),
+top AS (SELECT doc_id, s, l, q FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, s, q) = 1),
+per AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM run GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT u.doc_id, string_agg(u.x, ' ' ORDER BY u.i) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(n)) AS i FROM d) u LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.i = u.i WHERE g.i IS NULL GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(q AS BIGINT) AS period, CAST(1000 * l // q AS BIGINT) AS exponent_milli, sha256(coalesce(per.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN top USING (doc_id) LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
