@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, classifier, decontamination, embedding_dedup, licence_scan, lines, periodic, pii, secret_scan, simhash, token_files
+from feedloom.llm import bpe, classifier, decontamination, embedding_dedup, licence_scan, lines, periodic, pii, ranked_search, secret_scan, simhash, token_files
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +142,12 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(doc_id.alias("doc_id"), "license", F.round("score", 6).alias("score"), "origin", "source")
 
 
+@query
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, a tenth of which get a repeated tail first."""
@@ -246,3 +252,16 @@ kept AS (SELECT u.doc_id, string_agg(u.x, ' ' ORDER BY u.i) AS t FROM (SELECT do
 SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(q AS BIGINT) AS period, CAST(1000 * l // q AS BIGINT) AS exponent_milli, sha256(coalesce(per.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
 FROM d LEFT JOIN top USING (doc_id) LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+_TERMS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL["op11_search"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS.format("text")} AS w FROM documents),
+big AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS t FROM benchmark),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) SEMI JOIN q USING (t) GROUP BY ALL),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(big.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, big GROUP BY t),
+im AS (SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * tf.n * big.n) // big.l)) AS v FROM tf, big),
+sc AS (SELECT item_id, doc_id, CAST(sum(w * v) AS BIGINT) AS score FROM q JOIN wt USING (t) JOIN im USING (t) GROUP BY ALL HAVING sum(w * v) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM sc
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
