@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, classifier, decontamination, embedding_dedup, licence_scan, lines, periodic, pii, ranked_search, secret_scan, simhash, token_files
+from feedloom.llm import bpe, classifier, decontamination, embedding_dedup, html_text, licence_scan, lines, periodic, pii, ranked_search, secret_scan, simhash, token_files
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +148,14 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.extract_text(pages, html_text.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, a tenth of which get a repeated tail first."""
