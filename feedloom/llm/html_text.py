@@ -499,7 +499,7 @@ def train(pages: DataFrame, settings: Settings | None = None, html_col: str = "h
         names = list(weights)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([weights[n].tobytes() for n in names], pa.binary()), pa.array([list(weights[n].shape) for n in names], pa.list_(pa.int64()))], ["name", "data", "shape"])
 
-    rows = sample.repartitionByRange(1, "k").sortWithinPartitions("k").mapInArrow(learn, "name string, data binary, shape array<bigint>").collect()  # one row per weight table
+    rows = sample.repartition(1).sortWithinPartitions("k").mapInArrow(learn, "name string, data binary, shape array<bigint>").collect()  # one row per weight table
     if not rows:
         return fit(Layouts([], settings), settings)
     return {r.name: np.frombuffer(r.data, np.float32).reshape(r.shape) for r in rows}
