@@ -529,10 +529,68 @@ def stream_epochs(spark, d):
     return read.groupBy("user_id").agg(F.sum("steps").alias("epoch"))
 
 
-@query("SELECT event_id, user_id FROM ev")
+@query("SELECT CASE WHEN event_id % 10 <> 3 THEN event_id END AS event_id, user_id FROM ev")
 def stream_within_watermark(spark, d):
-    stream = intake.within_watermark(_replay(spark, d, True), "3 days")
-    return _finish(spark, stream, _LOG).select("event_id", "user_id")
+    """Ten micro-batches in which late rows, resent rows and rows without a key share the stream."""
+    replay = _chunked_replay(spark, d, True).withColumn("event_id", F.when(F.col("event_id") % 10 != 3, F.col("event_id")))
+    return _finish(spark, intake.within_watermark(replay), _LOG).select("event_id", "user_id")
+
+
+_RAW = "event_id string, user_id string, item_id string, type string, watch_ratio double, watch_ms bigint, created_at timestamp"
+_RECORDED = "event_id string, user_id bigint, item_id bigint, type string, watch_ratio double, watch_ms bigint, created_at timestamp"
+
+
+def _raw_replay(spark, d):
+    """What clients send: ids as text, some rows without a key, some that break a rule, some about unknown users or items; every twentieth row twice."""
+    k = F.col("event_id")
+    replay = _chunked_replay(spark, d, True)
+    user = F.when(k % 37 == 1, F.concat(F.lit("u"), F.col("user_id"))).when(k % 29 == 2, (F.col("user_id") + 1_000_000).cast("string")).otherwise(F.col("user_id").cast("string"))
+    return replay.select(
+        F.when(k % 47 == 5, "").when(k % 10 != 3, k.cast("string")).alias("event_id"), user.alias("user_id"), F.col("item_id").cast("string").alias("item_id"),
+        F.when(k % 41 == 4, "teleport").otherwise(F.col("type")).alias("type"), F.when(k % 43 == 6, 1.5).otherwise(0.5).alias("watch_ratio"),
+        F.when(k % 53 == 7, -5).otherwise(k % 1000).alias("watch_ms"), "created_at",
+    )
+
+
+def _quarantined(spark, d) -> str:
+    out = _scratch(spark)
+    users = T.events(spark, d).select("user_id").distinct()
+    started = intake.quarantined_intake(_raw_replay(spark, d), lambda _: (users, T.items(spark, d)), f"{out}/log", f"{out}/quarantine", _RECORDED, f"{out}/ck")
+    started.awaitTermination()
+    return out
+
+
+_CHECKED = {
+    "sent": """SELECT event_id AS k, CASE WHEN event_id % 47 = 5 THEN '' WHEN event_id % 10 <> 3 THEN event_id::VARCHAR END AS key, user_id, item_id, created_at,
+        CASE WHEN event_id % 41 = 4 THEN 'teleport' ELSE type END AS type, event_id % 37 = 1 AS bad_user, event_id % 29 = 2 AND event_id % 37 <> 1 AS unknown_user FROM ev""",
+    "judged": """SELECT *, array_to_string(list_filter([CASE WHEN key = '' THEN 'event_id' END, CASE WHEN bad_user THEN 'user_id' END, CASE WHEN type = 'teleport' THEN 'type' END,
+            CASE WHEN k % 43 = 6 THEN 'watch_ratio' END, CASE WHEN k % 53 = 7 THEN 'watch_ms' END], lambda x: x IS NOT NULL), ',') AS reasons,
+        CASE WHEN bad_user OR unknown_user THEN 'unknown_user' WHEN item_id NOT IN (SELECT item_id FROM items) THEN 'unknown_item' END AS reference_error FROM sent""",
+}
+
+
+@query(
+    """SELECT reasons, reference_error, count(*) AS n, count(DISTINCT k) AS n_rows FROM (SELECT * FROM judged UNION ALL SELECT * FROM judged WHERE k % 20 = 0)
+       WHERE reasons <> '' OR reference_error IS NOT NULL GROUP BY 1, 2""",
+    _CHECKED,
+)
+def stream_quarantine(spark, d):
+    """What validated intake turned away in ten micro-batches, by broken rules and unknown ids; a row that is sent twice is turned away twice."""
+    rows = intake.read_quarantine(spark, f"{_quarantined(spark, d)}/quarantine", _RAW)
+    rows = rows.withColumn("k", F.struct("user_id", "item_id", "type", "created_at", "event_id", "watch_ms", "watch_ratio"))
+    reasons = F.array_join("reasons", ",").alias("reasons")
+    return rows.groupBy(reasons, "reference_error").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("n_rows"))
+
+
+@query(
+    """SELECT key AS event_id, user_id, item_id, type, epoch_us(created_at) AS created_at FROM judged WHERE reasons = '' AND reference_error IS NULL
+       UNION ALL SELECT key, user_id, item_id, type, epoch_us(created_at) FROM judged WHERE reasons = '' AND reference_error IS NULL AND k % 20 = 0 AND key IS NULL""",
+    _CHECKED,
+)
+def stream_accepted(spark, d):
+    """What validated intake recorded in ten micro-batches: each key once, rows without a key as often as they came."""
+    log = spark.read.schema(_RECORDED).parquet(f"{_quarantined(spark, d)}/log")
+    return log.select("event_id", "user_id", "item_id", "type", "created_at")
 
 
 @query("SELECT item_id, engagement FROM eng", keys="item_id", nums="engagement")
@@ -573,5 +631,7 @@ def stream_profiles(spark, d):
         SELECT *, CASE WHEN created_at >= lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS gap FROM ev WHERE {O.WEIGHT} <> 0)) GROUP BY user_id, burst"""
 )
 def coalesced_rebuilds(spark, d):
-    """One rebuild per burst of activity; the batch form of the stream operator."""
-    return intake.coalesced_rebuilds(T.events(spark, d), "6 hours").select("user_id", "first_at", "n_events")
+    """One rebuild per burst of activity, kept by ten micro-batches that all have early and late rows."""
+    out = _scratch(spark)
+    intake.keep_bursts(_chunked_replay(spark, d), f"{out}/bursts", f"{out}/ck", "6 hours").awaitTermination()
+    return intake.read_bursts(spark, f"{out}/bursts", "6 hours").select("user_id", "first_at", "n_events")

@@ -26,6 +26,7 @@ class Inputs:
     """The tables a run reads. ``vectors`` may live in any space; ``slot_names`` names its dimensions.
 
     ``users`` (user_id) says whom a run serves, users without any history included; by default all users of the log.
+    ``stored`` holds profiles and creator affinities that were built before; without it both are built from the log.
     """
 
     events: DataFrame
@@ -36,6 +37,7 @@ class Inputs:
     slot_names: list[str]
     s: Settings
     users: DataFrame | None = None
+    stored: tuple[DataFrame, DataFrame] | None = None
 
     @property
     def dim(self) -> int:
@@ -59,8 +61,8 @@ class Inputs:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        """One row per (user, item): profiles, creator affinity and the seen set all start here."""
-        return P.signal_pairs(self.user_events, self.s)
+        """One row per (user, item): profiles, creator affinity and the seen set all start here. Stored profiles leave only the seen set."""
+        return P.signal_pairs(self.user_events, self.s) if self.stored is None else H.seen_pairs(self.user_events)
 
     @cached_property
     def user_events(self) -> DataFrame:
@@ -77,12 +79,18 @@ class Inputs:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        known = P.build_profiles(self.history, self.usable_vectors, self.slot_names, self.tax.version, self.s)
+        if self.stored is not None:
+            known = self._served(self.stored[0])
+        else:
+            known = P.build_profiles(self.history, self.usable_vectors, self.slot_names, self.tax.version, self.s)
         return known if self.users is None else P.with_cold_users(known, self.users, self.slot_names, self.tax.version)
 
     @cached_property
     def creator_affinity(self) -> DataFrame:
-        return P.creator_affinity(self.history, self.s)
+        return P.creator_affinity(self.history, self.s) if self.stored is None else self._served(self.stored[1])
+
+    def _served(self, rows: DataFrame) -> DataFrame:
+        return rows if self.users is None else rows.join(self.users.select("user_id").distinct(), "user_id", "left_semi")
 
     @cached_property
     def engagement(self) -> DataFrame:

@@ -5,58 +5,70 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.session import materialise
+from feedloom.sources import key_index
+from feedloom.sources.read import read_or_empty
 
 BUCKET = "bucket"
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def new_events(log: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Rows of ``incoming`` the log does not hold yet: keyed rows once per key, keyless rows always.
-
-    The log side is only its keys. Repeats inside the batch combine before the shuffle.
-    """
+def first_of_each(incoming: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """Keyed rows once per key: the first by the columns of ``order``, then the smallest. Repeats combine before the shuffle."""
     keyed = incoming.where(F.col("event_id").isNotNull())
     others = [c for c in incoming.columns if c != "event_id"]
-    once = keyed.groupBy("event_id").agg(F.min(F.struct(*others)).alias("_r")).select("event_id", "_r.*")
-    fresh = once.join(log.select("event_id"), "event_id", "left_anti")
+    first = F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*others).alias("_r")))
+    return keyed.groupBy("event_id").agg(first.alias("_f")).select("event_id", "_f._r.*").select(*incoming.columns)
+
+
+def new_events(log: DataFrame, incoming: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``incoming`` the log does not hold yet: keyed rows once per key, keyless rows always. The log side is only its keys."""
+    fresh = first_of_each(incoming, order).join(log.select("event_id"), "event_id", "left_anti")
     return fresh.unionByName(incoming.where(F.col("event_id").isNull()))
 
 
-def append_events(spark: SparkSession, path: str, incoming: DataFrame, schema: str, batch: str | None = None) -> DataFrame:
-    """Append what is new and return it. The log is partitioned by batch and day.
+def key_folder(path: str) -> str:
+    return f"{path.rstrip('/')}_keys"
+
+
+def append_events(spark: SparkSession, path: str, incoming: DataFrame, schema: str, batch: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """Append what is new and return it. The log is partitioned by batch and day, and its keys are indexed beside it.
 
-    A named ``batch`` is a partition of its own: a retry compares with the other batches alone, writes the same
-    partition again and returns the same rows, so whatever follows the append can be retried as well. Without, the batch gets a
-    name of its own and running it again appends nothing.
+    A named ``batch`` is a partition of its own: a retry compares with the other batches alone, replaces the partition and its part of the key
+    index whole, and returns the same rows, so whatever follows the append can be retried as well. It finds known keys through the index and
+    opens only the index partitions that may hold one of them. Without a name the batch gets one of its own, is compared with the log itself, and
+    running it again appends nothing; if such a call stops half-way, ``index_log`` brings the index up to date. Of rows that repeat a key inside the
+    batch the first by ``order`` stays.
     """
-    name = f"b-{batch}" if batch is not None else f"u-{uuid.uuid4().hex}"
-    log = read_or_empty(spark, path, f"{schema}, batch string").where(F.col("batch") != name)
-    fresh = materialise(new_events(log, incoming))
-    tagged = fresh.withColumn("batch", F.lit(name)).withColumn("day", F.to_date("created_at"))
-    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(path)
+    if batch is not None:
+        name = f"b-{batch}"
+        repeated = key_index.known_keys(incoming, key_folder(path), name).select(F.col("key").alias("event_id"))
+    else:
+        name = f"u-{uuid.uuid4().hex}"
+        repeated = read_or_empty(spark, path, f"{schema}, batch string")
+    fresh = materialise(new_events(repeated, incoming, order))
+    fresh.withColumn("day", F.to_date("created_at")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={name}")
+    key_index.add_keys(fresh, key_folder(path), name)
     return fresh
 
 
-def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+def index_log(spark: SparkSession, path: str, schema: str) -> None:
+    """Index the batches of the log whose keys are not in the index yet."""
+    log = read_or_empty(spark, path, f"{schema}, batch string")
+    there = read_or_empty(spark, f"{key_folder(path)}/filters", "batch string").select("batch").distinct()
+    for row in log.where("event_id is not null").select("batch").distinct().join(there, "batch", "left_anti").collect():  # batches that were cut short
+        key_index.add_keys(log.where(F.col("batch") == row.batch), key_folder(path), row.batch)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return df.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, schema: str, buckets: int = 16) -> None:
     """Insert or replace by ``key``: only buckets that hold a changed key are read back and rewritten."""
-    incoming = materialise(_bucketed(rows, key, buckets))
+    incoming = materialise(bucketed(rows, key, buckets))
     stored = read_or_empty(spark, path, f"{schema}, {BUCKET} INT")
     touched = incoming.select(BUCKET).distinct()
     kept = stored.join(F.broadcast(touched), BUCKET, "left_semi").join(incoming.select(key), key, "left_anti")
@@ -71,8 +83,8 @@ def replace_projection(
 
     The owner list decides which buckets are rewritten, so an owner whose projection became empty is cleared.
     """
-    incoming = _bucketed(rows, owner, buckets)
-    ids = materialise(_bucketed(owners.select(owner).distinct(), owner, buckets))
+    incoming = bucketed(rows, owner, buckets)
+    ids = materialise(bucketed(owners.select(owner).distinct(), owner, buckets))
     touched = ids.select(BUCKET).distinct()
     stored = read_or_empty(spark, path, f"{schema}, {BUCKET} INT")
     kept = stored.join(F.broadcast(touched), BUCKET, "left_semi").join(ids.select(owner), owner, "left_anti")
