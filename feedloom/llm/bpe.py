@@ -10,9 +10,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import struct
 import sys
 import types
+from array import array
 from heapq import heappop, heappush
 
 import numpy as np
@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import id_text
 
-#: Entries that a worker keeps of encoded chunks, and as many of pre-tokens; longer ones are not kept.
-TABLE_ENTRIES, TABLE_CHARS = 400_000, 64
+#: Entries that a worker keeps of encoded chunks, and an eighth as many of other pre-tokens; longer ones are not kept.
+TABLE_ENTRIES, TABLE_CHARS = 640_000, 64
+#: With this pattern ``ChunkEncoder`` knows some cuts without asking it.
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MARKS = frozenset(",.;:!?)")
 #: Spaces between two characters that are no white space: a pre-token always begins there.
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -135,40 +138,65 @@ class ChunkEncoder:
     """Ids of a text, as little-endian unsigned 32-bit integers, through tables of chunks and pre-tokens. ``pretoken`` encodes one pre-token."""
 
     def __init__(self, pattern: str, pretoken):
-        self.find, self.pretoken = regex.compile(pattern).findall, pretoken
-        self.chunks, self.pretokens = Table(TABLE_ENTRIES), Table(TABLE_ENTRIES)
+        compiled = regex.compile(pattern)
+        self.find, self.match, self.pretoken = compiled.findall, compiled.match, pretoken
+        self.plain_pattern = pattern == PLAIN_PATTERN
+        self.chunks, self.pretokens = Table(TABLE_ENTRIES), Table(TABLE_ENTRIES // 8)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = array("I", self.pretoken(piece))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _plain(self, text: str) -> bytes:
         out = []
         for piece in self.find(text):
-            got = self.pretokens.get(piece)
+            # A pre-token of a space and a chunk shares that chunk's entry: what the chunk alone would be cut into is this one pre-token.
+            spaced = len(piece) > 1 and piece[0] == " " and not piece[1].isspace()
+            table, key = (self.chunks, piece[1:]) if spaced else (self.pretokens, piece)
+            got = table.get(key)
             if got is None:
-                ids = self.pretoken(piece)
-                got = struct.pack(f"<{len(ids)}I", *ids)
+                got = self._piece(piece)
                 if len(piece) <= TABLE_CHARS:
-                    self.pretokens.put(piece, got)
+                    table.put(key, got)
             out.append(got)
         return b"".join(out)
 
-    def _chunk(self, chunk: str) -> bytes:
-        got = self.chunks.get(chunk)
-        if got is None:
-            got = self._plain(" " + chunk)
-            if len(chunk) <= TABLE_CHARS and chunk and not chunk[0].isspace() and not chunk[-1].isspace():
-                self.chunks.put(chunk, got)
+    def _new_chunk(self, chunk: str) -> bytes:
+        """Encode a chunk that is in no table, and keep it. With the plain pattern a word of letters is one pre-token, and a mark after one is another."""
+        text = " " + chunk
+        if self.plain_pattern and chunk.isascii():
+            if chunk.isalpha():
+                got = self._piece(text)
+            elif chunk[-1:] in MARKS and chunk[:-1].isalpha():
+                got = self._chunk(chunk[:-1]) + self._plain(chunk[-1])
+            else:
+                got = self._plain(text)
+        else:
+            first = self.match(text)
+            got = self._piece(text) if first is not None and first.end() == len(text) else self._plain(text)
+        if len(chunk) <= TABLE_CHARS and chunk and not chunk[0].isspace() and not chunk[-1].isspace():
+            self.chunks.put(chunk, got)
         return got
 
+    def _chunk(self, chunk: str) -> bytes:
+        return self.chunks.get(chunk) or self._new_chunk(chunk)
+
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         got = list(map(self.chunks.first.get, rest))
-        if None in got:
-            missing = {c for c, g in zip(rest, got) if g is None}
-            if any(not c or c[0].isspace() or c[-1].isspace() for c in missing) or first[-1:].isspace():
-                first, *rest = SAFE_SPACE.split(text)
-                got = [self._chunk(c) for c in rest]
-            else:
-                got = [self._chunk(c) if g is None else g for c, g in zip(rest, got)]
-        elif first[-1:].isspace():
+        cut = not first[-1:].isspace()
+        if cut and None in got:
+            recent = self.chunks.recent
+            for i, ids in enumerate(got):
+                if ids is None:
+                    chunk = rest[i]
+                    if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                        cut = False
+                        break
+                    got[i] = recent.get(chunk) or self._chunk(chunk)
+        if not cut:
             first, *rest = SAFE_SPACE.split(text)
             got = [self._chunk(c) for c in rest]
         return self._plain(first) + b"".join(got)

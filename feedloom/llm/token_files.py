@@ -141,7 +141,16 @@ def library_encoder(tokenizer_json: str, pattern: str) -> ChunkEncoder:
     from tokenizers import Tokenizer
 
     model, letters = Tokenizer.from_str(tokenizer_json).model, _byte_letters()
-    return ChunkEncoder(pattern, lambda piece: [t.id for t in model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))])
+    space = letters[32]
+
+    def pretoken(piece: str) -> list[int]:
+        if piece.isascii() and piece[1:].isalnum() and piece[0] == " ":  # printable bytes stand for themselves
+            spelled = space + piece[1:]
+        else:
+            spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
+        return [t.id for t in model.tokenize(spelled)]
+
+    return ChunkEncoder(pattern, pretoken)
 
 
 class AddedTokens:
