@@ -1,24 +1,23 @@
-"""Which keys a log holds, without reading the log: hash buckets of keys with a bloom filter per file.
+"""Which keys a log holds, without reading the log: per micro-batch and hash bucket one row with a bloom filter and the keys.
 
-``<folder>/keys`` has one partition per (batch, bucket); ``<folder>/filters`` one row per such partition with the bloom filter of its keys. A new
-batch is tested against the filters of its own buckets. Only partitions that may hold one of its keys are read, through the
-partition pruning of the join, and the answer is exact. At 24 bits a key one key in about 100,000 is tested in vain, so a batch of new keys reads
-next to nothing but filters: 3 bytes per key of the log.
+A new batch is tested against the filters of its buckets, which is the only column read of batches that hold none of its keys. Batches that may
+hold one are opened, through the partition pruning of the join, and the answer is exact. At 32 bits a key about one key in five million is
+looked up in vain per filter, so a batch of new keys reads next to nothing but filters: 4 bytes per key of the log.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.session import materialise
 from feedloom.sources.read import read_or_empty
 
-BITS_PER_KEY, PROBES = 24, 16
-BUCKETS = 64
-_FILTERS = "bucket int, n_keys bigint, bits binary, batch string"
+BITS_PER_KEY, PROBES = 32, 20
+#: Hash buckets of an index. A task holds the filters of one bucket, and the keys of one bucket of one batch.
+BUCKETS = 16
 
 
 def _places(h1: np.ndarray, h2: np.ndarray, size: int) -> np.ndarray:
@@ -43,28 +42,30 @@ def may_hold(packed: bytes, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 def _hashed(keys: DataFrame, key: str, buckets: int) -> DataFrame:
     text = F.col(key).cast("string")
-    bucket: Column = F.pmod(F.xxhash64(text, F.lit(0)), F.lit(buckets)).cast("int")
-    return keys.select(F.col(key).alias("key"), bucket.alias("bucket"), F.xxhash64(text, F.lit(1)).alias("h1"), F.xxhash64(text, F.lit(2)).alias("h2"))
+    bucket = F.pmod(F.xxhash64(text, F.lit(0)), F.lit(buckets)).cast("int")
+    known = keys.where(F.col(key).isNotNull()).select(key).distinct()
+    return known.select(F.col(key).alias("key"), bucket.alias("bucket"), F.xxhash64(text, F.lit(1)).alias("h1"), F.xxhash64(text, F.lit(2)).alias("h2"))
 
 
 def add_keys(keys: DataFrame, folder: str, batch: str, key: str = "event_id", buckets: int = BUCKETS) -> None:
     """Index the keys of one batch; a repeated call replaces the batch. Null keys are left out; keys may repeat."""
-    known = materialise(_hashed(keys.where(F.col(key).isNotNull()).select(key).distinct(), key, buckets))
-    known.select("key", "bucket").repartition("bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/keys/batch={batch}")
+    kind = keys.schema[key].dataType.simpleString()
 
     def build(table: pa.Table) -> pa.Table:
         h1, h2 = (table.column(c).to_numpy() for c in ("h1", "h2"))
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "n_keys": pa.array([len(h1)], pa.int64()), "bits": pa.array([make_filter(h1, h2)], pa.binary())})
+        names = table.column("key").combine_chunks()
+        held = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "bits": pa.array([make_filter(h1, h2)], pa.binary()), "keys": held})
 
-    # A group is one bucket of one batch.
-    known.groupBy("bucket").applyInArrow(build, "bucket int, n_keys bigint, bits binary").write.mode("overwrite").parquet(f"{folder}/filters/batch={batch}")
+    rows = _hashed(keys, key, buckets).groupBy("bucket").applyInArrow(build, f"bucket int, bits binary, keys array<{kind}>")
+    rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
 
-def possible_partitions(keys: DataFrame, folder: str, except_batch: str | None = None, key: str = "event_id", buckets: int = BUCKETS) -> DataFrame:
-    """(batch, bucket, key): which partitions may hold which of the keys, by their filters alone."""
-    spark = keys.sparkSession
-    incoming = _hashed(keys.where(F.col(key).isNotNull()).select(key).distinct(), key, buckets)
-    filters = read_or_empty(spark, f"{folder}/filters", _FILTERS).where(F.lit(except_batch).isNull() | (F.col("batch") != F.lit(except_batch)))
+def possible_batches(keys: DataFrame, folder: str, except_batch: str | None = None, key: str = "event_id", buckets: int = BUCKETS) -> DataFrame:
+    """(batch, bucket, key): which parts of the index may hold which of the keys, by their filters alone."""
+    filters = read_or_empty(keys.sparkSession, folder, "bucket int, bits binary, batch string")
+    if except_batch is not None:
+        filters = filters.where(F.col("batch") != except_batch)
     kind = keys.schema[key].dataType.simpleString()
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -76,18 +77,18 @@ def possible_partitions(keys: DataFrame, folder: str, except_batch: str | None =
                 found.append(pa.table({"batch": pa.array([batch] * len(hit), pa.string()), "bucket": pa.array([bucket] * len(hit), pa.int32()), "key": names.take(pa.array(hit))}))
         return pa.concat_tables(found) if found else pa.table({"batch": pa.array([], pa.string()), "bucket": pa.array([], pa.int32()), "key": names.slice(0, 0)})
 
-    return incoming.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(probe, f"batch string, bucket int, key {kind}")
+    return _hashed(keys, key, buckets).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(probe, f"batch string, bucket int, key {kind}")
 
 
 def stored_keys(possible: DataFrame, folder: str) -> DataFrame:
-    """(key): the keys of ``possible`` (batch, bucket, key) that are indeed stored. Only the partitions named are opened."""
+    """(key): the keys of ``possible`` (batch, bucket, key) that are indeed stored. Only the batches named are opened."""
     kind = possible.schema["key"].dataType.simpleString()
-    stored = read_or_empty(possible.sparkSession, f"{folder}/keys", f"key {kind}, bucket int, batch string")
+    stored = read_or_empty(possible.sparkSession, folder, f"bucket int, keys array<{kind}>, batch string")
     parts = possible.groupBy("batch", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-    opened = stored.join(F.broadcast(parts), ["batch", "bucket"], "left_semi")  # one row per partition of the index at most
-    return opened.join(possible, ["batch", "bucket", "key"], "left_semi").select("key").distinct()
+    opened = stored.join(F.broadcast(parts), ["batch", "bucket"], "left_semi").select(F.explode("keys").alias("key"))  # at most one row per filter
+    return possible.select("key").distinct().join(opened, "key", "left_semi")
 
 
 def known_keys(keys: DataFrame, folder: str, except_batch: str | None = None, key: str = "event_id", buckets: int = BUCKETS) -> DataFrame:
     """(key): those of ``keys`` that the index holds in any other batch than ``except_batch``."""
-    return stored_keys(materialise(possible_partitions(keys, folder, except_batch, key, buckets)), folder)
+    return stored_keys(materialise(possible_batches(keys, folder, except_batch, key, buckets)), folder)

@@ -38,7 +38,7 @@ def append_events(spark: SparkSession, path: str, incoming: DataFrame, schema: s
 
     A named ``batch`` is a partition of its own: a retry compares with the other batches alone, replaces the partition and its part of the key
     index whole, and returns the same rows, so whatever follows the append can be retried as well. It finds known keys through the index and
-    opens only the index partitions that may hold one of them. Without a name the batch gets one of its own, is compared with the log itself, and
+    opens only the batches that may hold one of them. Without a name the batch gets one of its own, is compared with the log itself, and
     running it again appends nothing; if such a call stops half-way, ``index_log`` brings the index up to date. Of rows that repeat a key inside the
     batch the first by ``order`` stays.
     """
@@ -49,7 +49,7 @@ def append_events(spark: SparkSession, path: str, incoming: DataFrame, schema: s
         name = f"u-{uuid.uuid4().hex}"
         repeated = read_or_empty(spark, path, f"{schema}, batch string")
     fresh = materialise(new_events(repeated, incoming, order))
-    fresh.withColumn("day", F.to_date("created_at")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={name}")
+    fresh.withColumn("day", F.to_date("created_at")).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={name}")
     key_index.add_keys(fresh, key_folder(path), name)
     return fresh
 
@@ -57,7 +57,7 @@ def append_events(spark: SparkSession, path: str, incoming: DataFrame, schema: s
 def index_log(spark: SparkSession, path: str, schema: str) -> None:
     """Index the batches of the log whose keys are not in the index yet."""
     log = read_or_empty(spark, path, f"{schema}, batch string")
-    there = read_or_empty(spark, f"{key_folder(path)}/filters", "batch string").select("batch").distinct()
+    there = read_or_empty(spark, key_folder(path), "bucket int, batch string").select("batch").distinct()
     for row in log.where("event_id is not null").select("batch").distinct().join(there, "batch", "left_anti").collect():  # batches that were cut short
         key_index.add_keys(log.where(F.col("batch") == row.batch), key_folder(path), row.batch)
 
