@@ -15,7 +15,7 @@ from feedloom.operators import history as H
 from feedloom.operators import ranking as R
 from feedloom.plans import oracles as O
 from feedloom.plans.feed_build import build_feeds
-from feedloom.plans.queries_feed import tag_inputs
+from feedloom.plans.queries_feed import _counts_sql, tag_inputs
 from feedloom.plans.recommend import recommend
 from feedloom.plans.registry import query
 from feedloom.session import materialise, shared_folder
@@ -391,13 +391,33 @@ def _build(spark, d, sidecar: bool):
     return build_feeds(jobs, i, lambda: current, lambda: none, seq=1, with_sidecar=sidecar)
 
 
-@query()
+_BUILT = {
+    "epo": f"SELECT user_id, count(*) AS epoch FROM ev WHERE {O.WEIGHT} <> 0 GROUP BY 1",
+    "short": f"SELECT user_id, candidate_shortage FROM ({_counts_sql(S.feed_size)})",
+    "built": f"""SELECT sha256(e.user_id || '|' || e.epoch || '|1') AS feed_id, e.user_id, e.epoch, epoch_us({O.NOW}) AS generated_at,
+        epoch_us({O.NOW}) + {S.feed_ttl_seconds * S.feed_retention_factor}::BIGINT * 1000000 AS expires_at, coalesce(p.is_cold_start, true) AS cold_start,
+        coalesce(s.candidate_shortage, true) AS candidate_shortage, coalesce(r.relaxed, false) AS diversity_relaxed, coalesce(r.items, '') AS items
+        FROM epo e LEFT JOIN prof p USING (user_id) LEFT JOIN short s USING (user_id)
+        LEFT JOIN (SELECT user_id, bool_or(relaxed) AS relaxed, string_agg(item_id, ',' ORDER BY rank) AS items FROM reranked GROUP BY 1) r USING (user_id)""",
+}
+_TERMS = ("content_similarity", "tag_affinity", "affinity", "creator_affinity", "popularity", "freshness", "fatigue", "exploration", "quality")
+
+
+@query("SELECT * FROM built", _BUILT)
 def feed_build(spark, d):
     made = _build(spark, d, False).generations
     return made.select("feed_id", "user_id", "epoch", "generated_at", "expires_at", "cold_start", "candidate_shortage", "diversity_relaxed", F.col("items.item_id").alias("items"))
 
 
-@query()
+@query(
+    f"""SELECT r.user_id, r.item_id, r.rank, s.sources, i.creator_handle, i.external_id, coalesce(t.tags, '') AS tags, {", ".join(f"round(floor(s.{c} * 10000 + 0.5) / 10000, 6) + 0.0 AS {c}" for c in _TERMS)},
+        s.quality_available, {", ".join(f"round(floor({'-' if c == 'fatigue' else ''}s.{c} * {w} * 10000 + 0.5) / 10000, 6) + 0.0 AS w_{c}" for c, w in S.rank_weights.items())},
+        {", ".join(f"round(floor(r.{c} * 10000 + 0.5) / 10000, 6) + 0.0 AS {c}" for c in ("base_score", "diversity_penalty", "final_score"))}, r.relaxed, b.feed_id, b.epoch, b.generated_at
+        FROM reranked r JOIN scored s USING (user_id, item_id) JOIN items i ON i.item_id = r.item_id JOIN built b ON b.user_id = r.user_id
+        LEFT JOIN (SELECT t.item_id, string_agg(t.field || ':' || t.value, ',' ORDER BY x.slot) AS tags FROM tags t JOIN tax x USING (field, value)
+            WHERE x.diversity AND t.value NOT IN ('none', 'unknown') GROUP BY 1) t ON t.item_id = r.item_id""",
+    _BUILT,
+)
 def feed_sidecar(spark, d):
     return _build(spark, d, True).sidecar
 

@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from feedloom.config import Settings
+from feedloom.operators import feeds as Z
 from feedloom.plans import oracles as O
+from feedloom.plans.migration import reencode_and_rebuild
+from feedloom.plans.feed_build import PublishedFeeds, build_and_publish
 from feedloom.plans.queries_feed import tag_inputs
 from feedloom.plans.recommend import recommend
 from feedloom.plans.registry import query
 from feedloom.plans.stored_profiles import ProfileStore, from_store, read, refresh
-from feedloom.session import shared_folder
+from feedloom.session import materialise, shared_folder
 from feedloom.sources import tables as T
 from feedloom.sources.sinks import append_events
 
@@ -70,3 +73,45 @@ def recommended_stored(spark, d):
     store, i = ProfileStore(folder), tag_inputs(spark, d)
     refresh(store, _events(spark, d).withColumn("batch", F.lit("all")), i)
     return recommend(from_store(store, i), S.feed_size).selected
+
+
+# --- published feeds ---
+
+
+@query(
+    f"""SELECT e.user_id, e.epoch, CASE WHEN e.user_id % 2 = 0 THEN 1 ELSE 2 END AS published_seq, r.item_id, r.rank
+        FROM (SELECT user_id, count(*) AS epoch FROM ev WHERE {O.WEIGHT} <> 0 GROUP BY 1) e JOIN reranked r USING (user_id)"""
+)
+def published_feeds(spark, d):
+    """Every user's active feed after two builds: the first for half the users, the second for all, which skips those whose feed is live.
+
+    Between them a build that stops before its commit leaves rows that no reader sees.
+    """
+    i, store = tag_inputs(spark, d), PublishedFeeds(scratch(spark))
+    current = materialise(Z.epochs(i.events))
+    jobs = current.select("user_id", "epoch", F.lit("invalidation").alias("reason"))
+    build_and_publish(jobs.where("user_id % 2 = 0"), i, lambda: current, store, "build-1", 1)
+    store.generations(spark).drop("build").withColumn("published_seq", F.lit(9).cast("bigint")).write.parquet(f"{store.folder}/generations/build=stopped")
+    build_and_publish(jobs, i, lambda: current, store, "build-2", 2)
+    live = store.active(current, i.s.now, i.s)
+    return live.select("user_id", "epoch", "published_seq", F.explode("items").alias("x")).select("user_id", "epoch", "published_seq", "x.item_id", "x.rank")
+
+
+# --- a vocabulary change, carried through ---
+
+
+@query(
+    f"""SELECT p.user_id, p.interaction_count, e.epoch + 1 AS epoch, x.slot, p.v[x.slot + 1] AS weight FROM prof p CROSS JOIN tax x
+        JOIN (SELECT p.user_id, count(ev.user_id) AS epoch FROM prof p LEFT JOIN (SELECT * FROM ev WHERE {O.WEIGHT} <> 0) ev USING (user_id) GROUP BY 1) e USING (user_id)""",
+    keys="user_id", ints="interaction_count, epoch, slot", nums="weight",
+)
+def reencoded_profiles(spark, d):
+    """Features encoded again, profiles rebuilt from them, epochs moved on: run twice, as after a stop between the steps."""
+    i, folder = tag_inputs(spark, d), scratch(spark)
+    store = ProfileStore(f"{folder}/profiles")
+    log = _events(spark, d).withColumn("batch", F.lit("all"))
+    epochs = materialise(Z.epochs(i.events))
+    reencode_and_rebuild(f"{folder}/migration", "v1", i, store, log, epochs, stop_after="vectors")
+    moved = reencode_and_rebuild(f"{folder}/migration", "v1", i, store, log, epochs)
+    profiles, _ = read(store, spark, i)
+    return profiles.join(moved, "user_id").select("user_id", "interaction_count", "epoch", F.posexplode("vector").alias("slot", "weight"))
