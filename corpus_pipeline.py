@@ -10,35 +10,53 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm import bpe, classifier, decontamination, lines, simhash
-from feedloom.llm.common import table
+from feedloom.llm.common import set_aside, table
 from feedloom.llm.queries import quality_model
 from feedloom.session import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores at one half or more."""
+    """Documents that the quality classifier scores at one half or more.
+
+    Null and empty texts have the model's prior as score; repeated rows are judged alike. An empty table stays empty, and without labels for the texts
+    at hand everything stays.
+    """
+    docs, restore = set_aside(docs, "_llm_score")
     scored = classifier.score(docs, quality_model(spark, docs, sf_dir), score_col="_llm_score")
-    return scored.where("_llm_score >= 0.5").drop("_llm_score")
+    return restore(scored.where("_llm_score >= 0.5").drop("_llm_score"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of line runs of 50 words or more."""
+    """Texts without the later copies of line runs of 50 words or more; ``n_chars`` follows the text.
+
+    Every row stays, with a text that may become empty; null texts stay null. The copy of the smallest doc_id is the first one, null ids come last.
+    """
     return lines.drop_repeated_lines(docs, count_col="n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one of the smallest id.
+
+    Texts without words, null ones included, are one group. Rows that repeat id and text leave one; a row without id stays only where its group has no id.
+    """
     return simhash.keep_one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs.
+
+    Null and empty texts hold none and stay; repeated rows are judged alike. Without items everything stays.
+    """
+    docs, restore = set_aside(docs, *decontamination.OUT)
     marked = decontamination.mark_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return marked.where("n_hit = 0").select(*docs.columns)
+    return restore(marked.where("n_hit = 0").select(*[f"`{c}`" for c in docs.columns]))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document left, with digests of the ids and of what they decode to."""
+    """Token ids of every document left, with digests of the ids and of what they decode to.
+
+    One row per row, in the columns of ``bpe.encode_texts``; other columns end here. Null texts count as empty and have no ids.
+    """
     return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIXED = 1 << 24
+GAPS = " \t\n\r\x0b\x0c"
 _BASE = 0x100000001B3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -25,9 +26,8 @@ class Settings:
     bucket_bits: int = 17
     width: int = 16
     grams: tuple[int, ...] = (3, 4, 5)
-    #: The bound on what training sees: labelled rows, and different buckets of one row.
+    #: The bound on what training sees: labelled rows.
     train_rows: int = 4096
-    train_buckets: int = 8192
     #: Steps of gradient descent, however few the rows are.
     steps: int = 12_000
     rate: float = 0.1
@@ -83,7 +83,7 @@ class Hasher:
 def _pieces(texts: list[str], limit: int = 1 << 18):
     """Blocks of about ``limit`` characters.
 
-    A longer text is cut at white space, which no word or n-gram crosses; the pair of words at a cut is not counted. Cuts depend on the text alone.
+    A longer text is cut at white space, which no word or n-gram crosses; ``text_features`` adds the pair of words at a cut. Cuts depend on the text alone.
     """
     index, pieces, size = [], [], 0
     for i, text in enumerate(texts):
@@ -105,13 +105,35 @@ def _pieces(texts: list[str], limit: int = 1 << 18):
         yield index, pieces
 
 
-def bucket_counts(text: str, hasher: Hasher, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Different buckets of one text with their counts, at most ``limit`` of them: those first in a fixed shuffled order."""
-    found = [b for _, pieces in _pieces([text]) for _, b in hasher.features(pieces)]
-    ids, counts = np.unique(np.concatenate(found), return_counts=True)
-    if len(ids) > limit:
-        order = np.sort(np.argsort(ids * np.uint64(0x5851F42D4C957F2D) & np.uint64(0xFFFFFFFF), kind="stable")[:limit])
-        ids, counts = ids[order], counts[order]
+def _edge(piece: str, last: bool) -> str:
+    """The first or last word of a piece; empty if it has none."""
+    if last:
+        piece = piece.rstrip(GAPS)
+        return piece[max(piece.rfind(c) for c in GAPS) + 1 :]
+    piece = piece.lstrip(GAPS)
+    ends = [i for i in map(piece.find, GAPS) if i >= 0]
+    return piece[: min(ends, default=len(piece))]
+
+
+def text_features(texts: list[str], hasher: Hasher):
+    """Yields (text index per feature, bucket per feature) of all words, pairs and n-grams of whole texts; indices ascend within each yield."""
+    before: tuple[int, str] = (-1, "")  # last word so far of the text that the last piece belongs to
+    for index, pieces in _pieces(texts):
+        at = np.asarray(index)
+        for where, bucket in hasher.features(pieces):
+            yield at[where], bucket
+        for i, piece in zip(index, pieces):
+            if before[0] == i and before[1]:
+                following = _edge(piece, last=False)
+                if following:
+                    _, (_, pair), *_ = hasher.features([f"{before[1]} {following}"])
+                    yield np.array([i]), pair
+            before = (i, _edge(piece, last=True) or (before[1] if before[0] == i else ""))
+
+
+def bucket_counts(text: str, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """Different buckets of one text with their counts."""
+    ids, counts = np.unique(np.concatenate([b for _, b in text_features([text], hasher)]), return_counts=True)
     return ids.astype(np.int32), counts.astype(np.int32)
 
 
@@ -155,19 +177,20 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings)
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label"):
     """Fit on ``labels`` (id, label 0 or 1) joined with the texts of ``docs``. Returns (weights, bias).
 
-    The sample is the ``train_rows`` labelled ids that hash lowest; an id with several labels counts with the smallest. Labels
+    The sample is the ``train_rows`` labelled ids of ``docs`` that hash lowest; an id with several labels counts with the smallest. Labels
     that are neither 0 nor 1, null ids and labelled ids without a text are left out; a null text counts as empty.
     """
     settings = settings or Settings()
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y in (0, 1)")
-    sample = usable.groupBy("_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(settings.train_rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    present = texts.select("_id").join(usable, "_id")
+    sample = present.groupBy("_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(settings.train_rows)
     texts = texts.join(F.broadcast(sample), "_id")  # train_rows bounds its size
 
     def count(batches):
         hasher = Hasher(settings.bucket_bits, settings.grams)
         for batch in batches:
-            got = [bucket_counts(t, hasher, settings.train_buckets) for t in batch.column("text").to_pylist()]
+            got = [bucket_counts(t, hasher) for t in batch.column("text").to_pylist()]
             columns = [pa.array([g[j] for g in got], pa.list_(pa.int32())) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("y"), *columns], ["_id", "y", "ids", "counts"])
 
@@ -183,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
         weights, bias = fit(examples, settings)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
-    row = counted.repartitionByRange(1, "_id").sortWithinPartitions("_id", F.xxhash64("ids")).mapInArrow(learn, "weights binary, bias bigint").first()
+    row = counted.repartition(1).sortWithinPartitions("_id", F.xxhash64("ids")).mapInArrow(learn, "weights binary, bias bigint").first()
     if row is None:
         return fit([], settings)
     return np.frombuffer(row.weights, np.int32), row.bias
@@ -192,13 +215,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
 def log_odds(texts: list[str], hasher: Hasher, weights: np.ndarray, bias: int) -> np.ndarray:
     """Log-odds of label 1, from exact integer sums over all words and n-grams of each text."""
     total, number = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    for index, pieces in _pieces(texts):
-        for where, bucket in hasher.features(pieces):
-            if len(where):
-                first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-                at = np.asarray(index)[where[first]]
-                np.add.at(total, at, np.add.reduceat(weights[bucket].astype(np.int64), first))
-                np.add.at(number, at, np.diff(np.r_[first, len(where)]))
+    for where, bucket in text_features(texts, hasher):
+        if len(where):
+            first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+            np.add.at(total, where[first], np.add.reduceat(weights[bucket].astype(np.int64), first))
+            np.add.at(number, where[first], np.diff(np.r_[first, len(where)]))
     return (total / np.maximum(number, 1) + bias) / FIXED
 
 

@@ -27,6 +27,21 @@ def text_key(text: Column | str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def set_aside(docs: DataFrame, *taken: str):
+    """(docs, restore): columns of ``docs`` that have one of the names ``taken``, in any case, go under other names until ``restore`` gives them theirs back."""
+    lower = {c.lower() for c in docs.columns}
+    names = {}
+    for c in docs.columns:
+        if c.lower() in {t.lower() for t in taken}:
+            free = f"{c}_kept"
+            while free.lower() in lower:
+                free += "_"
+            lower.add(free.lower())
+            names[c] = free
+    back = {v: k for k, v in names.items()}
+    return docs.withColumnsRenamed(names), lambda df: df.withColumnsRenamed(back)
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of constants, made by the plan itself."""
     if not rows:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import text_key
+from feedloom.llm.common import set_aside, text_key
 from feedloom.session import materialise
 
 MIN_WORDS = 50
@@ -131,6 +131,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
     that repeat id and text are one document and get the same text. A text may become empty; null texts stay null. Lines without words
     go only where they lie inside a deleted stretch. A run must be the same lines, whole and byte for byte; runs of under ``min_words`` words are left alone.
     """
+    docs, restore = set_aside(docs, "_llm_key", "_llm_id", "_llm_k", "_llm_cuts")
     keyed = docs.withColumn("_llm_key", text_key(f"`{text_col}`"))
     plain = keyed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("_llm_key").alias("_key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     runs = repeated_runs(plain, min_words)
@@ -140,4 +141,4 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
     kept = F.filter(F.split(f"`{text_col}`", "\n"), lambda line, i: ~F.exists("_llm_cuts", lambda c: i.between(c["first"], c["last"])))
     text = F.when(F.col("_llm_cuts").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
     out = [text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == count_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out)
+    return restore(joined.select(*out))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import id_text, merge_labels, text_key
+from feedloom.llm.common import id_text, merge_labels, set_aside, text_key
 from feedloom.llm.components import components
 from feedloom.session import materialise
 
@@ -365,6 +365,7 @@ def keep_one_of_each(
     blocks of 13 bits with probability 0.984, a closer one almost surely; small sets miss none.
     Rows that repeat id and text leave one; rows without id stay where no row with an id is in their group. Texts without words are one group.
     """
+    docs, restore = set_aside(docs, "_llm_key", "_llm_id", "_llm_k")
     keyed = docs.withColumn("_llm_key", text_key(f"`{text_col}`"))
     source = id_text(docs, id_col, text_col).withColumn("_key", text_key("text"))
     marked = materialise(set_fingerprints(source, words, lanes, similarity))
@@ -387,4 +388,4 @@ def keep_one_of_each(
     kept = grouped.join(kept.withColumnRenamed("first_id", "component_id"), grouped["head"] == kept["_t"]).where(F.col("first_id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col("first_id").alias("_llm_id"), F.col("_key").alias("_llm_k")).distinct()
     staying = keyed.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_key") == F.col("_llm_k")), "left_semi")
-    return staying.dropDuplicates([id_col, "_llm_key"]).select(*[f"`{c}`" for c in docs.columns])
+    return restore(staying.dropDuplicates([id_col, "_llm_key"]).select(*[f"`{c}`" for c in docs.columns]))

@@ -268,7 +268,7 @@ def write_token_files(
 def read_token_files(spark: SparkSession, folder: str, files: DataFrame, id_type: T.DataType, keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document in the shard files of ``folder``.
 
-    ``start`` counts the ids of all documents before it; ``files`` is what ``write_token_files`` returned. A damaged file fails.
+    ``start`` counts the ids of all documents before it; ``files`` is what ``write_token_files`` returned. A damaged or missing file fails.
     """
     per_part = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     parts = per_part.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -295,6 +295,9 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame, id_type
 
     stored = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder).select("content")
     found = stored.mapInArrow(read, T.StructType(fields))
+    missing = files.join(spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("_name")), F.element_at(F.split("file", "/"), -1) == F.col("_name"), "left_anti").select("file").limit(3).collect()
+    if missing:
+        raise FileNotFoundError(f"shard files are gone: {', '.join(r.file for r in missing)}")
     return found.join(offsets, ["part", "sequence"]).select("doc_id", (F.col("_before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep_ids)
 
 
