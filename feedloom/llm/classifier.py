@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.common import set_aside
+
 FIXED = 1 << 24
 GAPS = " \t\n\r\x0b\x0c"
 _BASE = 0x100000001B3
@@ -230,7 +232,7 @@ def score(docs: DataFrame, model, settings: Settings | None = None, text_col: st
     are; a column that already has the name ``score_col`` is replaced.
     """
     settings = settings or Settings()
-    docs = docs.drop(score_col)
+    docs, restore = set_aside(docs.drop(score_col))
     shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1]))  # one number per bucket, whatever the input
 
     def run(batches):
@@ -243,7 +245,7 @@ def score(docs: DataFrame, model, settings: Settings | None = None, text_col: st
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return restore(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -28,12 +28,15 @@ def text_key(text: Column | str) -> Column:
 
 
 def set_aside(docs: DataFrame, *taken: str):
-    """(docs, restore): columns of ``docs`` that have one of the names ``taken``, in any case, go under other names until ``restore`` gives them theirs back."""
+    """(docs, restore): columns of ``docs`` that have one of the names ``taken``, in any case, go under other names until ``restore`` gives them theirs back.
+
+    So do names with a dot, which Arrow jobs would read as a field of a column.
+    """
     lower = {c.lower() for c in docs.columns}
     names = {}
     for c in docs.columns:
-        if c.lower() in {t.lower() for t in taken}:
-            free = f"{c}_kept"
+        if "." in c or c.lower() in {t.lower() for t in taken}:
+            free = f"{c.replace('.', '_')}_kept"
             while free.lower() in lower:
                 free += "_"
             lower.add(free.lower())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import share
+from feedloom.llm.common import set_aside, share
 from feedloom.session import materialise
 
 WINDOW, SHINGLE = 10, 3
@@ -184,7 +184,7 @@ def mark_contamination(
     the ids, as distinct sorted strings, of items with such a window. A null text has no words. Items without words or id match nothing; items that
     repeat an id count as one. Without items nothing is hit. Repeated documents are judged alike.
     """
-    docs = docs.drop(*OUT)
+    docs, restore = set_aside(docs.drop(*OUT))
     bench = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("binary").alias("text")).where("item is not null and text is not null")
     n_words = F.size(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
     n_parts = max(1, -(-(bench.agg(F.sum(n_words)).first()[0] or 0) // part_words))
@@ -199,7 +199,7 @@ def mark_contamination(
         state = state.mapInArrow(_search(shared, text_col), schema)
         if number + 1 < n_parts:
             state = materialise(state)
-    return state
+    return restore(state)
 
 
 def _search(shared, text_col: str):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import share
+from feedloom.llm.common import set_aside, share
 
 # ---- from a page to its leaf blocks ----
 
@@ -530,8 +530,7 @@ def extract_text(pages: DataFrame, weights: dict[str, np.ndarray], settings: Set
     replaced. Nothing is cut: pages of any length are parsed and labelled whole.
     """
     settings = settings or Settings()
-    if text_col != html_col:
-        pages = pages.drop(text_col)
+    pages, restore = set_aside(pages if text_col == html_col else pages.drop(text_col))
     shared = share(pages.sparkSession, weights)  # fixed size, whatever the input
     kept = [f for f in pages.schema.fields if f.name != text_col]
 
@@ -546,4 +545,4 @@ def extract_text(pages: DataFrame, weights: dict[str, np.ndarray], settings: Set
                     texts.append(" ".join([b.text for b, c in zip(blocks, chosen.tolist()) if c]))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(texts, pa.string())], [*[f.name for f in kept], text_col])
 
-    return pages.mapInArrow(run, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
+    return restore(pages.mapInArrow(run, T.StructType([*kept, T.StructField(text_col, T.StringType())])))
