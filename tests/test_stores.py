@@ -255,3 +255,28 @@ def test_a_rerun_repeats_no_finished_step(spark, tmp_path):
         assert ran == want
     got = {r.user_id: r.epoch for r in moved.collect()}
     assert got[999] == 2 and got[1] == 5 and all(got[r.user_id] >= 1 for r in store.stored_profiles(spark).collect())
+
+
+# ---- selection ----
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_selection_equals_sorting(spark, seed, monkeypatch):
+    from feedloom.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "BINS", 64)
+    monkeypatch.setattr(quantiles, "SORT_ROWS", 30)
+    rng = np.random.default_rng(seed)
+    columns = {"spread": np.exp(rng.normal(0, 4, 300)), "ties": rng.integers(0, 3, 200).astype(float), "one": np.array([7.0]), "wide": np.array([-1.7e308, 1.7e308, 0.0, 1e-320, 2e-320] * 4), "odd": np.array([-np.inf, 1.0, np.inf, np.nan, 2.0])}
+    rows = [(g, float(v)) for g, vs in columns.items() for v in vs] + [("spread", None), ("empty", None), (None, 4.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").withColumn("k", F.lit(1))
+    got = {r.g: r for r in quantiles.nearest_rank(df, "g", "v", "k", (0, 50, 95)).collect()}
+    assert got.keys() == {*columns, None} and got[None].p50 == 4.0
+    for g, vs in columns.items():
+        ordered = np.sort(vs)  # NaN last
+        want = [ordered[min(len(vs) - 1, int(p / 100 * len(vs)))] for p in (0, 50, 95)]
+        assert np.array_equal([got[g].p0, got[g].p50, got[g].p95], want, equal_nan=True), g
+    mid = {r.g: r.m for r in quantiles.interpolated(df.where("g in ('spread', 'ties', 'one')"), "g", "v", "k", 0.3, "m").collect()}
+    assert all(np.isclose(mid[g], np.quantile(columns[g], 0.3)) for g in mid) and len(mid) == 3
+    plan = quantiles.nearest_rank(df, "g", "v", "k", (50,))._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
