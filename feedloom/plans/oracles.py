@@ -181,6 +181,21 @@ CTE["picked"] = f"""SELECT user_id, 0 AS rank, false AS relaxed, NULL::BIGINT AS
 CTE["reranked"] = "SELECT user_id, item_id, rank, creator_id, base_score, diversity_penalty, base_score - diversity_penalty AS final_score, relaxed FROM picked WHERE rank > 0"
 
 
+#: The tables that depend on the log, the items of a moment or the clock.
+MOVING = ("ev", "items", "elig", "pairs", "hist_slots", "hist", "prof", "affinity", "eng", "pop", "recent_n", "recent", "rec_creator", "rec_tag", "cand", "scored")
+
+
+def as_of(moment: str, suffix: str, **own: str) -> dict[str, str]:
+    """The moving tables as they were at ``moment``, under names that end in ``suffix``; ``own`` replaces some of them."""
+    names = re.compile(r"\b(" + "|".join(MOVING) + r")\b(?!\.)")
+    cut = {"ev": f"{CTE['ev']} WHERE ts < TIMESTAMP '{moment}'", "items": f"{CTE['items']} WHERE p.created_at < TIMESTAMP '{moment}'"}
+    out = {}
+    for name in MOVING:
+        text = own.get(name) or cut.get(name, CTE[name]).replace(NOW, f"TIMESTAMP '{moment}'").replace(f"|{DAY}'", f"|{moment[:10]}'")
+        out[f"{name}{suffix}"] = text if name in own else names.sub(rf"\1{suffix}", text)
+    return out
+
+
 def with_tables(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``body`` with the common tables it reaches, in dependency order."""
     tables = {**CTE, **(extra or {})}

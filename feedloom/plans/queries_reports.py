@@ -14,6 +14,7 @@ from feedloom.operators import feeds as Z
 from feedloom.operators import history as H
 from feedloom.operators import ranking as R
 from feedloom.plans import oracles as O
+from feedloom.plans import ranker_eval
 from feedloom.plans.feed_build import build_feeds
 from feedloom.plans.queries_feed import _counts_sql, tag_inputs
 from feedloom.plans.recommend import recommend
@@ -465,23 +466,61 @@ def ranking_auc(spark, d):
     return Q.auc(e.select(F.col("value").alias("score"), (F.col("type") == "like").cast("int").alias("label")))
 
 
-@query()
+# Training labels come from the second half of January before the 23rd, held-out labels from the days after it.
+_TRAIN, _TEST, _END = "2024-01-12 00:00:00", "2024-01-22 00:00:00", S.now
+_N_TERMS = len(ranker_eval.TERMS)
+
+
+def _examples_sql(start: str, end: str, suffix: str) -> dict[str, str]:
+    labels = f"""SELECT user_id, item_id, CASE WHEN round(sum({O.WEIGHT}), 9) > 0 THEN 1 ELSE 0 END AS label FROM ev
+        WHERE created_at >= TIMESTAMP '{start}' AND created_at < TIMESTAMP '{end}' AND {O.WEIGHT} <> 0 AND user_id IS NOT NULL AND item_id IS NOT NULL GROUP BY 1, 2"""
+    return {
+        f"outcome{suffix}": labels,
+        **O.as_of(start, suffix, cand=f"SELECT user_id, item_id, 'logged' AS sources FROM outcome{suffix}"),
+        f"example{suffix}": f"""SELECT s.user_id, s.item_id, s.base_score, o.label, [{", ".join(f"s.{t}" for t in ranker_eval.TERMS)}, 1.0::DOUBLE] AS x
+            FROM scored{suffix} s JOIN outcome{suffix} o USING (user_id, item_id)""",
+    }
+
+
+_LEARNED = {
+    **_examples_sql(_TRAIN, _TEST, "_train"),
+    "normal": f"""SELECT i, list(g ORDER BY j) AS g FROM (SELECT i, j, sum(x[i] * CASE WHEN j = {_N_TERMS + 2} THEN label ELSE x[j] END) + CASE WHEN i = j AND i <= {_N_TERMS} THEN 1.0 ELSE 0.0 END AS g
+        FROM example_train, range(1, {_N_TERMS + 2}) a(i), range(1, {_N_TERMS + 3}) b(j) GROUP BY 1, 2) GROUP BY 1""",
+    # Gauss and Jordan, one column a step; the matrix is positive definite, so no rows change places.
+    "solved": f"""SELECT 1 AS step, (SELECT list(g ORDER BY i) FROM normal) AS m UNION ALL
+        SELECT step + 1, list_transform(m, lambda r, i: CASE WHEN i = step THEN list_transform(r, lambda c: c / m[step][step])
+            ELSE list_transform(r, lambda c, j: c - r[step] / m[step][step] * m[step][j]) END) FROM solved WHERE step <= {_N_TERMS + 1}""",
+    "weights": f"SELECT list_transform(m, lambda r: r[{_N_TERMS + 2}]) AS w FROM solved WHERE step = {_N_TERMS + 2}",
+}
+_HELD_OUT = {
+    **_LEARNED,
+    **_examples_sql(_TEST, _END, "_test"),
+    "judged": f"""SELECT 'fixed' AS ranker, user_id, item_id, label, base_score AS score FROM example_test UNION ALL
+        SELECT 'learned', user_id, item_id, label, round(list_dot_product(x, w), {ranker_eval.SCORE_DIGITS}) FROM example_test CROSS JOIN weights""",
+    "placed": "SELECT *, row_number() OVER (PARTITION BY ranker, user_id ORDER BY score DESC, item_id) AS rank FROM judged",
+    "found": """SELECT ranker, user_id, sum(label) AS n, coalesce(sum(1 / log2(rank + 1.0)) FILTER (label = 1 AND rank <= 10), 0) AS dcg, count(*) FILTER (label = 1 AND rank <= 10) AS hits
+        FROM placed GROUP BY 1, 2 HAVING sum(label) > 0""",
+    "means": """SELECT ranker, count(*) AS users, avg(dcg / list_sum(list_transform(range(1, least(n, 10)::BIGINT + 1), lambda i: 1 / log2(i + 1.0)))) AS ndcg, avg(hits / n) AS recall,
+        avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END) AS hit FROM found GROUP BY 1""",
+    "areas": """SELECT ranker, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY ranker ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+        FROM (SELECT ranker, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM judged GROUP BY 1, 2)) GROUP BY 1""",
+}
+
+
+@query(
+    f"SELECT unnest([{', '.join(repr(t) for t in (*ranker_eval.TERMS, 'constant'))}]) AS feature, unnest(w) AS weight FROM weights",
+    _LEARNED, keys="feature", nums="weight",
+)
 def learned_ranker(spark, d):
-    """Logistic regression on the logged ranking features; the label is whether the user's own pair history is positive."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    """Ridge regression of later outcomes on ranking features as of the start of the training period."""
+    weights = ranker_eval.fit_ridge(ranker_eval.examples(tag_inputs(spark, d), _TRAIN, _TEST))
+    return spark.createDataFrame(list(zip((*ranker_eval.TERMS, "constant"), weights)), "feature string, weight double")
 
-    i = tag_inputs(spark, d)
-    i.pairs = materialise(i.pairs)
-    profiles, items = materialise(i.profiles), materialise(i.ranking_items)
-    shown = i.pairs.where(F.col("n_effective") > 0).select("user_id", "item_id", (F.col("sig") > 0).cast("double").alias("label"))
-    cand = shown.join(items.select("item_id"), "item_id", "left_semi").withColumn("sources", F.array(F.lit("logged")))
-    rep = H.recent_repetition(i.recent, items, i.tax.dim)
-    scored = R.score_candidates(cand.drop("label"), items, profiles, i.creator_affinity, rep, S)
-    names = ["content_similarity", "tag_affinity", "creator_affinity", "popularity", "freshness", "fatigue", "exploration", "quality"]
-    rows = VectorAssembler(inputCols=names, outputCol="x").transform(scored.select("user_id", "item_id", *names).join(shown, ["user_id", "item_id"]))
-    model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=20, regParam=0.01).fit(materialise(rows.select("x", "label")))
-    return spark.createDataFrame(list(zip(names, [float(c) for c in model.coefficients])), "feature string, weight double")
+
+@query("SELECT m.ranker, users, ndcg, recall, hit, auc FROM means m JOIN areas a ON a.ranker = m.ranker", _HELD_OUT, keys="ranker", ints="users", nums="ndcg, recall, hit, auc")
+def ranker_comparison(spark, d):
+    """Fixed and learned weights on events after both were set."""
+    return ranker_eval.compare_rankers(tag_inputs(spark, d), _TRAIN, _TEST, _END)
 
 
 # --- streams, replayed to the end ---
