@@ -96,6 +96,7 @@ class Settings:
     cost_target_items: int = 100_000
     cost_gpu_hour_usd: float = 0.6
     cost_gpu_hour_rub: float = 41.06
+    cost_rub_per_usd: float = 0.0
     cost_optimistic_speedup: float = 12.0
     cost_storage_usd_gb_month: float = 0.023
     cost_features_bytes: int = 2_500

@@ -16,6 +16,16 @@ def frame_rate(text: Column) -> Column:
     return F.when(ok, fps)
 
 
+def stated_rotation(side_data: Column, stream: Column, tag: Column) -> Column:
+    """The rotation a probe record states: the first in its side data that has one, else the stream's own, else its tag; null without any."""
+    return F.coalesce(F.get(F.filter(side_data, lambda r: r.isNotNull()), F.lit(0)).cast("string"), stream.cast("string"), tag.cast("string"))
+
+
+def aspect_ratio(width: Column, height: Column) -> Column:
+    """Width by height as doubles; null without a height."""
+    return F.try_divide(width.cast("double"), height.cast("double"))
+
+
 def rotation(degrees: Column) -> Column:
     d = F.coalesce(degrees.try_cast("double"), F.lit(0.0))
     return F.when(F.isnan(d) | (F.abs(d) == F.lit(float("inf"))), F.lit(0)).otherwise(

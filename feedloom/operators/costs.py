@@ -9,14 +9,15 @@ from feedloom.config import Settings
 from feedloom.operators.quantiles import interpolated, nearest_rank
 
 GIB = 1024.0**3
+MEASURED = ("items", "avg_frames", "avg_tokens_in", "avg_tokens_out", "avg_latency", "token_samples", "avg_size", "avg_duration", "p95_latency")
 
 
-def cost_inputs(runs: DataFrame) -> DataFrame:
-    """One row. ``runs``: item_id, frames_used, tokens_in?, tokens_out?, latency_ms, size_bytes, duration_s, run_key.
+def cost_inputs(runs: DataFrame, group: str | None = None) -> DataFrame:
+    """One row, or one per value of ``group``. ``runs``: item_id, frames_used, tokens_in?, tokens_out?, latency_ms, size_bytes, duration_s, run_key.
 
     Null tokens are not zeros: averages run over reporting rows and stay null without any.
     """
-    keyed = runs.withColumn("_g", F.lit("all"))
+    keyed = runs.withColumn("_g", F.lit("all") if group is None else F.col(group))
     p95 = interpolated(keyed, "_g", "latency_ms", "run_key", 0.95, "p95_latency")
     means = keyed.groupBy("_g").agg(
         F.count(F.lit(1)).alias("items"),
@@ -28,7 +29,8 @@ def cost_inputs(runs: DataFrame) -> DataFrame:
         F.coalesce(F.avg("size_bytes"), F.lit(0.0)).alias("avg_size"),
         F.coalesce(F.avg("duration_s"), F.lit(0.0)).alias("avg_duration"),
     )
-    return means.join(p95, "_g", "left").withColumn("p95_latency", F.coalesce("p95_latency", F.lit(0.0))).drop("_g")
+    out = means.join(p95, "_g", "left").withColumn("p95_latency", F.coalesce("p95_latency", F.lit(0.0)))
+    return out.drop("_g") if group is None else out.withColumnRenamed("_g", group)
 
 
 def modal_model(runs: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def run_statistics(runs: DataFrame, group: str, key: str) -> DataFrame:
 
 
 def cost_scenarios(inputs: DataFrame, dim: int, s: Settings) -> DataFrame:
-    """``(scenario, provenance, quantity, unit, usd)`` for the target item count."""
+    """``(scenario, provenance, quantity, unit, usd)`` for the target item count, per row of ``inputs`` and with its group column, if any."""
     n = float(s.cost_target_items)
 
     def row(name: str, provenance: str, quantity: Column, unit: str, usd: Column) -> Column:
@@ -92,4 +94,11 @@ def cost_scenarios(inputs: DataFrame, dim: int, s: Settings) -> DataFrame:
         row("hosted_output", "measured", mtok_out, "mtok", mtok_out * s.cost_output_usd_mtok),
         row("preprocess_cpu", "assumed", cpu, "core_hours", cpu * s.cost_cpu_hour_usd),
     )
-    return inputs.select(F.explode(table).alias("r")).select("r.*")
+    group = [c for c in inputs.columns if c not in MEASURED]
+    return inputs.select(*group, F.explode(table).alias("r")).select(*group, "r.*")
+
+
+def with_rub(scenarios: DataFrame, s: Settings) -> DataFrame:
+    """``rub`` beside ``usd``: GPU hours at their own hourly rate, the rest at the exchange rate, null without one. Null amounts stay null."""
+    exchanged = F.col("usd") * s.cost_rub_per_usd if s.cost_rub_per_usd > 0 else F.lit(None).cast("double")
+    return scenarios.withColumn("rub", F.when(F.col("unit") == "gpu_hours", F.col("quantity") * s.cost_gpu_hour_rub).otherwise(exchanged))

@@ -131,6 +131,27 @@ def summary(compared: DataFrame, attempted: DataFrame) -> DataFrame:
     )
 
 
+def in_splits(rows: DataFrame, split: Column) -> DataFrame:
+    """Every row once under its split and once under 'all', in a column ``split``."""
+    return rows.withColumn("split", F.explode(F.array(split, F.lit("all"))))
+
+
+def split_reports(compared: DataFrame, gold: DataFrame, predicted: DataFrame, split: Column) -> tuple[DataFrame, DataFrame]:
+    """(summary, field report) for each split of the gold items apart and for all of them; ``split`` is an expression on item_id.
+
+    Coverage and end-to-end scores of a split refer to the gold items of that split.
+    """
+    asked = in_splits(gold, split).groupBy("split").agg(F.countDistinct("item_id").alias("attempted"))
+    keys = in_splits(predicted.select("model", "item_id"), split).select("model", "split").distinct()
+    attempted = keys.join(F.broadcast(asked), "split").select(F.concat_ws("/", "model", "split").alias("model"), "attempted")
+    keyed = in_splits(compared, split).withColumn("model", F.concat_ws("/", "model", "split")).drop("split")
+
+    def apart(report: DataFrame) -> DataFrame:
+        return report.select(F.substring_index("model", "/", -1).alias("split"), F.regexp_replace("model", "/[^/]*$", "").alias("model"), *[c for c in report.columns if c != "model"])
+
+    return apart(summary(keyed, attempted)), apart(field_report(keyed, attempted))
+
+
 def error_patterns(compared: DataFrame, limit: int = 5, n_examples: int = 3) -> DataFrame:
     """Most frequent confusions with the first few item ids.
 

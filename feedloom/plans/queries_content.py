@@ -9,6 +9,7 @@ from feedloom.functions import hashing as X
 from feedloom.functions import media as M
 from feedloom.operators import catalogue as K
 from feedloom.operators import encoding as E
+from feedloom.operators import evaluation as Q
 from feedloom.operators import frames as R
 from feedloom.operators import ingest as N
 from feedloom.operators import validation as L
@@ -152,6 +153,20 @@ def vocabulary_mismatch(spark, d):
     return L.vocabulary_mismatch(vocabulary, layout)
 
 
+@query(
+    """SELECT field, value, 'no_slot' AS problem FROM (SELECT DISTINCT field, value FROM raw) ANTI JOIN tax USING (field, value)
+       UNION ALL SELECT field, value, 'not_in_vocabulary' FROM tax ANTI JOIN raw USING (field, value)""",
+    {
+        "raw": """SELECT field, value FROM tags WHERE field <> 'finish' UNION ALL SELECT 'finish', lower(p_type) FROM part"""
+    },
+)
+def vocabulary_layout(spark, d):
+    """The values that occur in all five fields, types as they come, against the frozen layout."""
+    raw = T.item_features(spark, d).drop("finish").join(T.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.lower("p_type").alias("finish")), "item_id")
+    values = Q.long_labels(raw, T.vocabulary(), ("item_id",)).select("field", F.explode("values").alias("value")).distinct()
+    return L.vocabulary_mismatch(values, T.vocabulary().frame(spark))
+
+
 @query("SELECT DISTINCT p_type AS field FROM part WHERE p_type NOT IN ('ECONOMY', 'PROMO', 'SMALL')")
 def unclassified_fields(spark, d):
     vocabulary = T.table(spark, d, "part").select(F.col("p_type").alias("field"))
@@ -318,6 +333,24 @@ def probe_records(spark, d):
     return sized.withColumn("z", scaled).select("item_id", "fps", "rotation", "width", "height", F.col("z.width").alias("scaled_w"), F.col("z.height").alias("scaled_h"))
 
 
+@query(
+    """SELECT item_id, rot AS rotation, w / h AS aspect, h > w AS vertical FROM (SELECT item_id, rot, CASE WHEN rot IN (90, 270) THEN 848 ELSE w0 END AS w, CASE WHEN rot IN (90, 270) THEN w0 ELSE 848 END AS h FROM (
+        SELECT p_partkey AS item_id, p_size * 10 + 464 AS w0, ((coalesce(CASE WHEN p_partkey % 3 = 0 THEN -90 END, CASE WHEN p_partkey % 4 < 2 THEN p_partkey % 2 * 180 END, CASE WHEN p_partkey % 5 > 1 THEN 450 END, 0) % 360) + 360) % 360 AS rot FROM part))""",
+    keys="item_id, vertical", ints="rotation", nums="aspect",
+)
+def probe_geometry(spark, d):
+    """Rotation from whichever of its three places states it first, then shape and orientation as shown."""
+    k = F.col("p_partkey")
+    raw = T.table(spark, d, "part").select(
+        k.alias("item_id"), (F.col("p_size") * 10 + 464).alias("w"), F.lit(848).alias("h"),
+        F.when(k % 3 == 0, F.array(F.lit(None).cast("double"), F.lit(-90.0), F.lit(7.0))).when(k % 3 == 1, F.array().cast("array<double>")).alias("side"),
+        F.when(k % 4 < 2, k % 2 * 180).alias("stream"), F.when(k % 5 > 1, "450").alias("tag"),
+    )
+    stated = M.stated_rotation(F.col("side"), F.col("stream"), F.col("tag"))
+    sized = raw.select("item_id", M.rotation(stated).alias("rotation"), M.display_size(F.col("w"), F.col("h"), stated).alias("s"))
+    return sized.select("item_id", "rotation", M.aspect_ratio(F.col("s.width"), F.col("s.height")).alias("aspect"), (F.col("s.height") > F.col("s.width")).alias("vertical"))
+
+
 # --- ingest ---
 
 _INGEST = {

@@ -162,6 +162,39 @@ def split_report(spark, d):
     return Q.per_item(keyed).groupBy("model").agg(F.avg("macro_score").alias("macro_score"), F.count(F.lit(1)).alias("items"))
 
 
+_SPLIT = "CASE WHEN item_id % 2 = 0 THEN 'dev' ELSE 'holdout' END"
+_BY_SPLIT = {
+    "cs": "SELECT *, unnest([CASE WHEN item_id % 2 = 0 THEN 'dev' ELSE 'holdout' END, 'all']) AS split FROM cmp",
+    "asked": "SELECT split, count(DISTINCT item_id) AS attempted FROM (SELECT item_id, unnest([CASE WHEN item_id % 2 = 0 THEN 'dev' ELSE 'holdout' END, 'all']) AS split FROM parts) GROUP BY 1",
+    "reps": """SELECT split, model, field, kind, count(*) AS items, sum(score) / count(*) AS strict_score, sum(score) / any_value(attempted) AS end_to_end_score,
+        avg(score) FILTER (NOT gold_unknown) AS informative_score, count(*) FILTER (NOT gold_unknown) AS informative_items, count(*) FILTER (gold_unknown) AS gold_unknown,
+        count(*) FILTER (predicted_unknown) AS predicted_unknown, CASE WHEN kind = 'multi' THEN sum(n_both) / sum(n_predicted) END AS precision,
+        CASE WHEN kind = 'multi' THEN sum(n_both) / sum(n_gold) END AS recall, sum(spurious) AS spurious, sum(missed) AS missed FROM cs JOIN asked USING (split) GROUP BY 1, 2, 3, 4""",
+    "pers": "SELECT split, model, item_id, avg(score) AS m, sum(spurious) AS spurious, sum(missed) AS missed FROM cs GROUP BY 1, 2, 3",
+}
+
+
+@query(
+    """SELECT i.*, items / attempted AS coverage, m / items AS macro_score, m / attempted AS end_to_end_macro, single_macro, multi_macro, end_to_end_single_macro, end_to_end_multi_macro
+        FROM (SELECT split, model, any_value(attempted) AS attempted, count(*) AS items, sum(m) AS m, sum(spurious) AS spurious, sum(missed) AS missed FROM pers JOIN asked USING (split) GROUP BY 1, 2) i
+        JOIN (SELECT split, model, avg(strict_score) FILTER (kind = 'single') AS single_macro, avg(strict_score) FILTER (kind = 'multi') AS multi_macro,
+            avg(end_to_end_score) FILTER (kind = 'single') AS end_to_end_single_macro, avg(end_to_end_score) FILTER (kind = 'multi') AS end_to_end_multi_macro FROM reps GROUP BY 1, 2) USING (split, model)""",
+    {**_EVAL, **_BY_SPLIT}, keys="split, model", ints="items, attempted, spurious, missed", nums=_SUM_NUMS,
+)
+def split_summary(spark, d):
+    """Everything of the summary for development, held-out and all items apart."""
+    return Q.split_reports(_compared(spark, d), _gold(spark, d), _predicted(spark, d), F.expr(_SPLIT))[0]
+
+
+@query(
+    "SELECT * FROM reps", {**_EVAL, **_BY_SPLIT}, keys="split, model, field, kind", ints="items, informative_items, gold_unknown, predicted_unknown, spurious, missed",
+    nums="strict_score, end_to_end_score, informative_score, precision, recall",
+)
+def split_field_report(spark, d):
+    """The report of every field for development, held-out and all items apart."""
+    return Q.split_reports(_compared(spark, d), _gold(spark, d), _predicted(spark, d), F.expr(_SPLIT))[1]
+
+
 # --- cost ---
 
 
@@ -215,6 +248,25 @@ def cost_scenarios(spark, d):
     return U.cost_scenarios(U.cost_inputs(_runs(spark, d)), T.vocabulary().dim, S)
 
 
+@query(
+    """SELECT model_name, scenario, provenance, unit, quantity, quantity * usd_rate AS usd, quantity * CASE WHEN unit = 'gpu_hours' THEN 41.06::DOUBLE ELSE usd_rate * 90 END AS rub FROM (SELECT model_name, unnest([
+        {'scenario': 'gpu_base', 'provenance': 'measured', 'unit': 'gpu_hours', 'quantity': lat / 1000 * 100000 / 3600, 'usd_rate': 0.6::DOUBLE},
+        {'scenario': 'gpu_p95', 'provenance': 'measured', 'unit': 'gpu_hours', 'quantity': p95 / 1000 * 100000 / 3600, 'usd_rate': 0.6::DOUBLE},
+        {'scenario': 'gpu_batched', 'provenance': 'hypothetical', 'unit': 'gpu_hours', 'quantity': lat / 1000 * 100000 / 3600 / 12, 'usd_rate': 0.6::DOUBLE},
+        {'scenario': 'media_storage', 'provenance': 'measured', 'unit': 'gib', 'quantity': size * 100000 / 1073741824, 'usd_rate': 0.023::DOUBLE},
+        {'scenario': 'vector_rows', 'provenance': 'assumed', 'unit': 'gib', 'quantity': (30 * 4 + 8 + 2500) * 100000 / 1073741824::DOUBLE, 'usd_rate': 0.023::DOUBLE},
+        {'scenario': 'hosted_input', 'provenance': 'measured', 'unit': 'mtok', 'quantity': tin * 100000 / 1e6, 'usd_rate': 0.2::DOUBLE},
+        {'scenario': 'hosted_output', 'provenance': 'measured', 'unit': 'mtok', 'quantity': tout * 100000 / 1e6, 'usd_rate': 0.6::DOUBLE},
+        {'scenario': 'preprocess_cpu', 'provenance': 'assumed', 'unit': 'core_hours', 'quantity': 100000 * 0.786::DOUBLE / 3600, 'usd_rate': 0.04::DOUBLE}], recursive := true)
+        FROM (SELECT model_name, avg(latency_ms) AS lat, quantile_cont(latency_ms, 0.95) AS p95, avg(size_bytes) AS size, avg(tokens_in) AS tin, avg(tokens_out) AS tout FROM runs GROUP BY 1))""",
+    _COST, keys="model_name, scenario, provenance, unit", nums="quantity, usd, rub",
+)
+def cost_scenarios_by_model(spark, d):
+    """Scenarios per model in two currencies. The model that reports no tokens has no hosted amounts, which is not the same as nothing to pay."""
+    s = S.but(cost_rub_per_usd=90.0)
+    return U.with_rub(U.cost_scenarios(U.cost_inputs(_runs(spark, d), "model_name"), T.vocabulary().dim, s), s)
+
+
 @query("SELECT model_name, model_version, count(*) AS n FROM runs GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 1", _COST)
 def modal_model(spark, d):
     return U.modal_model(_runs(spark, d))
