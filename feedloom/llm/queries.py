@@ -136,7 +136,7 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 @query
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence of every document: its own line, or that of the nearest directory above with one."""
+    """Licence of every document: its own line, or that of a stand-in in the nearest directory above (documents hold no licence files)."""
     found = licence_scan.scan_licences(document_paths(table(spark, sf_dir, "documents")))
     doc_id = F.substring_index(F.substring_index("path", "/", -1), ".", 1).cast("bigint")
     return found.select(doc_id.alias("doc_id"), "license", F.round("score", 6).alias("score"), "origin", "source")
@@ -215,25 +215,25 @@ FROM documents LEFT JOIN per USING (doc_id)
 
 _TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
 SQL["op10_licences"] = f"""
-WITH tpl AS (SELECT * FROM (VALUES {", ".join(f"({n}, {_text(k)}, {_text(t)})" for n, (k, t) in enumerate(licence_scan.TEMPLATES))}) v(t, license, body)),
-tw AS (SELECT t, license, w, count(*) AS n FROM (SELECT t, license, unnest({_TOKENS.format("body")}) AS w FROM tpl) GROUP BY ALL),
+WITH tpl AS (SELECT * FROM (VALUES {", ".join(f"({n}, {_text(t.license)}, {_text(t.text)}, [{', '.join(map(_text, t.must))}]::VARCHAR[])" for n, t in enumerate(licence_scan.TEMPLATES))}) v(t, license, body, must)),
+tw AS (SELECT t, license, must, w, count(*) AS n FROM (SELECT t, license, must, unnest({_TOKENS.format("body")}) AS w FROM tpl) GROUP BY ALL),
 voc AS (SELECT DISTINCT w FROM tw),
 df AS (SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest({_TOKENS.format("text")}) AS w FROM documents) SEMI JOIN voc USING (w) GROUP BY 1),
 big AS (SELECT count(*) AS n FROM documents),
 idf AS (SELECT w, ln((1 + big.n) / (1 + coalesce(df.n, 0))) + 1 AS v FROM voc CROSS JOIN big LEFT JOIN df USING (w)),
-tv AS (SELECT t, license, w, n * v / sqrt(sum(n * v * n * v) OVER (PARTITION BY t)) AS v FROM tw JOIN idf USING (w)),
+tv AS (SELECT t, license, must, w, n * v / sqrt(sum(n * v * n * v) OVER (PARTITION BY t)) AS v FROM tw JOIN idf USING (w)),
 file AS (SELECT doc_id, text, concat_ws('/', source, CASE WHEN doc_id % 100 <> 0 THEN lang END, CASE WHEN doc_id % 10 <> 0 THEN lpad(CAST(doc_id // 100 AS VARCHAR), 12, '0') END) AS folder FROM documents),
 ln AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) WHERE len(list_intersect({_TOKENS.format("s")}, (SELECT list(w) FROM voc))) > 0),
 lw AS (SELECT s, w, count(*) AS n FROM (SELECT s, unnest({_TOKENS.format("s")}) AS w FROM (SELECT DISTINCT s FROM ln)) GROUP BY ALL),
 lv AS (SELECT s, w, n * coalesce(v, (SELECT ln(1 + n) + 1 FROM big)) AS v FROM lw LEFT JOIN idf USING (w)),
 norm AS (SELECT s, sqrt(sum(v * v)) AS v FROM lv GROUP BY 1),
-dot AS (SELECT s, t, license, sum(lv.v * tv.v) AS v FROM lv JOIN tv USING (w) GROUP BY ALL),
+dot AS (SELECT s, t, license, sum(lv.v * tv.v) AS v FROM lv JOIN tv USING (w) GROUP BY s, t, license HAVING count(*) FILTER (list_contains(must, w)) = any_value(len(must))),
 best AS (SELECT s, license, round(dot.v / norm.v, 9) AS score FROM dot JOIN norm USING (s) WHERE round(dot.v / norm.v, 9) >= {licence_scan.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY s ORDER BY round(dot.v / norm.v, 9) DESC, license) = 1),
 own AS (SELECT doc_id, license, score FROM ln JOIN best USING (s) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
 path AS (SELECT doc_id, folder, folder || '/' || lpad(CAST(doc_id AS VARCHAR), 14, '0') || '.txt' AS path FROM file),
 held AS (SELECT folder, license, score, path FROM own JOIN path USING (doc_id) QUALIFY row_number() OVER (PARTITION BY folder ORDER BY path) = 1),
 near AS (SELECT a.folder, h.license, h.score, h.path FROM (SELECT DISTINCT folder FROM path) a JOIN held h ON a.folder = h.folder OR starts_with(a.folder, h.folder || '/') QUALIFY row_number() OVER (PARTITION BY a.folder ORDER BY length(h.folder) DESC) = 1)
-SELECT p.doc_id, coalesce(o.license, n.license) AS license, round(coalesce(o.score, n.score), 6) AS score, CASE WHEN o.license IS NOT NULL THEN 'own' WHEN n.license IS NOT NULL THEN 'inherited' END AS origin,
+SELECT p.doc_id, coalesce(o.license, n.license) AS license, round(coalesce(o.score, n.score), 6) AS score, CASE WHEN o.license IS NOT NULL THEN 'own' WHEN n.license IS NOT NULL THEN 'stand_in' END AS origin,
   CASE WHEN o.license IS NOT NULL THEN p.path WHEN n.license IS NOT NULL THEN n.path END AS source
 FROM path p LEFT JOIN own o USING (doc_id) LEFT JOIN near n ON n.folder = p.folder
 """

@@ -186,7 +186,7 @@ def test_disguises_are_proposed():
 
 def licences_by_hand(files, stand_in=True):
     words = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
-    vocabulary = {w for _, t in licence_scan.TEMPLATES for w in words(t)}
+    vocabulary = {w for t in licence_scan.TEMPLATES for w in words(t.text)}
     df = collections.Counter(w for _, t in files for w in set(words(t or "")) & vocabulary)
     idf = lambda w: math.log((1 + len(files)) / (1 + df[w])) + 1
 
@@ -195,16 +195,16 @@ def licences_by_hand(files, stand_in=True):
         norm = math.sqrt(sum(v * v for v in raw.values()))
         return {w: v / norm for w, v in raw.items()}
 
-    templates = [(k, vector(t)) for k, t in licence_scan.TEMPLATES]
+    templates = [(t.license, vector(t.text), set(t.must)) for t in licence_scan.TEMPLATES]
     own = {}
     for path, text in files:
         named = path is not None and re.search(licence_scan.FILE_NAMES, path.lower())
         for unit in [*(text or "").split("\n"), *([text or ""] if named else [])]:
             if words(unit):
                 v = vector(unit)
-                for name, t in templates:
+                for name, t, must in templates:
                     score = round(sum(x * t.get(w, 0) for w, x in v.items()), 9)
-                    if score >= licence_scan.THRESHOLD:
+                    if score >= licence_scan.THRESHOLD and must <= v.keys():
                         own[path, text] = min(own.get((path, text), (0, "")), (-score, name))
     folder = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
     held = {}
@@ -224,7 +224,7 @@ def licences_by_hand(files, stand_in=True):
             d = folder(path)
             while True:
                 if d in held:
-                    row = (path, held[d][3], -held[d][4], "inherited", held[d][2])
+                    row = (path, held[d][3], -held[d][4], "stand_in" if held[d][0] else "inherited", held[d][2])
                     break
                 if not d:
                     break
@@ -236,7 +236,7 @@ def licences_by_hand(files, stand_in=True):
 @pytest.mark.parametrize("stand_in", [True, False])
 def test_licences(spark, stand_in):
     rng = random.Random(6)
-    lines = [t for _, t in licence_scan.TEMPLATES] + ["the license", "nothing here", "", "public version of the work", "Licensed under the Apache License 2.0"]
+    lines = [t.text for t in licence_scan.TEMPLATES] + ["SPDX-License-Identifier: Zlib", "MIT", "license", "the license", "nothing here", "", "public version of the work", "Licensed under the Apache License 2.0"]
     files = []
     for _ in range(150):
         path = "/".join(rng.choice("abc") for _ in range(rng.randrange(5))) + "/" + rng.choice(["x.c", "y.c", "LICENSE", "COPYING.txt", "z"])
@@ -254,11 +254,27 @@ def test_licences(spark, stand_in):
 
 
 def test_anchors_lose_nothing():
-    idf = {w: 1 + (len(w) % 5) for _, t in licence_scan.TEMPLATES for w in licence_scan.template_words(t)}
+    idf = {w: 1 + (len(w) % 5) for t in licence_scan.TEMPLATES for w in licence_scan.template_words(t.text)}
     vectors = licence_scan.weigh_templates(licence_scan.TEMPLATES, idf)
-    chosen = set(licence_scan.anchors(vectors, 0.75))
-    for v in vectors:
-        assert math.sqrt(sum(x * x for w, x in v.items() if w not in chosen)) < 0.75
+    chosen = set(licence_scan.anchors(vectors, 0.75, [t.must for t in licence_scan.TEMPLATES]))
+    for v, t in zip(vectors, licence_scan.TEMPLATES):
+        assert chosen & set(t.must) if t.must else math.sqrt(sum(x * x for w, x in v.items() if w not in chosen)) < 0.75
+
+
+def test_usual_forms_are_recognised(spark):
+    """Tags, titles and first lines of licence texts; names of other licences are left alone."""
+    want = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "MIT License": "MIT", "The MIT License (MIT)": "MIT",
+        "This file is released under the MIT License.": "MIT", "                                 Apache License": "Apache-2.0", "BSD 3-Clause License": "BSD-3-Clause",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal': "MIT",
+        "Permission to use, copy, modify, and/or distribute this software for any": None, "SPDX-License-Identifier: Zlib": None, "SPDX-License-Identifier: BSD-4-Clause": None, "MIT": None, "License": None,
+        "a driving license from mit": None, "public": None, "GNU General Public License v1.0": None,
+    }
+    rows = [(f"d{i}/f.c", f"int x;\n{line}\nint y;") for i, line in enumerate(want)] + [(f"p{i}/g.c", "plain words here") for i in range(60)]
+    got = {r.path: r.license for r in licence_scan.scan_licences(spark.createDataFrame(rows, "path string, text string"), stand_in=False).collect()}
+    assert {line: got[f"d{i}/f.c"] for i, line in enumerate(want)} == want
+    whole = spark.createDataFrame([("a/LICENSE", "MIT License\n\nCopyright (c) 2020 X\n"), ("a/b/c.py", "x = 1"), ("d.py", "y")], "path string, text string")
+    assert {(r.path, r.license, r.origin) for r in licence_scan.scan_licences(whole).collect()} == {("a/LICENSE", "MIT", "own"), ("a/b/c.py", "MIT", "inherited"), ("d.py", None, None)}
 
 
 def test_licence_plan_is_native(spark, documents, capsys):
