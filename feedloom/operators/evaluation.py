@@ -31,10 +31,11 @@ def compare(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Inner join of long labels: a missing prediction stays missing and never borrows another model's.
 
     ``gold``: item_id, field, kind, values. ``predicted``: model, item_id, field, values.
+    Both sides have several rows per item, so the planner's guess of their size from the files is too low for a broadcast: they are sorted.
     """
     g = gold.select("item_id", "field", "kind", F.col("values").alias("g"))
     p = predicted.select("model", "item_id", "field", F.col("values").alias("p"))
-    both = g.join(p, ["item_id", "field"])
+    both = g.join(p.hint("merge"), ["item_id", "field"])
     single = F.col("kind") == "single"
     inter, union = F.size(F.array_intersect("p", "g")), F.size(F.array_union("p", "g"))
     score = (
