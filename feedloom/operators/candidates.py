@@ -81,8 +81,9 @@ def list_sources(
     """
     rows, asks = [], []
 
-    def ask(users: DataFrame, source: str, list_key, priority) -> None:
-        asks.append(users.select("user_id", F.lit(source).alias("source"), list_key.alias("list_key"), priority.alias("priority"), "seen_count"))
+    def ask(users: DataFrame, source: str, list_key, priority, alone: bool = True) -> None:
+        names = [F.lit(source).alias("source"), list_key.alias("list_key"), priority.alias("priority"), F.lit(alone).alias("alone")]
+        asks.append(users.select("user_id", *names, "seen_count"))
 
     if "trending" in which:
         rows.append(trending_rows(eligible))
@@ -94,7 +95,7 @@ def list_sources(
         rows.append(tag_rows(eligible))
         warm = base.where(~F.col("is_cold_start"))
         wanted = preferred_tags(warm, tax.slot_names, NOT_A_PREFERENCE, s.preferred_tags, ("seen_count",))
-        ask(wanted, "tag", F.concat(F.lit("slot-"), F.col("slot").cast("string")), F.col("tag_rank"))
+        ask(wanted, "tag", F.concat(F.lit("slot-"), F.col("slot").cast("string")), F.col("tag_rank"), False)
     lists, requests = rows[0], asks[0]
     for r, a in zip(rows[1:], asks[1:]):
         lists, requests = lists.unionByName(r), requests.unionByName(a)

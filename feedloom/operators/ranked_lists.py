@@ -54,13 +54,16 @@ def take_unseen(
 
     ``requests``: (user_id, source, list_key, priority, seen_count); a source may name several lists, tried in
     ``priority`` order. ``n_lists`` bounds the number of lists (vocabulary size plus a constant) and ``longest``
-    the length of any of them (the item count).
+    the length of any of them (the item count). Requests marked ``alone`` (optional column) are the only one of their user and source:
+    with nothing seen the head of their list is the answer, and no row of it is moved.
 
     A list is skipped when an earlier one alone is long enough to fill the user's limit.
 
     The head of every list is at most ``n_lists * list_head`` rows and is broadcast when that bound fits;
     beyond the head only users with long histories remain, and those rows join by shuffle.
     """
+    if "alone" not in requests.columns:
+        requests = requests.withColumn("alone", F.lit(False))
     chunk = F.floor((F.col("pos") - 1) / s.list_chunk)
     chunked = lists.withColumn("chunk", chunk)
     head_chunks = s.list_head // s.list_chunk
@@ -70,27 +73,32 @@ def take_unseen(
     full = limit_of + F.col("seen_count")
     wanted = (
         requests.join(F.broadcast(sizes), "list_key")
-        .withColumn("_before", F.max("list_size").over(earlier))
+        .withColumn("_before", F.when(~F.col("alone"), F.max("list_size").over(earlier)))
         .where(F.col("_before").isNull() | (F.col("_before") < full))
         .withColumn("need", F.least(full, F.col("list_size")))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("need") - 1) / s.list_chunk))))
-        .select("user_id", "source", "list_key", "priority", "need", "chunk")
+        .select("user_id", "source", "list_key", "priority", "need", "chunk", (F.col("alone") & (F.col("seen_count") == 0)).alias("settled"))
     )
     rows = chunked.select("list_key", "chunk", "pos", "item_id")
     head = rows.where(F.col("chunk") < head_chunks)
     if n_lists * min(longest, s.list_head) <= s.broadcast_rows:
         head = F.broadcast(head)
-    pulled = wanted.where(F.col("chunk") < head_chunks).join(head, ["list_key", "chunk"])
-    if longest > s.list_head:
-        tail = rows.where(F.col("chunk") >= head_chunks)
-        pulled = pulled.unionByName(wanted.where(F.col("chunk") >= head_chunks).join(tail, ["list_key", "chunk"]))
-    pulled = pulled.where(F.col("pos") <= F.col("need")).select("user_id", "source", "item_id", "priority", "pos")
-    unseen = pulled.join(seen, ["user_id", "item_id"], "left_anti")
+
+    def pull(asked: DataFrame) -> DataFrame:
+        got = asked.where(F.col("chunk") < head_chunks).join(head, ["list_key", "chunk"])
+        if longest > s.list_head:
+            tail = rows.where(F.col("chunk") >= head_chunks)
+            got = got.unionByName(asked.where(F.col("chunk") >= head_chunks).join(tail, ["list_key", "chunk"]))
+        return got.where(F.col("pos") <= F.col("need")).select("user_id", "source", "item_id", "priority", "pos")
+
+    unseen = pull(wanted.where(~F.col("settled"))).join(seen, ["user_id", "item_id"], "left_anti")
     place = F.shiftleft(F.col("priority").cast("bigint"), _POS_BITS) + F.col("pos")
     best = unseen.groupBy("user_id", "item_id", "source").agg(F.min(place).alias("place"))
     order = Window.partitionBy("user_id", "source").orderBy("place", "item_id")
-    return (
+    chosen = (
         best.withColumn("rank", F.row_number().over(order))
         .where((F.col("rank") <= max(limits.values())) & (F.col("rank") <= limit_of))
         .select("user_id", "item_id", "source", "rank")
     )
+    heads = pull(wanted.where(F.col("settled"))).select("user_id", "item_id", "source", F.col("pos").cast("int").alias("rank"))
+    return chosen.unionByName(heads)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from feedloom.config import RANK_TERMS, Settings
 from feedloom.functions import hashing as X
 from feedloom.functions import vectors as V
+from feedloom.session import materialise
 
 FEATURES = (
     "content_similarity", "tag_affinity", "affinity", "creator_affinity", "popularity", "freshness", "fatigue",
@@ -43,13 +44,40 @@ def score_candidates(
     affinity: DataFrame,
     repetition: DataFrame,
     s: Settings,
+    newcomers: bool = False,
 ) -> DataFrame:
     """Seven weighted terms per candidate.
 
     Join order keeps rows narrow for as long as possible: creator affinity is looked up on bare ids, then the
     item side is attached, and the user side comes last, which leaves the result partitioned by user for the
     per-user re-ranking.
+
+    ``newcomers`` says that many users are cold and have no recent items: their personal terms are zero, so their candidates are scored
+    apart, without a user side, and neither they nor their items' vectors are moved for it.
     """
+    if newcomers:
+        recent = repetition.select("user_id")
+        cold = profiles.where("is_cold_start").join(recent, "user_id", "left_anti")
+        blank = materialise(cold.select("user_id", X.user_state(F.col("user_id")).alias("_hs")))
+        rest = profiles.join(blank, "user_id", "left_anti")
+        known = _featured(candidates.join(rest.select("user_id"), "user_id", "left_semi"), items, rest, affinity, repetition, s)
+        return _weighted(known.unionByName(_featured_blank(candidates.join(blank, "user_id"), items)), s)
+    return _weighted(_featured(candidates, items, profiles, affinity, repetition, s), s)
+
+
+_ITEM_SIDE = ("creator_id", "creator_handle", "external_id", "div_tags", "div_slots", "vector")
+
+
+def _featured_blank(candidates: DataFrame, items: DataFrame) -> DataFrame:
+    zero = F.lit(0.0)
+    return candidates.join(items, "item_id").select(
+        "user_id", "item_id", "sources", *_ITEM_SIDE,
+        *[zero.alias(x) for x in ("content_similarity", "tag_affinity", "creator_affinity")], "popularity", "freshness", zero.alias("fatigue"),
+        X.unit_hash(F.col("_hs"), F.col("hash_codes")).alias("exploration"), "quality", "quality_available",
+    )
+
+
+def _featured(candidates: DataFrame, items: DataFrame, profiles: DataFrame, affinity: DataFrame, repetition: DataFrame, s: Settings) -> DataFrame:
     creators = items.select("item_id", "creator_id")
     narrow = (
         candidates.join(creators, "item_id")
@@ -70,8 +98,8 @@ def score_candidates(
         "_ta", _tag_affinity(F.col("_p"), F.col("tag_slots"))
     )
     similarity = V.cosine_from(F.col("_dot"), F.col("_pn"), F.col("vector_norm"))
-    featured = raw.select(
-        "user_id", "item_id", "sources", "creator_id", "creator_handle", "external_id", "div_tags", "div_slots", "vector",
+    return raw.select(
+        "user_id", "item_id", "sources", *_ITEM_SIDE,
         personal(similarity).alias("content_similarity"),
         personal(F.col("_ta")).alias("tag_affinity"),
         F.when(F.length("creator_id") > 0, personal(F.coalesce("_ca", F.lit(0.0)))).otherwise(F.lit(0.0)).alias("creator_affinity"),
@@ -81,7 +109,11 @@ def score_candidates(
         X.unit_hash(F.col("_hs"), F.col("hash_codes")).alias("exploration"),
         "quality",
         "quality_available",
-    ).withColumn("affinity", (F.col("content_similarity") + F.col("tag_affinity")) / 2)
+    )
+
+
+def _weighted(terms: DataFrame, s: Settings) -> DataFrame:
+    featured = terms.withColumn("affinity", (F.col("content_similarity") + F.col("tag_affinity")) / 2)
     weighted = [
         (F.lit(-s.rank_weights[t] if t == "fatigue" else s.rank_weights[t]) * F.col(t)).alias(t) for t in RANK_TERMS
     ]

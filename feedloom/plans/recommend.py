@@ -131,7 +131,7 @@ def recommend(inputs: Inputs, limit: int, users: DataFrame | None = None) -> Rec
         H.recent_repetition(H.recent_items(inputs.user_events, items, s), items, inputs.tax.dim),
     )
     cand = materialise(C.union_sources(listed.unionByName(similar).unionByName(explore)))
-    scored = R.score_candidates(cand, items, profiles, affinity, repetition, s)
+    scored = R.score_candidates(cand, items, profiles, affinity, repetition, s, newcomers=inputs.users is not None)
     return Recommendation(base, cand, scored, Y.rerank(scored, limit, s), items, inputs.seen)
 
 

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from feedloom.config import Settings
 from feedloom.functions import hashing as X
 from feedloom.operators import evaluation as Q
+from feedloom.operators import history as H
 from feedloom.operators import pairwise as W
+from feedloom.operators import ranking as R
+from feedloom.operators.ranked_lists import take_unseen
+from feedloom.plans.queries_feed import tag_inputs
+from feedloom.session import materialise
 from feedloom.taxonomy import neutral
 
 
@@ -51,3 +56,22 @@ def test_users_ask_for_few_buckets_of_hashes(spark):
     plain = X.fnv_grid(X.fnv_states([f"{u}|" for u in range(200)]), [f"{i}|2024-01-31" for i in range(n)])
     want = np.argsort(-plain.astype("i8"), axis=1, kind="stable")[:, :5]
     assert {(r.user_id, r["rank"], r.item_id) for r in top.collect()} == {(u, k + 1, int(i)) for u, row in enumerate(want) for k, i in enumerate(row)}
+
+
+def test_newcomers_are_scored_without_a_user_side(spark):
+    """Users without history get the heads of the lists and item terms: no row of theirs meets a seen set or a profile."""
+    requests = spark.createDataFrame([(1, "s", "a", 0, 0, True), (2, "s", "a", 0, 1, True)], "user_id bigint, source string, list_key string, priority int, seen_count bigint, alone boolean")
+    lists = spark.createDataFrame([("a", i, 10 + i, 9) for i in range(1, 10)], "list_key string, pos bigint, item_id bigint, list_size bigint")
+    seen = spark.createDataFrame([(2, 11)], "user_id bigint, item_id bigint")
+    got = take_unseen(requests, lists, seen, 1, 9, {"s": 3}, Settings())
+    assert sorted(map(tuple, got.collect())) == [(1, 11, "s", 1), (1, 12, "s", 2), (1, 13, "s", 3), (2, 12, "s", 1), (2, 13, "s", 2), (2, 14, "s", 3)]
+
+    i = tag_inputs(spark, "/root/testdata/sf0.001")
+    ids = spark.range(990_000, 990_030).select(F.col("id").alias("user_id"))
+    i.users = i.events.select("user_id").distinct().union(ids)
+    _, items = i.pairs, materialise(i.ranking_items)
+    profiles = materialise(i.profiles)
+    cand = profiles.select("user_id").crossJoin(items.select("item_id")).withColumn("sources", F.array(F.lit("tag")))
+    side = (items, profiles, i.creator_affinity, H.recent_repetition(i.recent, items, i.tax.dim), i.s)
+    apart, together = (R.score_candidates(cand, *side, newcomers=x).select("user_id", "item_id", "fatigue", "exploration", "affinity", "base_score") for x in (True, False))
+    assert apart.count() == together.count() and apart.exceptAll(together).isEmpty()
