@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.llm.common import id_text, share
+from feedloom.session import materialise
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that only proposals have.
@@ -147,7 +148,7 @@ def features(text: str, start: int, end: int) -> list[float]:
 
 @dataclass(frozen=True)
 class Settings:
-    #: The bound on what training sees: candidates, those that hash lowest.
+    #: Up to so many different candidates are learned from in one task; more are learned from by distributed passes.
     train_rows: int = 20_000
     trees: int = 60
     depth: int = 3
@@ -181,6 +182,13 @@ class Forest:
         return 1 / (1 + np.exp(-odds))
 
 
+def gains(gl, hl, nl, g, h, n, settings: Settings) -> np.ndarray:
+    """What each cut of a node gains; ``gl``, ``hl`` and ``nl`` are gradient, weight and rows below it, the others those of the node."""
+    gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+    gain[(nl < settings.least_rows) | (n - nl < settings.least_rows)] = 0
+    return gain
+
+
 def fit_forest(x: np.ndarray, y: np.ndarray, settings: Settings) -> Forest:
     """Gradient boosting of the logistic loss, by histograms over quantile bins. Rows count alike: the labels are balanced by how rows are made."""
     n, share_of_1 = len(y), (y.sum() + 1) / (len(y) + 2)
@@ -208,8 +216,7 @@ def fit_forest(x: np.ndarray, y: np.ndarray, settings: Settings) -> Forest:
                 gl = np.cumsum(np.bincount(b, gradient[rows], len(c) + 1))[:-1]
                 hl = np.cumsum(np.bincount(b, weight[rows], len(c) + 1))[:-1]
                 nl = np.cumsum(np.bincount(b, minlength=len(c) + 1))[:-1]
-                gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
-                gain[(nl < settings.least_rows) | (len(rows) - nl < settings.least_rows)] = 0
+                gain = gains(gl, hl, nl, g, h, len(rows), settings)
                 k = int(gain.argmax())
                 if gain[k] > best[0]:
                     best = (float(gain[k]), j, float(c[k]))
@@ -313,11 +320,103 @@ def weak_labels(text: str) -> list[tuple[int, list[float], int]]:
     return rows + [(k, x, 0) for k, x in free if not x[cue]]
 
 
+def _tables(batches, *names):
+    for batch in batches:
+        if batch.num_rows:
+            yield (np.array(batch.column("x").to_pylist(), np.float64), *(batch.column(c).to_numpy() for c in names))
+
+
+def fit_forest_whole(rows: DataFrame, settings: Settings) -> Forest:
+    """The trees of ``fit_forest`` over all ``rows`` (x, y), however many: each level of a tree is one job that adds up histograms.
+
+    The driver gets sums per node, feature and bin. Cuts are approximate quantiles of all rows.
+    """
+    spark = rows.sparkSession
+    at = [k / settings.bins for k in range(1, settings.bins)]
+    first = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), *[F.percentile_approx(F.col("x")[j], at, 10_000).alias(f"c{j}") for j in range(len(FEATURES))]).first()
+    n, ones = first.n, first.y or 0
+    share_of_1 = (ones + 1) / (n + 2)
+    prior = float(np.log(share_of_1 / (1 - share_of_1)))
+    inner = 2**settings.depth - 1
+    forest = Forest(prior, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
+    if ones in (0, n):
+        return forest
+    cuts = [np.unique(first[f"c{j}"]) for j in range(len(FEATURES))]
+    wide = settings.bins
+    for _ in range(settings.trees):
+        feature, cut, value = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(inner + 1)
+        for level in range(settings.depth):
+            low, nodes = 2**level - 1, 2**level
+            state = share(spark, (forest, feature.copy(), cut.copy()))
+
+            def add_up(batches, state=state, level=level, low=low, nodes=nodes):
+                model, feature, cut = state()
+                sums = np.zeros((3, nodes, len(cuts), wide))
+                for x, y in _tables(batches, "y"):
+                    p = model.predict(x)
+                    node = np.zeros(len(x), np.int64)
+                    for _ in range(level):
+                        node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > cut[node])
+                    for j, c in enumerate(cuts):
+                        cell = (node - low) * wide + np.searchsorted(c, x[:, j])
+                        for k, weight in enumerate((y - p, p * (1 - p), None)):
+                            sums[k, :, j] += np.bincount(cell, weight, nodes * wide).reshape(nodes, wide)
+                flat = sums.reshape(3, -1)
+                used = np.flatnonzero(flat[2])
+                yield pa.RecordBatch.from_arrays([pa.array(used), *map(pa.array, flat[:, used])], ["cell", "g", "h", "n"])
+
+            got = rows.mapInArrow(add_up, "cell bigint, g double, h double, n double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in "ghn"]).collect()
+            sums = np.zeros((3, nodes * len(cuts) * wide))
+            for r in got:
+                sums[:, r.cell] = round(r.g, 9), round(r.h, 9), r.n  # the order of adding decides nothing
+            sums = sums.reshape(3, nodes, len(cuts), wide)
+            for i in range(nodes):
+                g, h, m = sums[:, i, 0].sum(axis=1)
+                best, below = (1e-6, 0, np.inf), (g, h)
+                for j, c in enumerate(cuts):
+                    if m < 2 * settings.least_rows or not len(c):
+                        continue
+                    gl, hl, nl = np.cumsum(sums[:, i, j], axis=1)[:, : len(c)]
+                    gain = gains(gl, hl, nl, g, h, m, settings)
+                    k = int(gain.argmax())
+                    if gain[k] > best[0]:
+                        best, below = (float(gain[k]), j, float(c[k])), (gl[k], hl[k])
+                feature[low + i], cut[low + i] = best[1], best[2]
+                if level == settings.depth - 1:
+                    leaf = 2 * (low + i) + 1 - inner
+                    value[leaf] = settings.rate * below[0] / (below[1] + 1)
+                    value[leaf + 1] = settings.rate * (g - below[0]) / (h - below[1] + 1)
+        forest = Forest(prior, np.vstack([forest.features, feature]), np.vstack([forest.cuts, cut]), np.vstack([forest.leaves, value]))
+    return forest
+
+
+_STEPS = 10_000
+
+
+def calibrated_whole(forest: Forest, held: DataFrame, settings: Settings) -> dict[int, float]:
+    """Thresholds as ``calibrated`` sets them, from all ``held`` rows (k, x, y, n), in steps of 1 / 10,000 of the score."""
+    shared = share(held.sparkSession, forest)
+
+    def score(batches):
+        model = shared()
+        for x, k, y, n in _tables(batches, "k", "y", "n"):
+            step = np.floor(model.predict(x) * _STEPS).astype("i8")
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(step), pa.array(n), pa.array(n * y)], ["k", "step", "n", "ones"])
+
+    sums = held.mapInArrow(score, "k int, step bigint, n bigint, ones bigint").groupBy("k", "step").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    out, all_rows = {}, sorted(map(tuple, sums.collect()), reverse=True)
+    for kind in {r[0] for r in all_rows if r[3]}:
+        step, n, ones = np.array([r[1:] for r in all_rows if r[0] == kind], np.float64).T
+        good = np.flatnonzero(np.cumsum(ones) / np.cumsum(n) >= settings.precision)
+        out[int(kind)] = float(max(step[good[-1]] / _STEPS, 0.5)) if len(good) else settings.never
+    return out
+
+
 def train(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> Forest:
     """Fit the trees on candidates of ``docs`` and set each kind's threshold on every fourth of them, which the trees do not see.
 
-    The sample is the ``train_rows`` different candidates that hash lowest; a threshold counts each as often as the corpus has it. A kind without
-    candidates of label 1 is never chosen, and without candidates of both labels no proposal is.
+    All different candidates take part: in one task up to ``train_rows`` of them, beyond that in distributed passes. A threshold counts each as
+    often as the corpus has it. A kind without candidates of label 1 is never chosen, and without candidates of both labels no proposal is.
     """
     settings = settings or Settings()
 
@@ -333,7 +432,13 @@ def train(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_
 
     rows = id_text(docs, id_col, text_col).select("text").mapInArrow(collect, "k int, x array<double>, y int")
     order = F.xxhash64("k", "x", "y")
-    sample = rows.groupBy("k", "x", "y").agg(F.count(F.lit(1)).alias("n")).orderBy(order, "k", "x", "y").limit(settings.train_rows)
+    found = materialise(rows.groupBy("k", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    if found.count() > settings.train_rows:
+        held = F.pmod(order, F.lit(4)) == 3
+        forest = fit_forest_whole(found.where(~held).select("x", "y"), settings)
+        if len(forest.features):
+            forest.thresholds = calibrated_whole(forest, found.where(held), settings)
+        return forest
 
     def learn(batches):
         got = pa.Table.from_batches(list(batches)).to_pydict()
@@ -347,7 +452,7 @@ def train(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_
                 forest.thresholds[int(kind)] = calibrated(forest, x[mine], y[mine], settings, n[mine])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((forest.prior, forest.features, forest.cuts, forest.leaves, forest.thresholds))], pa.binary())], ["model"])
 
-    ordered = sample.withColumn("_o", order).repartition(1).sortWithinPartitions("_o", "k", "x", "y").drop("_o")
+    ordered = found.withColumn("_o", order).repartition(1).sortWithinPartitions("_o", "k", "x", "y").drop("_o")
     row = ordered.mapInArrow(learn, "model binary").first()
     return Forest(*pickle.loads(row.model)) if row else fit_forest(np.zeros((0, len(FEATURES))), np.zeros(0, np.int64), settings)
 
