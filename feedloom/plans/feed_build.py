@@ -77,6 +77,10 @@ class Build:
     skipped: DataFrame
 
 
+#: What an explanation shows of an item: looked up for the selected rows alone, not carried by every candidate.
+_NAMES = ("creator_handle", "external_id", "div_tags")
+
+
 def build_feeds(
     jobs: DataFrame, inputs: Inputs, current, live, seq: int, with_sidecar: bool = False
 ) -> Build:
@@ -89,7 +93,7 @@ def build_feeds(
     todo = verdicts.where(F.col("verdict") == "build").drop("verdict")
     run = recommend(inputs, s.feed_size, todo.select("user_id"))
     if with_sidecar:  # ranking and explanations read the same scores, so they are computed once
-        run.scored = materialise(run.scored)
+        run.scored = materialise(run.scored.drop(*_NAMES))
         run.selected = rerank(run.scored, s.feed_size, s)
     run.selected = materialise(run.selected)
     info = diagnostics(run, s.feed_size)
@@ -99,7 +103,8 @@ def build_feeds(
     sidecar = None
     if with_sidecar:
         ids = generations.select("user_id", "feed_id", "epoch", "generated_at")
-        sidecar = feeds.explanations(run.selected, run.scored).join(ids, "user_id")
+        named = run.selected.join(run.items.select("item_id", *_NAMES), "item_id")
+        sidecar = feeds.explanations(named, run.scored).join(ids, "user_id")
     skipped = verdicts.where(F.col("verdict") != "build").unionByName(late.where(F.col("verdict") != "build"))
     return Build(generations, sidecar, skipped)
 
