@@ -5,8 +5,6 @@ A group is one user's candidates, at most the sum of the source limits, so it al
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,61 +18,54 @@ RESULT = (
 )
 
 
-class _Picker:
-    """Selection state over the rows of one group, which are sorted by item id (so argmax breaks ties by id)."""
-
-    def __init__(self, base, vectors, creators, tags, s: Settings):
-        self.base, self.s = base, s
-        norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-        self.unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
-        self.creators = creators
-        self.has_tag = tags
-        self.tag_used = np.zeros(tags.shape[1], dtype=int)
-        self.creator_used: Counter = Counter()
-        self.creator_full = np.zeros(len(base), dtype=bool)
-        self.open = np.ones(len(base), dtype=bool)
-        self.closest = np.zeros(len(base))
-        self.chosen: list[tuple[int, float, bool]] = []
-
-    def penalty(self):
-        return self.s.diversity_lambda * self.closest
-
-    def allowed(self):
-        ok = self.open & ~self.creator_full
-        if len(self.chosen) < self.s.tag_cap_window:
-            full = self.tag_used >= self.s.max_same_tag
+def pick(base, vectors, creators, div, edges, limit: int, s: Settings):
+    """Greedy selection for many users at once: row, rank, penalty and relaxed flag of every pick, user by user.
+
+    The rows of user ``u`` are ``edges[u]:edges[u + 1]``, sorted by item id (so the first of equal scores is the smaller id). ``creators`` are codes, -1 for
+    none, ``div`` slots, filled up with -1. When no row of a user is allowed any more, the rest follows by score.
+    """
+    sizes = np.diff(edges)
+    n, wide = len(sizes), int(sizes.max(initial=0))
+    owner, place = np.repeat(np.arange(n), sizes), np.arange(edges[-1]) - np.repeat(edges[:-1], sizes)
+    norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype="f8"))[:, None]
+    unit = np.zeros((n, wide, vectors.shape[1]))
+    unit[owner, place] = np.divide(vectors, norms, out=np.zeros(vectors.shape), where=norms > 0)
+    score, creator, open_ = np.full((n, wide), -np.inf), np.full((n, wide), -1), np.zeros((n, wide), dtype=bool)
+    score[owner, place], creator[owner, place], open_[owner, place] = base, creators, True
+    rows, cols = np.nonzero(div >= 0)
+    names, slot = np.unique(div[rows, cols], return_inverse=True)
+    tags = np.zeros((n, wide, len(names)), dtype=bool)
+    tags[owner[rows], place[rows], slot] = True
+    tag_used, creator_used, closest = np.zeros((n, len(names)), dtype=int), np.zeros((n, wide), dtype=int), np.zeros((n, wide))
+    relaxed, everyone, found = np.zeros(n, dtype=bool), np.arange(n), []
+    for step in range(min(limit, wide)):
+        allowed = open_ & (creator_used < s.max_same_creator)
+        if step < s.tag_cap_window:
+            full = tag_used >= s.max_same_tag
             if full.any():
-                ok &= ~self.has_tag[:, full].any(axis=1)
-        return ok
-
-    def take(self, i: int, relaxed: bool) -> None:
-        if len(self.chosen) < self.s.tag_cap_window:
-            self.tag_used += self.has_tag[i]
-        creator = self.creators[i]
-        if creator >= 0:
-            self.creator_used[creator] += 1
-            if self.creator_used[creator] >= self.s.max_same_creator:
-                self.creator_full |= self.creators == creator
-        self.chosen.append((i, float(self.penalty()[i]), relaxed))
-        self.open[i] = False
-        self.closest = np.maximum(self.closest, self.unit @ self.unit[i])
-
-    def run(self, limit: int):
-        while len(self.chosen) < limit:
-            ok = self.allowed()
-            if not ok.any():
-                break
-            self.take(int(np.argmax(np.where(ok, self.base - self.penalty(), -np.inf))), False)
-        for i in np.argsort(-self.base, kind="stable"):
-            if len(self.chosen) >= limit:
-                break
-            if self.open[i]:
-                self.take(int(i), True)
-        return self.chosen
+                allowed &= ~(tags & full[:, None, :]).any(axis=2)
+        relaxed |= ~allowed.any(axis=1)
+        penalty = s.diversity_lambda * closest
+        worth = np.where(allowed, score - penalty, -np.inf)
+        if relaxed.any():
+            worth[relaxed] = np.where(open_[relaxed], score[relaxed], -np.inf)
+        best = worth.argmax(axis=1)
+        valid = open_[everyone, best]
+        found.append((edges[:-1] + best, np.full(n, step + 1, dtype=np.int32), penalty[everyone, best], relaxed.copy(), valid))
+        if step < s.tag_cap_window:
+            tag_used += tags[everyone, best] & valid[:, None]
+        chosen = creator[everyone, best]
+        creator_used += (creator == chosen[:, None]) & (chosen >= 0)[:, None]
+        open_[everyone, best] = False
+        np.maximum(closest, np.einsum("ucd,ud->uc", unit, unit[everyone, best]), out=closest)
+    if not found:
+        return np.zeros(0, "i8"), np.zeros(0, "i4"), np.zeros(0), np.zeros(0, bool)
+    *columns, valid = (np.stack(x, axis=1).ravel() for x in zip(*found))
+    return [c[valid] for c in columns]
 
 
 def rerank(scored: DataFrame, limit: int, s: Settings) -> DataFrame:
-    """``scored`` needs user_id, item_id, base_score, creator_id, div_slots, vector."""
+    """``scored`` needs user_id, item_id, base_score, creator_id, div_slots, vector. For candidates that name items of a table, ``user_slices`` moves less."""
 
     def one_user(t: pa.Table) -> pa.Table:
         t = t.sort_by("item_id")
@@ -85,25 +76,21 @@ def rerank(scored: DataFrame, limit: int, s: Settings) -> DataFrame:
         code = {c: j for j, c in enumerate(sorted({n for n in names if n}))}
         creators = np.array([code.get(n, -1) for n in names])
         slots = t["div_slots"].combine_chunks()
-        owner = np.repeat(np.arange(len(slots)), slots.value_lengths().to_numpy(zero_copy_only=False))
-        used = slots.flatten().to_numpy(zero_copy_only=False).astype(int)
-        tags = np.zeros((len(slots), int(used.max(initial=0)) + 1), dtype=bool)
-        tags[owner, used] = True
-        chosen = _Picker(base, matrix, creators, tags, s).run(limit)
-        rows = pa.array([c[0] for c in chosen], pa.int64())
-        penalty = np.array([c[1] for c in chosen])
-        picked = t.select(["user_id", "item_id", "creator_id", "base_score"]).take(rows)
-        score = picked["base_score"].to_numpy()
+        sizes = slots.value_lengths().to_numpy(zero_copy_only=False)
+        div = np.full((len(slots), int(sizes.max(initial=0))), -1)
+        div[np.repeat(np.arange(len(slots)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = slots.flatten().to_numpy(zero_copy_only=False)
+        at, rank, penalty, relaxed = pick(base, matrix, creators, div, np.array([0, len(base)]), limit, s)
+        picked = t.select(["user_id", "item_id", "creator_id", "base_score"]).take(pa.array(at, pa.int64()))
         return pa.table(
             {
                 "user_id": picked["user_id"],
                 "item_id": picked["item_id"],
-                "rank": pa.array(np.arange(1, len(chosen) + 1), pa.int32()),
+                "rank": pa.array(rank, pa.int32()),
                 "creator_id": picked["creator_id"],
                 "base_score": picked["base_score"],
                 "diversity_penalty": pa.array(penalty, pa.float64()),
-                "final_score": pa.array(score - penalty, pa.float64()),
-                "relaxed": pa.array([c[2] for c in chosen], pa.bool_()),
+                "final_score": pa.array(base[at] - penalty, pa.float64()),
+                "relaxed": pa.array(relaxed, pa.bool_()),
             }
         )
 

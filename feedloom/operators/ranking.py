@@ -8,10 +8,9 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.config import RANK_TERMS, Settings
-from feedloom.functions import hashing as X
-from feedloom.functions import vectors as V
-from feedloom.session import materialise
+from feedloom.config import RANK_TERMS, SOURCE_ORDER, Settings
+from feedloom.operators import user_slices
+from feedloom.operators.pairwise import Sizes
 
 FEATURES = (
     "content_similarity", "tag_affinity", "affinity", "creator_affinity", "popularity", "freshness", "fatigue",
@@ -20,21 +19,12 @@ FEATURES = (
 SCORE_DIGITS = 12
 
 
-def _tag_affinity(profile: Column, slots: Column) -> Column:
-    """Mean profile value over the item's preference tags; 0 without tags."""
-    total = F.aggregate(slots, F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(profile, i), F.lit(0.0)))
-    return F.when(F.size(slots) > 0, total / F.size(slots)).otherwise(F.lit(0.0))
+def source_bits(sources: Column) -> Column:
+    return reduce(add, (F.when(F.array_contains(sources, x), F.lit(1 << i)).otherwise(F.lit(0)) for i, x in enumerate(SOURCE_ORDER)))
 
 
-def _fatigue(s: Settings) -> Column:
-    """Largest share of the recent window taken by the item's creator or one of its tags, scaled by window fill."""
-    n = F.coalesce(F.col("recent_size"), F.lit(0))
-    by_creator = F.size(F.filter("recent_creators", lambda c: c == F.col("creator_id")))
-    creator = F.when(F.length("creator_id") > 0, by_creator).otherwise(F.lit(0))
-    tags = F.coalesce(F.array_max(F.transform("div_slots", lambda i: F.get("recent_slots", i))), F.lit(0))
-    most = F.greatest(creator, tags).cast("double")
-    fill = F.least(F.lit(1.0), n / F.lit(float(s.fatigue_window_items)))
-    return F.when(n > 0, most / n * fill).otherwise(F.lit(0.0))
+def source_names(bits: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(x)) for i, x in enumerate(SOURCE_ORDER)]))
 
 
 def score_candidates(
@@ -45,71 +35,17 @@ def score_candidates(
     repetition: DataFrame,
     s: Settings,
     newcomers: bool = False,
+    size: Sizes | None = None,
 ) -> DataFrame:
-    """Seven weighted terms per candidate.
+    """Seven weighted terms per candidate; of ``sources``, the names in ``SOURCE_ORDER`` are kept.
 
-    Join order keeps rows narrow for as long as possible: creator affinity is looked up on bare ids, then the
-    item side is attached, and the user side comes last, which leaves the result partitioned by user for the
-    per-user re-ranking.
-
-    ``newcomers`` says that many users are cold and have no recent items: their personal terms are zero, so their candidates are scored
-    apart, without a user side, and neither they nor their items' vectors are moved for it.
+    Candidates go to slices of users as bare ids, see ``user_slices``. A user without history costs one narrow row there, so ``newcomers`` (many
+    users are cold and have no recent items) needs no plan of its own any more.
     """
-    if newcomers:
-        recent = repetition.select("user_id")
-        cold = profiles.where("is_cold_start").join(recent, "user_id", "left_anti")
-        blank = materialise(cold.select("user_id", X.user_state(F.col("user_id")).alias("_hs")))
-        rest = profiles.join(blank, "user_id", "left_anti")
-        known = _featured(candidates.join(rest.select("user_id"), "user_id", "left_semi"), items, rest, affinity, repetition, s)
-        return _weighted(known.unionByName(_featured_blank(candidates.join(blank, "user_id"), items)), s)
-    return _weighted(_featured(candidates, items, profiles, affinity, repetition, s), s)
-
-
-_ITEM_SIDE = ("creator_id", "creator_handle", "external_id", "div_tags", "div_slots", "vector")
-
-
-def _featured_blank(candidates: DataFrame, items: DataFrame) -> DataFrame:
-    zero = F.lit(0.0)
-    return candidates.join(items, "item_id").select(
-        "user_id", "item_id", "sources", *_ITEM_SIDE,
-        *[zero.alias(x) for x in ("content_similarity", "tag_affinity", "creator_affinity")], "popularity", "freshness", zero.alias("fatigue"),
-        X.unit_hash(F.col("_hs"), F.col("hash_codes")).alias("exploration"), "quality", "quality_available",
-    )
-
-
-def _featured(candidates: DataFrame, items: DataFrame, profiles: DataFrame, affinity: DataFrame, repetition: DataFrame, s: Settings) -> DataFrame:
-    creators = items.select("item_id", "creator_id")
-    narrow = (
-        candidates.join(creators, "item_id")
-        .join(affinity.select("user_id", "creator_id", F.col("score").alias("_ca")), ["user_id", "creator_id"], "left")
-        .drop("creator_id")
-    )
-    user_side = profiles.select(
-        "user_id", F.col("vector").alias("_p"), V.norm(F.col("vector")).alias("_pn"), "is_cold_start",
-        X.user_state(F.col("user_id")).alias("_hs"),
-    ).join(repetition, "user_id", "left")
-    joined = narrow.join(items, "item_id").join(user_side, "user_id")
-    warm = ~F.col("is_cold_start")
-
-    def personal(x: Column) -> Column:
-        return F.when(warm, V.finite_or_zero(x)).otherwise(F.lit(0.0))
-
-    raw = joined.withColumn("_dot", V.dot(F.col("_p"), F.col("vector"))).withColumn(
-        "_ta", _tag_affinity(F.col("_p"), F.col("tag_slots"))
-    )
-    similarity = V.cosine_from(F.col("_dot"), F.col("_pn"), F.col("vector_norm"))
-    return raw.select(
-        "user_id", "item_id", "sources", *_ITEM_SIDE,
-        personal(similarity).alias("content_similarity"),
-        personal(F.col("_ta")).alias("tag_affinity"),
-        F.when(F.length("creator_id") > 0, personal(F.coalesce("_ca", F.lit(0.0)))).otherwise(F.lit(0.0)).alias("creator_affinity"),
-        "popularity",
-        "freshness",
-        _fatigue(s).alias("fatigue"),
-        X.unit_hash(F.col("_hs"), F.col("hash_codes")).alias("exploration"),
-        "quality",
-        "quality_available",
-    )
+    size = size or Sizes.of(profiles, items)
+    asked = candidates.select("user_id", "item_id", source_bits(F.col("sources")).alias("bits"))
+    terms = user_slices.scored_terms(asked, items, profiles, affinity, repetition, size.users, size.items, s)
+    return _weighted(terms.withColumn("sources", source_names(F.col("bits"))).drop("bits"), s)
 
 
 def _weighted(terms: DataFrame, s: Settings) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from feedloom.config import Settings
 from feedloom.operators import feeds
-from feedloom.operators.diversity import rerank
 from feedloom.plans.recommend import Inputs, diagnostics, recommend
 from feedloom.session import materialise
 from feedloom.sources.read import read_or_empty
@@ -92,9 +91,6 @@ def build_feeds(
     verdicts = materialise(feeds.guard_jobs(jobs, current(), live()))
     todo = verdicts.where(F.col("verdict") == "build").drop("verdict")
     run = recommend(inputs, s.feed_size, todo.select("user_id"))
-    if with_sidecar:  # ranking and explanations read the same scores, so they are computed once
-        run.scored = materialise(run.scored.drop(*_NAMES))
-        run.selected = rerank(run.scored, s.feed_size, s)
     run.selected = materialise(run.selected)
     info = diagnostics(run, s.feed_size)
     late = materialise(feeds.guard_jobs(todo, current(), live()))
@@ -104,7 +100,8 @@ def build_feeds(
     if with_sidecar:
         ids = generations.select("user_id", "feed_id", "epoch", "generated_at")
         named = run.selected.join(run.items.select("item_id", *_NAMES), "item_id")
-        sidecar = feeds.explanations(named, run.scored).join(ids, "user_id")
+        shown = run.candidates.join(run.selected.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
+        sidecar = feeds.explanations(named, run.score(shown)).join(ids, "user_id")
     skipped = verdicts.where(F.col("verdict") != "build").unionByName(late.where(F.col("verdict") != "build"))
     return Build(generations, sidecar, skipped)
 

@@ -11,12 +11,12 @@ from feedloom.functions import signals as G
 from feedloom.functions import vectors as V
 from feedloom.operators import candidates as C
 from feedloom.operators import catalogue as K
-from feedloom.operators import diversity as Y
 from feedloom.operators import encoding as E
 from feedloom.operators import history as H
 from feedloom.operators import pairwise as W
 from feedloom.operators import profiles as P
 from feedloom.operators import ranking as R
+from feedloom.operators import user_slices
 from feedloom.plans import oracles as O
 from feedloom.plans.recommend import Inputs, diagnostics, recommend
 from feedloom.plans.registry import query
@@ -429,8 +429,8 @@ def recommended_dense(spark, d):
     i = dense_inputs(spark, d)
     base, _, items, size = _base(i)
     near = C.similar_source(base, items, i.seen, size, S)
-    scored = near.join(items, "item_id").withColumn("base_score", F.round("score", R.SCORE_DIGITS))
-    return Y.rerank(scored, 20, S)
+    scored = near.select("user_id", "item_id", F.round("score", R.SCORE_DIGITS).alias("base_score"))
+    return user_slices.reranked(scored, items, size.users, size.items, S.source_limits["similar"], 20, S)
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -16,6 +17,7 @@ from feedloom.operators import encoding as E
 from feedloom.operators import history as H
 from feedloom.operators import profiles as P
 from feedloom.operators import ranking as R
+from feedloom.operators import user_slices
 from feedloom.operators.pairwise import Sizes
 from feedloom.session import materialise, materialise_all
 from feedloom.taxonomy import Taxonomy
@@ -105,11 +107,16 @@ class Inputs:
 class Recommendation:
     base: DataFrame
     candidates: DataFrame
-    scored: DataFrame
+    score: Callable[[DataFrame], DataFrame]
     selected: DataFrame
     items: DataFrame
     seen: DataFrame
 
+    @property
+    def scored(self) -> DataFrame:
+        """All candidates with their terms. ``selected`` does not read it: it scores and selects in one pass."""
+        return self.score(self.candidates)
+
 
 def recommend(inputs: Inputs, limit: int, users: DataFrame | None = None) -> Recommendation:
     """Candidates, scores and the diversified list. ``users`` (user_id) overrides the users of ``inputs``.
@@ -131,8 +138,9 @@ def recommend(inputs: Inputs, limit: int, users: DataFrame | None = None) -> Rec
         H.recent_repetition(H.recent_items(inputs.user_events, items, s), items, inputs.tax.dim),
     )
     cand = materialise(C.union_sources(listed.unionByName(similar).unionByName(explore)))
-    scored = R.score_candidates(cand, items, profiles, affinity, repetition, s, newcomers=inputs.users is not None)
-    return Recommendation(base, cand, scored, Y.rerank(scored, limit, s), items, inputs.seen)
+    sides = (items, profiles, affinity, repetition)
+    selected = user_slices.selected(cand, *sides, size.users, size.items, limit, s)
+    return Recommendation(base, cand, lambda rows: R.score_candidates(rows, *sides, s, size=size), selected, items, inputs.seen)
 
 
 def diagnostics(run: Recommendation, limit: int) -> DataFrame:

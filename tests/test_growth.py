@@ -13,8 +13,11 @@ from feedloom.operators import evaluation as Q
 from feedloom.operators import history as H
 from feedloom.operators import pairwise as W
 from feedloom.operators import ranking as R
+from feedloom.operators import user_slices as U
+from feedloom.operators.diversity import rerank
 from feedloom.operators.ranked_lists import take_unseen
 from feedloom.plans.queries_feed import tag_inputs
+from feedloom.plans.recommend import recommend
 from feedloom.session import materialise
 from feedloom.taxonomy import neutral
 
@@ -75,3 +78,32 @@ def test_newcomers_are_scored_without_a_user_side(spark):
     side = (items, profiles, i.creator_affinity, H.recent_repetition(i.recent, items, i.tax.dim), i.s)
     apart, together = (R.score_candidates(cand, *side, newcomers=x).select("user_id", "item_id", "fatigue", "exploration", "affinity", "base_score") for x in (True, False))
     assert apart.count() == together.count() and apart.exceptAll(together).isEmpty()
+
+
+def test_items_are_moved_once_to_a_slice_of_users(spark):
+    """Each candidate used to carry its item's vector to its user; now a slice takes an item once, and lists equal those of the plain way."""
+    i = tag_inputs(spark, "/root/testdata/sf0.001")
+    run = recommend(i, 12)
+    assert "FlatMapGroupsInArrow" not in run.selected._jdf.queryExecution().executedPlan().toString()
+    cand = materialise(run.candidates)
+    items = run.items.select("item_id", "creator_id", "div_slots", "vector")
+    side = items.select("item_id", U._body(F.col("vector")), U._named(F.col("creator_id")))
+    for n_users, n_items in ((15, 200), (15, 10**9), (640, 10**9)):  # all items, and those that candidates name
+        dealt = U._sliced(cand.select("user_id", "item_id", F.lit(0).alias("bits"), F.lit(0.0).alias("score")), side, [], n_users, n_items, 500).where(F.size("body") > 0)
+        assert dealt.groupBy("slice", "a").count().where("count > 1").isEmpty() and dealt.count() <= cand.count()
+    scored = run.score(cand).join(items, "item_id")
+    columns = ("user_id", "item_id", "rank", "creator_id", "relaxed")
+    fast, plain = run.selected.select(*columns), rerank(scored, 12, i.s).select(*columns)
+    assert fast.count() > 0 and fast.exceptAll(plain).isEmpty() and plain.exceptAll(fast).isEmpty()
+
+
+def test_unknown_users_items_and_creators_are_scored_without(spark):
+    i = tag_inputs(spark, "/root/testdata/sf0.001")
+    items, profiles = materialise(i.ranking_items), materialise(i.profiles)
+    first = items.orderBy("item_id").first().item_id
+    user = profiles.orderBy("user_id").first().user_id
+    rows = [(user, first, ["tag", "fresh"]), (user, -5, ["tag"]), (10**12, first, ["tag"]), (None, first, ["tag"]), (user, None, ["tag"])]
+    cand = spark.createDataFrame(rows, "user_id bigint, item_id bigint, sources array<string>")
+    none = i.creator_affinity.limit(0), H.recent_repetition(i.recent, items, i.tax.dim).limit(0)
+    got = R.score_candidates(cand, items, profiles, *none, i.s).collect()
+    assert [(r.user_id, r.item_id, r.sources, r.creator_affinity, r.fatigue) for r in got] == [(user, first, ["tag", "fresh"], 0.0, 0.0)]
