@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.config import ACCEPTED_EVENT_TYPES
 from feedloom.functions.media import salvage_json
 from feedloom.operators.encoding import item_tags
+from feedloom.session import materialise
 from feedloom.taxonomy import Taxonomy
 
 ID_PATTERN = r"^[0-9]+$"
@@ -112,12 +113,14 @@ def features_from_json(text: Column, tax: Taxonomy) -> Column:
 def ingest_answers(answers: DataFrame, tax: Taxonomy) -> tuple[DataFrame, DataFrame]:
     """Model answers ``(item_id, answer, frames_used)`` -> (accepted features, repair list).
 
-    The repair list carries the failure kind and the messages a second attempt would be shown.
+    The repair list carries the failure kind and the messages a second attempt would be shown. Parsed answers are written once: read from the plan, every
+    field of every branch would salvage and parse the text again.
     """
     salvaged = answers.withColumn("json", salvage_json(F.col("answer")))
     parsed = salvaged.withColumn("valid_json", F.try_parse_json("json").isNotNull()).withColumn(
         "features", F.when(F.col("valid_json"), features_from_json(F.col("json"), tax))
     )
+    parsed = materialise(parsed.select("item_id", "frames_used", "valid_json", "features"))
     usable = parsed.where((F.col("frames_used") > 0) & F.col("valid_json")).select("item_id", "features.*")
     issues = (
         feature_issues(usable, tax)

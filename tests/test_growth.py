@@ -14,6 +14,7 @@ from feedloom.operators import history as H
 from feedloom.operators import pairwise as W
 from feedloom.operators import ranking as R
 from feedloom.operators import user_slices as U
+from feedloom.operators import validation as L
 from feedloom.operators.diversity import rerank
 from feedloom.operators.ranked_lists import take_unseen
 from feedloom.plans.queries_feed import tag_inputs
@@ -107,3 +108,12 @@ def test_unknown_users_items_and_creators_are_scored_without(spark):
     none = i.creator_affinity.limit(0), H.recent_repetition(i.recent, items, i.tax.dim).limit(0)
     got = R.score_candidates(cand, items, profiles, *none, i.s).collect()
     assert [(r.user_id, r.item_id, r.sources, r.creator_affinity, r.fatigue) for r in got] == [(user, first, ["tag", "fresh"], 0.0, 0.0)]
+
+
+def test_answers_are_parsed_once(spark):
+    """Every field of every branch used to salvage and parse the answer's text again."""
+    answers = spark.createDataFrame([(1, '{"size_band":"small"}', 6), (2, "no json", 6)], "item_id bigint, answer string, frames_used int")
+    accepted, repairs = L.ingest_answers(answers, neutral())
+    for frame in (accepted, repairs):
+        assert "from_json" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert accepted.isEmpty() and {(r.item_id, r.kind) for r in repairs.collect()} == {(1, "schema_validation"), (2, "invalid_json")}
