@@ -100,24 +100,32 @@ def list_sources(
     for r, a in zip(rows[1:], asks[1:]):
         lists, requests = lists.unionByName(r), requests.unionByName(a)
     ordered = list_positions(lists, [F.desc("key"), F.col("item_id")], size.items, s.list_head)
-    return take_unseen(requests, ordered, seen, tax.dim + 2, size.items, {k: s.source_limits[k] for k in which}, s)
+    return take_unseen(requests, ordered, seen, tax.dim + 2, size.items, {k: s.source_limits[k] for k in which}, s, size.users)
 
 
-def union_sources(per_source: DataFrame) -> DataFrame:
-    """One row per (user, item) with every source that produced it, in fixed order.
+def source_bits(per_source: DataFrame) -> DataFrame:
+    """One row per (user, item) with one bit per source that produced it.
 
     Every source draws from eligible items alone, so nothing is joined here: the rows combine before their one exchange, on (user, item).
     """
     bit = F.coalesce(*[F.when(F.col("source") == x, F.lit(1 << i)) for i, x in enumerate(SOURCE_ORDER)])
-    found = per_source.groupBy("user_id", "item_id").agg(F.bit_or(bit).alias("bits"))
+    return per_source.groupBy("user_id", "item_id").agg(F.bit_or(bit).alias("bits"))
+
+
+def union_sources(per_source: DataFrame) -> DataFrame:
+    """One row per (user, item) with every source that produced it, in fixed order."""
     names = [F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(x)) for i, x in enumerate(SOURCE_ORDER)]
-    return found.select("user_id", "item_id", F.array_compact(F.array(*names)).alias("sources"))
+    return source_bits(per_source).select("user_id", "item_id", F.array_compact(F.array(*names)).alias("sources"))
 
 
 def candidate_counts(base: DataFrame, candidates: DataFrame, eligible: DataFrame, seen: DataFrame, limit: int) -> DataFrame:
-    """Per user: rows per source, unique candidates, eligible and seen counts, and whether the corpus ran short."""
+    """Per user: rows per source, unique candidates, eligible and seen counts, and whether the corpus ran short. ``candidates`` name their sources or have their bits."""
+
+    def has(i: int, source: str):
+        return F.col("bits").bitwiseAND(F.lit(1 << i)) != 0 if "bits" in candidates.columns else F.array_contains("sources", source)
+
     per_user = candidates.groupBy("user_id").agg(
-        *[F.count_if(F.array_contains("sources", x)).alias(f"n_{x}") for x in SOURCE_ORDER],
+        *[F.count_if(has(i, x)).alias(f"n_{x}") for i, x in enumerate(SOURCE_ORDER)],
         F.count(F.lit(1)).alias("unique_candidates"),
     )
     seen_eligible = (

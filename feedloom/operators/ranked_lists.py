@@ -7,12 +7,15 @@ events and never users x items. Positions come from one distributed sort, with n
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.config import Settings
 from feedloom.session import materialise
 
+_TASK_USERS = 1024
 _ROW_BITS = 33
 _POS_BITS = 48  # list positions stay below 2^48, priorities above
 
@@ -48,20 +51,23 @@ def list_positions(rows: DataFrame, order: list[Column], longest: int | None = N
 
 
 def take_unseen(
-    requests: DataFrame, lists: DataFrame, seen: DataFrame, n_lists: int, longest: int, limits: dict[str, int], s: Settings
+    requests: DataFrame, lists: DataFrame, seen: DataFrame, n_lists: int, longest: int, limits: dict[str, int], s: Settings, n_users: int | None = None
 ) -> DataFrame:
     """First K unseen items per (user, source).
 
     ``requests``: (user_id, source, list_key, priority, seen_count); a source may name several lists, tried in
     ``priority`` order. ``n_lists`` bounds the number of lists (vocabulary size plus a constant) and ``longest``
     the length of any of them (the item count). Requests marked ``alone`` (optional column) are the only one of their user and source:
-    with nothing seen the head of their list is the answer, and no row of it is moved.
+    with nothing seen the head of their list is the answer, and no row of it is moved. ``n_users`` (optional) fixes how many tasks share the work: requests are
+    few bytes, by which Spark would choose few tasks, but each pulls hundreds of rows.
 
     A list is skipped when an earlier one alone is long enough to fill the user's limit.
 
     The head of every list is at most ``n_lists * list_head`` rows and is broadcast when that bound fits;
     beyond the head only users with long histories remain, and those rows join by shuffle.
     """
+    if n_users is not None:
+        requests = requests.repartition(max(1, math.ceil(n_users / _TASK_USERS)), "user_id")
     if "alone" not in requests.columns:
         requests = requests.withColumn("alone", F.lit(False))
     chunk = F.floor((F.col("pos") - 1) / s.list_chunk)

@@ -31,13 +31,14 @@ DENSE = [f"d:{i}" for i in range(64)]
 def tag_inputs(spark, d, s: Settings = S) -> Inputs:
     """Everything in the vocabulary's own space. Vectors are a stored table, as they are in production."""
     tax = T.vocabulary()
-    features = T.item_features(spark, d)
+    items, features = T.catalogue(spark, d)
     vectors = materialise(E.encode_features(features, tax))
-    return Inputs(T.events(spark, d), T.items(spark, d), features, vectors, tax, tax.slot_names, s)
+    return Inputs(T.events(spark, d), items, features, vectors, tax, tax.slot_names, s)
 
 
 def dense_inputs(spark, d, s: Settings = S) -> Inputs:
-    return Inputs(T.events(spark, d), T.items(spark, d), T.item_features(spark, d), T.dense_vectors(spark, d), T.vocabulary(), DENSE, s)
+    items, features = T.catalogue(spark, d)
+    return Inputs(T.events(spark, d), items, features, T.dense_vectors(spark, d), T.vocabulary(), DENSE, s)
 
 
 def _base(i: Inputs):
@@ -318,12 +319,12 @@ def exploration_hash(spark, d):
 def _candidates(i: Inputs):
     base, _, items, size = _base(i)
     listed, similar, explore = materialise_all(*C.generate(base, items, i.seen, i.tax, size, i.s).values())
-    return base, items, C.union_sources(listed.unionByName(similar).unionByName(explore))
+    return base, items, listed.unionByName(similar).unionByName(explore)
 
 
 @query("SELECT user_id, item_id, sources FROM cand")
 def candidates(spark, d):
-    return _candidates(tag_inputs(spark, d))[2]
+    return C.union_sources(_candidates(tag_inputs(spark, d))[2])
 
 
 def _counts_sql(limit: int) -> str:
@@ -342,8 +343,8 @@ _COUNTS = "n_similar, n_tag, n_trending, n_fresh, n_explore, unique_candidates,
 @query(_counts_sql(420), keys="user_id, candidate_shortage", ints=_COUNTS)
 def candidate_counts(spark, d):
     i = tag_inputs(spark, d)
-    base, items, cand = _candidates(i)
-    return C.candidate_counts(base, cand, items, i.seen, 420)
+    base, items, per_source = _candidates(i)
+    return C.candidate_counts(base, C.source_bits(per_source), items, i.seen, 420)
 
 
 # --- ranking ---
@@ -409,7 +410,7 @@ _NEWCOMERS = {
 
 @query("SELECT user_id, item_id, sources FROM cand", _NEWCOMERS)
 def cold_start_candidates(spark, d):
-    return _candidates(_with_newcomers(spark, d))[2]
+    return C.union_sources(_candidates(_with_newcomers(spark, d))[2])
 
 
 @query("SELECT * FROM scored", _NEWCOMERS, keys=_SCORE_KEYS, nums=_SCORE_NUMS)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.session import pin_utc
+from feedloom.session import materialise_all, pin_utc
 from feedloom.taxonomy import Taxonomy, neutral
 
 
@@ -92,5 +92,17 @@ def item_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def catalogue(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """(items, features of items alone), written once and dealt over all tasks by item.
+
+    Narrow columns make small files, which few tasks read however many rows they hold; whatever is computed per item (vectors, tags) would stay in
+    those tasks. Parts that are no items are dropped before anything is computed for them.
+    """
+    known = items(spark, sf_dir)
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"))
+    features = item_features(spark, sf_dir).join(ids, "item_id", "left_semi")
+    return materialise_all(known.repartition("item_id"), features.repartition("item_id"))
+
+
 def vocabulary() -> Taxonomy:
     return neutral()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedloom.config import Settings
 from feedloom.functions import hashing as X
+from feedloom.operators import candidates as C
 from feedloom.operators import evaluation as Q
 from feedloom.operators import history as H
 from feedloom.operators import pairwise as W
@@ -20,6 +21,7 @@ from feedloom.operators.ranked_lists import take_unseen
 from feedloom.plans.queries_feed import tag_inputs
 from feedloom.plans.recommend import recommend
 from feedloom.session import materialise
+from feedloom.sources import tables as T
 from feedloom.taxonomy import neutral
 
 
@@ -133,3 +135,30 @@ def test_best_items_so_far_are_held_as_two_numbers(spark):
     scores = np.round(unit(people) @ unit(items).T, 10)
     want = {(u, int(i), scores[u, i]) for u in range(40) for i in np.argsort(-scores[u], kind="stable")[: u % 9]}
     assert {(int(u), int(i), float(x)) for u, i, x in zip(key >> 36, item, near._score_of(key))} == want
+
+
+def test_features_are_kept_for_items_alone(spark):
+    """Every part used to be encoded, by the few tasks that read a small file, though nine of ten are no items."""
+    i = tag_inputs(spark, "/root/testdata/sf0.01")
+    assert i.features.count() == i.vectors.count() == i.items.count() == 500
+    plain = T.item_features(spark, "/root/testdata/sf0.01").join(i.items, "item_id", "left_semi")
+    assert i.features.drop("confidence").exceptAll(plain.drop("confidence")).isEmpty()
+
+
+def test_requests_are_dealt_by_number_of_users(spark):
+    """4,096 requests are a few kilobytes and used to be one task's, with all the rows they pull."""
+    users = spark.range(4096).select(F.col("id").alias("user_id"), F.lit("fresh").alias("source"), F.lit("fresh").alias("list_key"), F.lit(0).alias("priority"), F.lit(1).alias("seen_count"))
+    lists = spark.range(1, 41).select(F.lit("fresh").alias("list_key"), F.col("id").alias("pos"), (F.col("id") * 10).alias("item_id"), F.lit(40).cast("bigint").alias("list_size"))
+    seen = users.select("user_id", F.lit(10).cast("bigint").alias("item_id"))
+    taken = take_unseen(users, lists, seen, 1, 40, {"fresh": 3}, Settings(), 4096)
+    assert "hashpartitioning(user_id" in (plan := taken._jdf.queryExecution().executedPlan().toString()) and ", 4), REPARTITION_BY_NUM" in plan
+    assert {(r.item_id, r["rank"], r.n) for r in taken.groupBy("item_id", "rank").agg(F.count(F.lit(1)).alias("n")).collect()} == {(20, 1, 4096), (30, 2, 4096), (40, 3, 4096)}
+
+
+def test_sources_are_counted_by_their_bits(spark):
+    i = tag_inputs(spark, "/root/testdata/sf0.001")
+    run = recommend(i, 12)
+    rows = run.candidates.select("user_id", "item_id", F.explode("sources").alias("source"))
+    named, bits = (C.candidate_counts(run.base, c, run.items, run.seen, 420) for c in (run.candidates, C.source_bits(rows)))
+    assert bits.count() == 15 and bits.exceptAll(named).isEmpty()
+    assert "similar" not in C.source_bits(rows).schema.simpleString()
