@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def refreshed_store(spark, d, first_now: str = "2024-01-25 00:00:00"):
     append_events(spark, f"{folder}/log", rows.where(third < 2), _LOG, "first")
     log = spark.read.schema(f"{_LOG}, batch string").parquet(f"{folder}/log")
     i = tag_inputs(spark, d)
-    refresh(store, log, tag_inputs(spark, d, S.but(now=first_now)))
+    refresh(store, log, replace(i, s=S.but(now=first_now)))
     append_events(spark, f"{folder}/log", rows.where(third == 2), _LOG, "second")
     log = spark.read.schema(f"{_LOG}, batch string").parquet(f"{folder}/log")
     refresh(store, log, i)

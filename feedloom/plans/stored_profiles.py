@@ -74,7 +74,7 @@ def rebuild(store: ProfileStore, log: DataFrame, inputs: Inputs) -> None:
     profiles, affinity = _fresh_rows(store, replace(inputs, events=log, users=None, stored=None))
     buckets = max(16, -(-profiles.count() // store.users_per_bucket))
     for rows, name in ((affinity, "affinity"), (profiles, "profiles")):
-        bucketed(rows, "user_id", buckets).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{store.folder}/{name}")
+        bucketed(rows, "user_id", buckets).repartition(buckets, BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{store.folder}/{name}")
     covered = materialise(log.select("batch").distinct().withColumn("buckets", F.lit(buckets)))
     covered.write.mode("overwrite").parquet(f"{store.folder}/batches")  # last: a store without it is built anew
 

@@ -73,7 +73,7 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, schema: st
     touched = incoming.select(BUCKET).distinct()
     kept = stored.join(F.broadcast(touched), BUCKET, "left_semi").join(incoming.select(key), key, "left_anti")
     merged = materialise(kept.select(*incoming.columns).unionByName(incoming))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    merged.repartition(buckets, BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
 def replace_projection(
@@ -90,7 +90,7 @@ def replace_projection(
     kept = stored.join(F.broadcast(touched), BUCKET, "left_semi").join(ids.select(owner), owner, "left_anti")
     merged = materialise(kept.select(*incoming.columns).unionByName(incoming))
     emptied = touched.join(merged.select(BUCKET).distinct(), BUCKET, "left_anti")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    merged.repartition(buckets, BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
     for row in emptied.collect():  # at most ``buckets`` rows
         empty = spark.createDataFrame([], stored.drop(BUCKET).schema)
         empty.write.mode("overwrite").parquet(f"{path}/{BUCKET}={row[BUCKET]}")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.config import Settings
-from feedloom.plans import feed_build, migration, stored_profiles
+from feedloom.plans import feed_build, migration, queries_feed, queries_store, stored_profiles
 from feedloom.plans.queries_feed import tag_inputs
 from feedloom.session import materialise
 from feedloom.sources import key_index, sinks
@@ -280,3 +280,14 @@ def test_selection_equals_sorting(spark, seed, monkeypatch):
     assert all(np.isclose(mid[g], np.quantile(columns[g], 0.3)) for g in mid) and len(mid) == 3
     plan = quantiles.nearest_rank(df, "g", "v", "k", (50,))._jdf.queryExecution().toString()
     assert "rangepartitioning" not in plan
+
+
+def test_a_refreshed_store_has_one_file_a_bucket_and_encodes_once(spark, monkeypatch):
+    """Every task used to write a file into every bucket, and the catalogue was read and encoded for each of the two builds."""
+    encoded, plain = [], queries_feed.E.encode_features
+    monkeypatch.setattr(queries_feed.E, "encode_features", lambda *a: encoded.append(1) or plain(*a))
+    store, _ = queries_store.refreshed_store(spark, SF.replace("sf0.001", "sf0.01"))
+    assert len(encoded) == 1
+    for name in ("profiles", "affinity"):
+        folders = [f for f in os.listdir(f"{store.folder}/{name}") if f.startswith("bucket=")]
+        assert len(folders) > 10 and all(sum(x.endswith(".parquet") for x in os.listdir(f"{store.folder}/{name}/{f}")) == 1 for f in folders)
