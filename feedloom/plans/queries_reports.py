@@ -19,7 +19,7 @@ from feedloom.plans.feed_build import build_feeds
 from feedloom.plans.queries_feed import _counts_sql, tag_inputs
 from feedloom.plans.recommend import recommend
 from feedloom.plans.registry import query
-from feedloom.session import materialise, shared_folder
+from feedloom.session import materialise, materialise_all, shared_folder
 from feedloom.sources import tables as T
 from feedloom.sources.sinks import append_events
 from feedloom.streaming import intake, profile_state, trending
@@ -605,7 +605,7 @@ def _chunked_replay(spark, d, resend: bool = False, chunks: int = 10):
     times = F.when(F.col("event_id") % 20 == 0, 2).otherwise(1) if resend else F.lit(1)
     copies = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), times)))
     dealt = copies.withColumn("chunk", F.pmod(F.xxhash64("event_id", "_n"), F.lit(chunks)).cast("int")).drop("_n")
-    dealt.repartition(chunks, "chunk").write.partitionBy("chunk").parquet(out)
+    dealt.repartitionById(chunks, F.col("chunk")).write.partitionBy("chunk").parquet(out)
     return intake.read_events(spark, f"{out}/*", dealt.drop("chunk").schema, fmt="parquet")
 
 
@@ -665,8 +665,8 @@ def _raw_replay(spark, d):
 
 def _quarantined(spark, d) -> str:
     out = _scratch(spark)
-    users = T.events(spark, d).select("user_id").distinct()
-    started = intake.quarantined_intake(_raw_replay(spark, d), lambda _: (users, T.items(spark, d)), f"{out}/log", f"{out}/quarantine", _RECORDED, f"{out}/ck")
+    users, items = materialise_all(T.events(spark, d).select("user_id").distinct(), T.items(spark, d).select("item_id"))  # asked for by each micro-batch
+    started = intake.quarantined_intake(_raw_replay(spark, d), lambda _: (users, items), f"{out}/log", f"{out}/quarantine", _RECORDED, f"{out}/ck")
     started.awaitTermination()
     return out
 

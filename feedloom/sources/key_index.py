@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from feedloom.session import materialise
 from feedloom.sources.read import read_or_empty
 
-BITS_PER_KEY, PROBES = 32, 20
+BITS_PER_KEY, PROBES, _AT_ONCE = 32, 20, 65_536
 #: Hash buckets of an index. A task holds the filters of one bucket, and the keys of one bucket of one batch.
 BUCKETS = 16
 
@@ -29,15 +29,22 @@ def _places(h1: np.ndarray, h2: np.ndarray, size: int) -> np.ndarray:
 def make_filter(h1: np.ndarray, h2: np.ndarray) -> bytes:
     size = max(64, BITS_PER_KEY * len(h1))
     bits = np.zeros(size, bool)
-    bits[_places(h1, h2, size).ravel()] = True
+    for a in range(0, len(h1), _AT_ONCE):
+        bits[_places(h1[a : a + _AT_ONCE], h2[a : a + _AT_ONCE], size).ravel()] = True
     return np.array([size], "<u8").tobytes() + np.packbits(bits).tobytes()
 
 
 def may_hold(packed: bytes, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     size = int(np.frombuffer(packed, "<u8", 1)[0])
-    at = _places(h1, h2, size)
     raw = np.frombuffer(packed, np.uint8, offset=8)
-    return ((raw[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
+    left = np.arange(len(h1))  # each probe drops about half of the new keys
+    at, step, wide = h1.astype(np.uint64), h2.astype(np.uint64) | np.uint64(1), np.uint64(size)
+    for k in range(PROBES):
+        place = (at[left] + np.uint64(k) * step[left]) % wide
+        left = left[((raw[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7))).astype(np.uint8)) & 1) == 1]
+    held = np.zeros(len(h1), bool)
+    held[left] = True
+    return held
 
 
 def _hashed(keys: DataFrame, key: str, buckets: int) -> DataFrame:

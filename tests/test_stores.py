@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.config import Settings
-from feedloom.plans import feed_build, migration, queries_feed, queries_store, stored_profiles
+from feedloom.plans import feed_build, migration, queries_feed, queries_reports, queries_store, stored_profiles
 from feedloom.plans.queries_feed import tag_inputs
 from feedloom.session import materialise
 from feedloom.sources import key_index, sinks
@@ -291,3 +291,34 @@ def test_a_refreshed_store_has_one_file_a_bucket_and_encodes_once(spark, monkeyp
     for name in ("profiles", "affinity"):
         folders = [f for f in os.listdir(f"{store.folder}/{name}") if f.startswith("bucket=")]
         assert len(folders) > 10 and all(sum(x.endswith(".parquet") for x in os.listdir(f"{store.folder}/{name}/{f}")) == 1 for f in folders)
+
+
+def test_a_micro_batch_is_checked_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A batch from one file was checked by the one task that read it."""
+    plans, plain = [], intake.validated
+    monkeypatch.setattr(intake, "validated", lambda rows, *refs: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or plain(rows, *refs))
+    stream = raw(spark, [[row("a"), row(None), row("b", user="x")]], str(tmp_path / "in"))
+    users, items = spark.createDataFrame([(1,)], "user_id long"), spark.createDataFrame([(1,)], "item_id long")
+    log, bad = str(tmp_path / "log"), str(tmp_path / "bad")
+    intake.quarantined_intake(stream, lambda s: (users, items), log, bad, RECORDED, str(tmp_path / "ck")).awaitTermination()
+    assert plans and all("RepartitionByExpression [event_id" in p for p in plans)
+    assert spark.read.schema(RECORDED).parquet(log).count() == 2 and intake.read_quarantine(spark, bad, RAW).count() == 1
+
+
+def test_accepted_rows_need_the_log_once_for_references(spark, monkeypatch):
+    """Each of ten micro-batches used to read the whole log again to learn who its users are."""
+    asked, plain = [], intake.quarantined_intake
+    monkeypatch.setattr(intake, "quarantined_intake", lambda stream, references, *rest: asked.append(references(spark)) or plain(stream, references, *rest))
+    queries_reports.stream_accepted(spark, SF)
+    assert not any("events.parquet" in f or "part.parquet" in f for side in asked[0] for f in side.inputFiles())
+
+
+def test_probing_stops_early_and_filters_are_built_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    h1, h2 = (rng.integers(-(2**63), 2**63 - 1, 4000) for _ in range(2))
+    whole = key_index.make_filter(h1[:2000], h2[:2000])
+    monkeypatch.setattr(key_index, "_AT_ONCE", 300)
+    assert key_index.make_filter(h1[:2000], h2[:2000]) == whole
+    at = key_index._places(h1, h2, 64_000)
+    bits = np.unpackbits(np.frombuffer(whole, np.uint8, offset=8))
+    assert (key_index.may_hold(whole, h1, h2) == (bits[at.astype(np.int64)] == 1).all(axis=1)).all()
