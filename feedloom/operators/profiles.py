@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.config import Settings
@@ -80,13 +80,23 @@ def build_profiles(hist: DataFrame, vectors: DataFrame, slot_names: list[str], v
 def with_cold_users(profiles: DataFrame, users: DataFrame, slot_names: list[str], version: int) -> DataFrame:
     """A profile for every user of ``users`` (user_id): those without one get the zero vector and are cold."""
     known = profiles.withColumn("_known", F.lit(True))
+    defaults = _cold(slot_names, version)
+    kept = [F.when(F.col("_known"), F.col(c)).otherwise(defaults[c].cast(profiles.schema[c].dataType)).alias(c) for c in profiles.columns if c != "user_id"]
+    return users.select("user_id").distinct().join(known, "user_id", "left").select("user_id", *kept)
+
+
+def cold_profiles(users: DataFrame, like: DataFrame, slot_names: list[str], version: int) -> DataFrame:
+    """The profiles of ``users`` (user_id), none of whom has one, with the columns of ``like``."""
+    defaults = _cold(slot_names, version)
+    return users.select(*[F.col(c) if c == "user_id" else defaults[c].cast(like.schema[c].dataType).alias(c) for c in like.columns])
+
+
+def _cold(slot_names: list[str], version: int) -> dict[str, Column]:
     zero = F.array_repeat(F.lit(0.0), len(slot_names))
-    defaults = {
+    return {
         "taxonomy_version": F.lit(version), "vector": zero, "tag_affinity": V.tag_affinity(zero, slot_names), "interaction_count": F.lit(0), "effective": F.lit(0),
         "positive_signal": F.lit(0.0), "negative_signal": F.lit(0.0), "skipped_no_features": F.lit(0), "is_cold_start": F.lit(True),
     }
-    kept = [F.when(F.col("_known"), F.col(c)).otherwise(defaults[c].cast(profiles.schema[c].dataType)).alias(c) for c in profiles.columns if c != "user_id"]
-    return users.select("user_id").distinct().join(known, "user_id", "left").select("user_id", *kept)
 
 
 def creator_affinity(hist: DataFrame, s: Settings) -> DataFrame:

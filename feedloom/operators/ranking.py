@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.config import RANK_TERMS, SOURCE_ORDER, Settings
-from feedloom.operators import user_slices
+from feedloom.operators import newcomers, user_slices
 from feedloom.operators.pairwise import Sizes
 
 FEATURES = (
@@ -24,7 +24,9 @@ def source_bits(sources: Column) -> Column:
 
 
 def source_names(bits: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(x)) for i, x in enumerate(SOURCE_ORDER)]))
+    """The names behind ``bits``, looked up among all possible lists: they are few, and a list is not built again for every row."""
+    lists = [[x for i, x in enumerate(SOURCE_ORDER) if b >> i & 1] for b in range(1 << len(SOURCE_ORDER))]
+    return F.get(F.array(*[F.array(*map(F.lit, x)).cast("array<string>") for x in lists]), bits)
 
 
 def score_candidates(
@@ -48,6 +50,12 @@ def score_candidates(
     return _weighted(terms.withColumn("sources", source_names(F.col("bits"))).drop("bits"), s)
 
 
+def score_newcomers(users: DataFrame, items: DataFrame, s: Settings, size: Sizes) -> DataFrame:
+    """The candidates of ``users`` (user_id) without history and their scores, as ``score_candidates`` would return them."""
+    terms = newcomers.scored_terms(users, items, size, s)
+    return _weighted(terms.withColumn("sources", source_names(F.col("bits"))).drop("bits"), s)
+
+
 def _weighted(terms: DataFrame, s: Settings) -> DataFrame:
     featured = terms.withColumn("affinity", (F.col("content_similarity") + F.col("tag_affinity")) / 2)
     weighted = [

@@ -318,8 +318,12 @@ def exploration_hash(spark, d):
 
 def _candidates(i: Inputs):
     base, _, items, size = _base(i)
+    return base, items, _drawn(i, base, items, size)
+
+
+def _drawn(i: Inputs, base: DataFrame, items: DataFrame, size: W.Sizes) -> DataFrame:
     listed, similar, explore = materialise_all(*C.generate(base, items, i.seen, i.tax, size, i.s).values())
-    return base, items, listed.unionByName(similar).unionByName(explore)
+    return listed.unionByName(similar).unionByName(explore)
 
 
 @query("SELECT user_id, item_id, sources FROM cand")
@@ -410,7 +414,13 @@ _NEWCOMERS = {
 
 @query("SELECT user_id, item_id, sources FROM cand", _NEWCOMERS)
 def cold_start_candidates(spark, d):
-    return C.union_sources(_candidates(_with_newcomers(spark, d))[2])
+    i = _with_newcomers(spark, d)
+    i.pairs, items = materialise_all(i.pairs, i.ranking_items)
+    i, newcomers, n = i.without_newcomers()
+    profiles = materialise(i.profiles)
+    size = W.Sizes.of(profiles, items)
+    known = C.union_sources(_drawn(i, C.user_base(profiles, i.seen), items, size))
+    return known if newcomers is None else known.unionByName(R.score_newcomers(newcomers, items, S, W.Sizes(n, size.items)).select(*known.columns))
 
 
 @query("SELECT * FROM scored", _NEWCOMERS, keys=_SCORE_KEYS, nums=_SCORE_NUMS)

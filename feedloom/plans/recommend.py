@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import astuple, dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -94,6 +93,19 @@ class Inputs:
     def _served(self, rows: DataFrame) -> DataFrame:
         return rows if self.users is None else rows.join(self.users.select("user_id").distinct(), "user_id", "left_semi")
 
+    def without_newcomers(self) -> tuple[Inputs, DataFrame | None, int]:
+        """These inputs for the users with history, the users (user_id) without an event or stored profile, if any, and how many these are."""
+        if self.users is None:
+            return self, None, 0
+        known = self.pairs.select("user_id") if self.stored is None else self.pairs.select("user_id").union(self.stored[0].select("user_id"))
+        marked = self.users.select("user_id").distinct().join(known.distinct().withColumn("known", F.lit(True)), "user_id", "left")
+        parted = materialise(marked.select("user_id", (F.col("known").isNotNull() | F.col("user_id").isNull()).alias("known")))
+        newcomers = parted.where("NOT known").select("user_id")
+        n = newcomers.count()
+        rest = replace(self, users=parted.where("known").select("user_id"))
+        rest.pairs = self.pairs
+        return (rest, newcomers, n) if n else (self, None, 0)
+
     @cached_property
     def engagement(self) -> DataFrame:
         return H.engagement(self.events, self.s)
@@ -105,17 +117,60 @@ class Inputs:
 
 @dataclass
 class Recommendation:
-    base: DataFrame
-    candidates: DataFrame
-    score: Callable[[DataFrame], DataFrame]
-    selected: DataFrame
+    """``known`` holds the written candidates of users with history. Those of ``newcomers`` (user_id) are made, and scored, by whatever reads them."""
+
+    known: DataFrame
+    profiles: DataFrame
+    newcomers: DataFrame | None
+    affinity: DataFrame
+    repetition: DataFrame
     items: DataFrame
     seen: DataFrame
+    size: Sizes
+    n_newcomers: int
+    inputs: Inputs
+    limit: int
+
+    @cached_property
+    def _everyone(self) -> DataFrame:
+        if self.newcomers is None:
+            return self.profiles
+        return self.profiles.unionByName(P.cold_profiles(self.newcomers, self.profiles, self.inputs.slot_names, self.inputs.tax.version))
+
+    @property
+    def _sides(self) -> tuple[DataFrame, ...]:
+        return self.items, self._everyone, self.affinity, self.repetition
+
+    @property
+    def _all(self) -> Sizes:
+        return Sizes(self.size.users + self.n_newcomers, self.size.items)
+
+    @property
+    def _new(self) -> DataFrame:
+        return R.score_newcomers(self.newcomers, self.items, self.inputs.s, Sizes(self.n_newcomers, self.size.items))
+
+    @cached_property
+    def base(self) -> DataFrame:
+        return C.user_base(self._everyone, self.seen)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return self.known if self.newcomers is None else materialise(self.known.unionByName(self._new.select(*self.known.columns)))
+
+    def score(self, candidates: DataFrame) -> DataFrame:
+        return R.score_candidates(candidates, *self._sides, self.inputs.s, size=self._all)
 
     @property
     def scored(self) -> DataFrame:
         """All candidates with their terms. ``selected`` does not read it: it scores and selects in one pass."""
-        return self.score(self.candidates)
+        if self.newcomers is None:
+            return self.score(self.known)
+        known = R.score_candidates(self.known, self.items, self.profiles, self.affinity, self.repetition, self.inputs.s, size=self.size)
+        return known.unionByName(self._new)
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        return user_slices.selected(self.candidates, *self._sides, *astuple(self._all), self.limit, self.inputs.s)
 
 
 def recommend(inputs: Inputs, limit: int, users: DataFrame | None = None) -> Recommendation:
@@ -128,19 +183,17 @@ def recommend(inputs: Inputs, limit: int, users: DataFrame | None = None) -> Rec
         inputs = replace(inputs, users=materialise(users.select("user_id").distinct()))
     s = inputs.s
     inputs.pairs, items = materialise_all(inputs.pairs, inputs.ranking_items)
+    inputs, newcomers, n_newcomers = inputs.without_newcomers()
     profiles = materialise(inputs.profiles)
     size = Sizes.of(profiles, items)
-    base = C.user_base(profiles, inputs.seen)
-    sources = C.generate(base, items, inputs.seen, inputs.tax, size, s)
+    sources = C.generate(C.user_base(profiles, inputs.seen), items, inputs.seen, inputs.tax, size, s)
     listed, similar, explore, affinity, repetition = materialise_all(
         *sources.values(),
         inputs.creator_affinity,
         H.recent_repetition(H.recent_items(inputs.user_events, items, s), items, inputs.tax.dim),
     )
-    cand = materialise(C.union_sources(listed.unionByName(similar).unionByName(explore)))
-    sides = (items, profiles, affinity, repetition)
-    selected = user_slices.selected(cand, *sides, size.users, size.items, limit, s)
-    return Recommendation(base, cand, lambda rows: R.score_candidates(rows, *sides, s, size=size), selected, items, inputs.seen)
+    known = materialise(C.union_sources(listed.unionByName(similar).unionByName(explore)))
+    return Recommendation(known, profiles, newcomers, affinity, repetition, items, inputs.seen, size, n_newcomers, inputs, limit)
 
 
 def diagnostics(run: Recommendation, limit: int) -> DataFrame:

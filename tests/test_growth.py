@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from feedloom import session
 from feedloom.config import Settings
 from feedloom.functions import hashing as X
 from feedloom.operators import candidates as C
 from feedloom.operators import evaluation as Q
 from feedloom.operators import history as H
+from feedloom.operators import newcomers as N
 from feedloom.operators import pairwise as W
+from feedloom.operators import ranked_lists
 from feedloom.operators import ranking as R
 from feedloom.operators import user_slices as U
 from feedloom.operators import validation as L
 from feedloom.operators.diversity import rerank
 from feedloom.operators.ranked_lists import take_unseen
+from feedloom.plans import recommend as plan
 from feedloom.plans.queries_feed import tag_inputs
 from feedloom.plans.recommend import recommend
 from feedloom.session import materialise
@@ -204,3 +209,69 @@ def test_a_vector_is_moved_once_with_its_items(spark, monkeypatch):
     near = W._Nearest(np.arange(25), np.full(25, 10), people)
     near.add(np.arange(3000), kinds, np.full(30, 100))
     assert sum(len(k) for k, _ in near.found) < 25 * 10 * 12  # 25 x 30 x 10 before, but for ties
+
+
+def test_candidates_of_newcomers_are_not_written(spark, monkeypatch):
+    """Those of users without history used to be written as sources and as candidates, and to cross an exchange for each source, the union and the ranking."""
+    written, plain = [], session.materialise
+    for module in (session, plan, W, ranked_lists):
+        monkeypatch.setattr(module, "materialise", lambda df: written.append(plain(df)) or written[-1])
+
+    def inputs():
+        i = tag_inputs(spark, "/root/testdata/sf0.001")
+        return i, i.events.select("user_id").distinct().union(spark.range(990_000, 990_040).select(F.col("id").alias("user_id")))
+
+    i, users = inputs()
+    i.users = users.union(users)
+    run = recommend(i, 12)
+    scored = plain(run.scored)
+    pairs = [t for t in written if {"user_id", "item_id"} <= set(t.columns)]
+    assert pairs and all(t.where("user_id >= 990000").isEmpty() for t in pairs)
+
+    j, j.users = inputs()  # the plain way: all users take their candidates from lists and joins
+    items, profiles = plain(j.ranking_items), plain(j.profiles)
+    size = W.Sizes.of(profiles, items)
+    base = C.user_base(profiles, j.seen)
+    listed, similar, explore = (x.select("user_id", "item_id", "source") for x in C.generate(base, items, j.seen, j.tax, size, j.s).values())
+    cand = plain(C.union_sources(listed.union(similar).union(explore)))
+    sides = items, profiles, j.creator_affinity, H.recent_repetition(j.recent, items, j.tax.dim)
+    want = plain(R.score_candidates(cand, *sides, j.s))
+    assert want.where("user_id >= 990000").count() > 40 * 100
+
+    def same(a, b):
+        b = b.select(*a.columns)
+        return a.count() == b.count() and a.exceptAll(b).isEmpty()
+
+    assert same(scored, want) and same(run.candidates, cand)
+    assert same(run.base.select("user_id", "vector", "is_cold_start", "seen_count"), base)
+    lists = ("user_id", "item_id", "rank", "creator_id", "relaxed")
+    assert same(run.selected.select(*lists), rerank(want.join(items.select("item_id", "creator_id", "div_slots", "vector"), "item_id"), 12, j.s).select(*lists))
+    monkeypatch.setattr(N, "_HELD_ITEMS", 60)  # a catalogue in parts
+    monkeypatch.setattr(N, "_PACKED", 7)
+    monkeypatch.setattr(N, "_CHUNK_ROWS", 500)
+    assert size.items > 120 and same(plain(run._new), want.where("user_id >= 990000"))
+
+
+def test_best_hashes_of_newcomers_by_items_of_any_length(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    ids = np.unique(np.r_[rng.integers(-900, 1000, 40), rng.integers(10**6, 10**8, 90), [2**63 - 1, -(2**63), 0]])
+    columns = "item_id bigint, created_at timestamp, engagement double, popularity double, freshness double, quality double, quality_available boolean"
+    rows = [(int(x), datetime(2024, 1, 1 + n % 20), 1.0 if n % 9 == 0 else None, 0.5, None if n == 3 else n / 7, 0.0, n % 2 == 0) for n, x in enumerate(ids)]
+    items, people = spark.createDataFrame(rows, columns), [*range(500), -4, 10**12]
+    users = spark.createDataFrame([(u,) for u in [*people, None]], "user_id bigint")
+    grid = X.fnv_grid(X.fnv_states([f"{u}|" for u in people]), [f"{i}|2024-01-31" for i in ids]).astype("i8")
+    order = np.argsort(-grid, axis=1, kind="stable")
+    for k, held in ((11, 10**6), (11, 30), (10**4, 10**6), (0, 10**6)):
+        monkeypatch.setattr(N, "_HELD_ITEMS", held)
+        s = Settings(source_limits={"similar": 1, "tag": 1, "trending": 5, "fresh": 4, "explore": k})
+        got = N.scored_terms(users, items, W.Sizes(len(people) + 1, len(ids)), s).toPandas()
+        assert not got.duplicated(["user_id", "item_id"]).any() and set(got.user_id) == set(people)
+        explored = got[got.bits & 16 > 0]
+        assert set(zip(explored.user_id, explored.item_id)) == {(u, int(ids[i])) for u, best in zip(people, order) for i in best[:k]}
+        at = np.searchsorted(ids, got.item_id)
+        assert (got.exploration * 2**32 == grid[np.searchsorted(people[:500], got.user_id.clip(0, 499)), at])[got.user_id.between(0, 499)].all()
+        assert (got.freshness.isna() == (at == 3)).all() and np.allclose(got.freshness.fillna(3 / 7), at / 7) and (got.quality_available == (at % 2 == 0)).all()
+        for bit, n in ((4, 5), (8, 4)):
+            assert (got[got.bits & bit > 0].groupby("user_id").size() == n).all() and got[got.bits & bit > 0].item_id.nunique() == n
+    empty = items.limit(0)
+    assert N.scored_terms(users, empty, W.Sizes(9, 0), s).isEmpty() and N.scored_terms(users.limit(0), items, W.Sizes(0, 9), s).isEmpty()
