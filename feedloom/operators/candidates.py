@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.config import SOURCE_ORDER, Settings
@@ -103,13 +103,16 @@ def list_sources(
     return take_unseen(requests, ordered, seen, tax.dim + 2, size.items, {k: s.source_limits[k] for k in which}, s, size.users)
 
 
+def source_bit(source: Column) -> Column:
+    return F.coalesce(*[F.when(source == x, F.lit(1 << i)) for i, x in enumerate(SOURCE_ORDER)])
+
+
 def source_bits(per_source: DataFrame) -> DataFrame:
     """One row per (user, item) with one bit per source that produced it.
 
     Every source draws from eligible items alone, so nothing is joined here: the rows combine before their one exchange, on (user, item).
     """
-    bit = F.coalesce(*[F.when(F.col("source") == x, F.lit(1 << i)) for i, x in enumerate(SOURCE_ORDER)])
-    return per_source.groupBy("user_id", "item_id").agg(F.bit_or(bit).alias("bits"))
+    return per_source.groupBy("user_id", "item_id").agg(F.bit_or(source_bit(F.col("source"))).alias("bits"))
 
 
 def union_sources(per_source: DataFrame) -> DataFrame:

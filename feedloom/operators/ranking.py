@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feedloom.config import RANK_TERMS, SOURCE_ORDER, Settings
 from feedloom.operators import newcomers, user_slices
+from feedloom.operators.candidates import source_bit
 from feedloom.operators.pairwise import Sizes
 
 FEATURES = (
@@ -39,13 +40,14 @@ def score_candidates(
     newcomers: bool = False,
     size: Sizes | None = None,
 ) -> DataFrame:
-    """Seven weighted terms per candidate; of ``sources``, the names in ``SOURCE_ORDER`` are kept.
+    """Seven weighted terms per candidate; of ``sources``, the names in ``SOURCE_ORDER`` are kept. Candidates may also be a row per ``source``.
 
     Candidates go to slices of users as bare ids, see ``user_slices``. A user without history costs one narrow row there, so ``newcomers`` (many
-    users are cold and have no recent items) needs no plan of its own any more.
+    users are cold and have no recent items) changes nothing; ``score_newcomers`` makes and scores all candidates of such users without moving any.
     """
     size = size or Sizes.of(profiles, items)
-    asked = candidates.select("user_id", "item_id", source_bits(F.col("sources")).alias("bits"))
+    bits = source_bits(F.col("sources")) if "sources" in candidates.columns else F.coalesce(source_bit(F.col("source")), F.lit(0))
+    asked = candidates.select("user_id", "item_id", bits.alias("bits"))
     terms = user_slices.scored_terms(asked, items, profiles, affinity, repetition, size.users, size.items, s)
     return _weighted(terms.withColumn("sources", source_names(F.col("bits"))).drop("bits"), s)
 

@@ -70,11 +70,12 @@ def _terms_input(candidates: DataFrame, items: DataFrame, profiles: DataFrame, a
 
 
 def scored_terms(candidates: DataFrame, items, profiles, affinity, repetition, n_users: int, n_items: int, s: Settings) -> DataFrame:
-    """``candidates`` (user_id, item_id, bits) with their ranking features."""
+    """``candidates`` (user_id, item_id, bits) with their ranking features. Rows of one candidate, such as one per source, become one with the bits of all."""
     rows = _terms_input(candidates.withColumn("score", F.lit(None).cast("double")), items, profiles, affinity, repetition, n_users, n_items, sum(s.source_limits.values()))
 
     def run(batches):
         for slice_, chunk in _chunks(batches):
+            chunk = _combined(chunk)
             terms = slice_.terms(chunk, s)
             keep = terms.pop("found")
             table = pa.table({"user_id": chunk["a"][keep], "item_id": chunk["b"][keep], "bits": chunk["bits"][keep], **{x: pa.array(terms[x], from_pandas=True) for x in FEATURES}, "quality_available": terms["quality_available"] > 0})
@@ -84,7 +85,7 @@ def scored_terms(candidates: DataFrame, items, profiles, affinity, repetition, n
 
 
 def selected(candidates: DataFrame, items, profiles, affinity, repetition, n_users: int, n_items: int, limit: int, s: Settings) -> DataFrame:
-    """Each user's diversified list: scores and selection in one pass, so that scores are never rows."""
+    """Each user's diversified list: scores and selection in one pass, so that scores are never rows. A candidate may have several rows."""
     rows = _terms_input(
         candidates.select("user_id", "item_id", F.lit(0).alias("bits"), F.lit(None).cast("double").alias("score")),
         items, profiles, affinity, repetition, n_users, n_items, sum(s.source_limits.values()),
@@ -92,6 +93,7 @@ def selected(candidates: DataFrame, items, profiles, affinity, repetition, n_use
 
     def run(batches):
         for slice_, chunk in _chunks(batches):
+            chunk = _combined(chunk)
             terms = slice_.terms(chunk, s)
             yield from slice_.picked(chunk["a"][terms["found"]], terms["item"], base_score(terms, s), limit, s)
 
@@ -158,6 +160,15 @@ def _chunks(batches):
         yield slice_, cut(True)
 
 
+def _combined(chunk: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """One row per user and item, which stand side by side, with the bits of all its rows."""
+    new = np.r_[True, (chunk["a"][1:] != chunk["a"][:-1]) | (chunk["b"][1:] != chunk["b"][:-1])]
+    if new.all():
+        return chunk
+    starts = np.flatnonzero(new)
+    return {k: np.bitwise_or.reduceat(v, starts) if k == "bits" else v[starts] for k, v in chunk.items()}
+
+
 def _sizes(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
 

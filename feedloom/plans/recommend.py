@@ -117,9 +117,10 @@ class Inputs:
 
 @dataclass
 class Recommendation:
-    """``known`` holds the written candidates of users with history. Those of ``newcomers`` (user_id) are made, and scored, by whatever reads them."""
+    """``per_source`` (user_id, item_id, source) is what the sources gave users with history, as written. Scoring and selecting combine these rows where they meet
+    users and items; only who asks for ``candidates`` has them combined and written. Candidates of ``newcomers`` (user_id) are made by whatever reads them."""
 
-    known: DataFrame
+    per_source: DataFrame
     profiles: DataFrame
     newcomers: DataFrame | None
     affinity: DataFrame
@@ -155,7 +156,8 @@ class Recommendation:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return self.known if self.newcomers is None else materialise(self.known.unionByName(self._new.select(*self.known.columns)))
+        known = C.union_sources(self.per_source)
+        return materialise(known if self.newcomers is None else known.unionByName(self._new.select(*known.columns)))
 
     def score(self, candidates: DataFrame) -> DataFrame:
         return R.score_candidates(candidates, *self._sides, self.inputs.s, size=self._all)
@@ -164,13 +166,14 @@ class Recommendation:
     def scored(self) -> DataFrame:
         """All candidates with their terms. ``selected`` does not read it: it scores and selects in one pass."""
         if self.newcomers is None:
-            return self.score(self.known)
-        known = R.score_candidates(self.known, self.items, self.profiles, self.affinity, self.repetition, self.inputs.s, size=self.size)
+            return self.score(self.per_source)
+        known = R.score_candidates(self.per_source, self.items, self.profiles, self.affinity, self.repetition, self.inputs.s, size=self.size)
         return known.unionByName(self._new)
 
     @cached_property
     def selected(self) -> DataFrame:
-        return user_slices.selected(self.candidates, *self._sides, *astuple(self._all), self.limit, self.inputs.s)
+        rows = self.per_source if self.newcomers is None else self.candidates
+        return user_slices.selected(rows, *self._sides, *astuple(self._all), self.limit, self.inputs.s)
 
 
 def recommend(inputs: Inputs, limit: int, users: DataFrame | None = None) -> Recommendation:
@@ -192,8 +195,8 @@ def recommend(inputs: Inputs, limit: int, users: DataFrame | None = None) -> Rec
         inputs.creator_affinity,
         H.recent_repetition(H.recent_items(inputs.user_events, items, s), items, inputs.tax.dim),
     )
-    known = materialise(C.union_sources(listed.unionByName(similar).unionByName(explore)))
-    return Recommendation(known, profiles, newcomers, affinity, repetition, items, inputs.seen, size, n_newcomers, inputs, limit)
+    per_source = listed.unionByName(similar).unionByName(explore)
+    return Recommendation(per_source, profiles, newcomers, affinity, repetition, items, inputs.seen, size, n_newcomers, inputs, limit)
 
 
 def diagnostics(run: Recommendation, limit: int) -> DataFrame:

@@ -275,3 +275,19 @@ def test_best_hashes_of_newcomers_by_items_of_any_length(spark, monkeypatch):
             assert (got[got.bits & bit > 0].groupby("user_id").size() == n).all() and got[got.bits & bit > 0].item_id.nunique() == n
     empty = items.limit(0)
     assert N.scored_terms(users, empty, W.Sizes(9, 0), s).isEmpty() and N.scored_terms(users.limit(0), items, W.Sizes(0, 9), s).isEmpty()
+
+
+def test_source_rows_are_combined_where_they_are_scored(spark, monkeypatch):
+    """Candidates used to be combined by an exchange of their own, and written, before they were scored or selected."""
+    written, plain = [], session.materialise
+    for module in (session, plan):
+        monkeypatch.setattr(module, "materialise", lambda df: written.append(plain(df)) or written[-1])
+    run = recommend(tag_inputs(spark, "/root/testdata/sf0.001"), 12)
+    scored, selected = plain(run.scored), plain(run.selected)
+    assert written and not any("sources" in t.columns for t in written)
+    cand = run.candidates
+    assert cand.count() < run.per_source.count()
+    want, lists = run.score(cand), U.selected(cand, *run._sides, run.size.users, run.size.items, 12, run.inputs.s)
+    for got, one in ((scored, want), (selected, lists)):
+        one = plain(one.select(*got.columns))
+        assert got.count() == one.count() > 0 and got.exceptAll(one).isEmpty()
